@@ -29,7 +29,7 @@ def token_estimate(text: Column | str) -> Column:
     """
     c = F.col(text) if isinstance(text, str) else text
     tokens = F.regexp_count(c, F.lit(TOKEN)) + F.regexp_count(c, F.lit(QUARTER)) - F.regexp_count(c, F.lit(SHORT))
-    return F.when(c == "", F.lit(0)).otherwise(F.greatest(F.lit(1), tokens)).cast("bigint")
+    return F.when(c == "", F.lit(0)).when(c.isNotNull(), F.greatest(F.lit(1), tokens)).cast("bigint")
 
 
 def counter_udf(counter: Callable[[str], int]) -> Callable[[Column], Column]:

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The token pattern and its white space, which are the controls \t \n \f \r and all separators.
 SPACE = r"\t\n\f\r\p{Z}"
@@ -116,3 +117,71 @@ def count_tokens(text: str | None) -> int | None:
     if text is None:
         return None
     return max(1, int(atoms(text)[2].sum())) if text else 0
+
+
+#: What ``measure`` counts of a text.
+MEASURES = ("tokens", "bytes", "words", "digits", "punctuation", "gaps", "ideographs", "letters_beyond_ascii")
+#: Characters that are classified at once; bounds the memory of a batch.
+CHUNK = 1 << 20
+
+
+def _measure_chunk(texts: list[str]) -> np.ndarray:
+    joined = "\0".join(texts)  # the separator matches nothing and ends every run
+    start, end, cost, kind = atoms(joined)
+    cp = codepoints(joined)
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    last = np.cumsum(size + 1) - 1
+    first = last - size
+    out = np.zeros((len(texts), len(MEASURES)), dtype=np.int64)
+    owner = np.searchsorted(last, start, side="right")
+
+    def by_text(chosen: np.ndarray | None, weights: np.ndarray | None = None) -> np.ndarray:
+        at = owner if chosen is None else owner[chosen]
+        return np.bincount(at, weights=weights, minlength=len(texts)).astype(np.int64)
+
+    def chars(mask: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+        return sums[last] - sums[first]
+
+    out[:, 0] = np.maximum(by_text(None, cost), size > 0) if len(start) else size > 0
+    beyond = chars(cp > 0x7F)
+    out[:, 1] = size + beyond + chars(cp > 0x7FF) + chars(cp > 0xFFFF) if beyond.any() else size
+    if len(start):
+        out[:, 2] = by_text(kind == ALNUM)
+        out[:, 4] = by_text(kind == PUNCT)
+        out[:, 5] = by_text((kind == NEWLINE) | (kind == BLANK))
+    out[:, 3] = chars((cp >= 48) & (cp <= 57))
+    if beyond.any():
+        out[:, 6] = chars(((cp >= 0x3040) & (cp <= 0x30FF)) | ((cp >= 0x3400) & (cp <= 0x9FFF)) | ((cp >= 0xAC00) & (cp <= 0xD7AF)) | ((cp >= 0x20000) & (cp <= 0x3FFFF)))
+        out[:, 7] = beyond - out[:, 6]
+    return out
+
+
+def measure(texts: list[str]) -> np.ndarray:
+    """One row of ``MEASURES`` a text, T01 first; many short texts are classified together."""
+    parts, now, size = [], [], 0
+    for t in texts:
+        now.append(t)
+        size += len(t) + 1
+        if size >= CHUNK:
+            parts.append(_measure_chunk(now))
+            now, size = [], 0
+    if now:
+        parts.append(_measure_chunk(now))
+    return np.concatenate(parts) if parts else np.zeros((0, len(MEASURES)), dtype=np.int64)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def measures(texts: pd.Series) -> pd.Series:
+    """``MEASURES`` of a text column as an array; a null text counts as empty.
+
+    One pass over the characters, where the regular expressions of ``token_estimate`` take three; at corpus size this is several
+    times cheaper in spite of the Arrow transfer.
+    """
+    return pd.Series(list(measure(texts.fillna("").tolist())))
+
+
+@F.pandas_udf(T.LongType())
+def counted_tokens(texts: pd.Series) -> pd.Series:
+    """T01 of a text column by ``measure``; null stays null."""
+    return pd.Series(measure(texts.fillna("").tolist())[:, 0], dtype="Int64").where(texts.notna().to_numpy())

@@ -2,8 +2,8 @@
 
 Tokens are predicted by one linear regression a language on bytes, words, digits, punctuation, gaps and script counts. A share of the
 items, chosen by a hash of the key, is tokenized: one part fits the models (as sums of products, so that no item leaves its task),
-another is held out to correct each model's bias. The predictions are applied everywhere; T01 itself is one JVM expression here,
-so the exact count is given beside the prediction and decides whether a recorded estimate is right.
+another is held out to correct each model's bias. The predictions are applied everywhere; T01 itself comes from the same pass over the
+characters, so the exact count is given beside the prediction and decides whether a recorded estimate is right.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import language_of
-from lodestone.functions.tokens import SPACE, token_estimate
+from lodestone.functions.tokens import MEASURES, measures
 from lodestone.llm.items import KEY, symbol_keys, with_text
 from lodestone.operators.current import current_files, repository_of
 
@@ -26,25 +26,12 @@ OWN_MODEL, MODELS = 12, 200
 #: A recorded estimate is implausible if it is further from the prediction than this share of it plus this many tokens.
 FAR_SHARE, FAR_TOKENS = 0.5, 8
 
-FEATURES = ("bytes", "words", "digits", "punctuation", "gaps", "ideographs", "letters_beyond_ascii")
+FEATURES = MEASURES[1:]
 # The areas that a path or a document's domain can name.
 AREAS = ("auth", "billing", "build", "editor", "search", "storage", "sync", "telemetry", "vendor")
 POOLED = ""
 
 
-def features(text: Column) -> Column:
-    """Counts of a text, as an array of doubles in the order of ``FEATURES``; an empty or null text counts nothing."""
-    t = F.coalesce(text, F.lit(""))
-    count = lambda p: F.regexp_count(t, F.lit(p))
-    ideographs = count(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]")
-    return F.array(
-        *[
-            c.cast("double")
-            for c in (F.octet_length(t), count("[a-zA-Z0-9]+"), count("[0-9]"), count(r"[\p{P}\p{S}]"), count(f"[{SPACE}]+"), ideographs, count(r"[^\x00-\x7F]") - ideographs)
-        ]
-    )
-
-
 @dataclass(frozen=True)
 class TokenModel:
     """Coefficients and bias factor of every language; ``POOLED`` stands for all that have no model of their own."""
@@ -52,10 +39,10 @@ class TokenModel:
     coefficients: dict[str, tuple[float, ...]]
     factor: dict[str, float]
 
-    def predict(self, text: Column, language: Column) -> Column:
-        """Predicted T01: between 1 and the bytes of the text, 0 for an empty one."""
+    def predict(self, measured: Column, language: Column) -> Column:
+        """Predicted T01 from a text's ``MEASURES``: between 1 and the bytes of the text, 0 for an empty one."""
         names = [x for x in self.coefficients if x != POOLED]
-        x = features(text)
+        x = F.transform(F.slice(measured, 2, len(FEATURES)), lambda v: v.cast("double"))
 
         def value(name: str) -> Column:
             return F.array(*[F.lit(float(c) * self.factor[name]) for c in self.coefficients[name]])
@@ -64,27 +51,29 @@ class TokenModel:
         own = F.try_element_at(F.create_map(*pairs), F.coalesce(language, F.lit(POOLED))) if pairs else F.lit(None)
         w = F.coalesce(own, value(POOLED))
         total = F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
-        size = F.octet_length(text).cast("double")
+        size = F.element_at(measured, 2).cast("double")
         return F.when(size > 0, F.greatest(F.lit(1.0), F.least(size, total))).otherwise(F.lit(0.0))
 
 
-def _sums(sample: DataFrame, k: int) -> list[Column]:
-    x, y = (lambda i: F.element_at("x", i + 1)), F.col("y")
+def _sums(k: int) -> list[Column]:
+    x, y = (lambda i: F.element_at("m", i + 2).cast("double")), F.element_at("m", 1).cast("double")
     out = [F.sum(x(i) * x(j)).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)]
     singles = [f(i) for i in range(k) for f in (lambda i: F.sum(x(i) * y).alias(f"q{i}"), lambda i: F.sum(x(i)).alias(f"s{i}"))]
-    return [*out, *singles, F.sum("y").alias("y"), F.count("*").alias("n")]
+    return [*out, *singles, F.sum(y).alias("y"), F.count("*").alias("n")]
 
 
 def fit_token_model(items: DataFrame) -> TokenModel:
-    """Models from items (``key, language, text``). Two aggregations run, each giving at most ``MODELS`` rows of sums."""
+    """Models from items (``key, language, text``), by one aggregation that gives at most ``2 * MODELS`` rows of sums.
+
+    The pooled model is that of all items in the ``MODELS`` most frequent languages."""
     k = len(FEATURES)
     part = F.pmod(F.xxhash64("key"), F.lit(PARTS))
-    sample = items.filter(part < FIT + HELD).select(
-        (part < FIT).alias("fit"), F.coalesce("language", F.lit("und")).alias("language"), features(F.col("text")).alias("x"), token_estimate(F.coalesce("text", F.lit(""))).cast("double").alias("y")
-    )
-    rows = sample.groupBy("language", "fit").agg(*_sums(sample, k)).orderBy(F.desc("n"), "language").limit(2 * MODELS).collect()
-    # What lies beyond the most frequent languages still counts in the pooled model.
-    pooled = sample.groupBy("fit").agg(*_sums(sample, k)).collect()
+    sample = items.filter(part < FIT + HELD).select((part < FIT).alias("fit"), F.coalesce("language", F.lit("und")).alias("language"), measures("text").alias("m"))
+    rows = [r.asDict() for r in sample.groupBy("language", "fit").agg(*_sums(k)).orderBy(F.desc("n"), "language").limit(2 * MODELS).collect()]
+
+    def pool(fit: bool) -> dict | None:
+        chosen = [r for r in rows if r["fit"] == fit]
+        return {c: sum(r[c] or 0 for r in chosen) for c in chosen[0] if c not in ("fit", "language")} if chosen else None
 
     def matrices(r) -> tuple[np.ndarray, np.ndarray]:
         p = np.zeros((k, k))
@@ -107,10 +96,10 @@ def fit_token_model(items: DataFrame) -> TokenModel:
 
     fits = {r["language"]: r for r in rows if r["fit"] and r["n"] >= OWN_MODEL}
     held = {r["language"]: r for r in rows if not r["fit"]}
-    all_fit = next((r for r in pooled if r["fit"]), None)
+    all_fit = pool(True)
     base = solve(all_fit) if all_fit else np.array([0.0, 1.0, 0.1, 1.0, 0.8, 0.0, 0.0])
     coefficients = {POOLED: base} | {n: solve(r) for n, r in fits.items()}
-    factors = {n: bias(c, held.get(n) if n != POOLED else next((r for r in pooled if not r["fit"]), None)) for n, c in coefficients.items()}
+    factors = {n: bias(c, held.get(n) if n != POOLED else pool(False)) for n, c in coefficients.items()}
     return TokenModel({n: tuple(float(v) for v in c) for n, c in coefficients.items()}, factors)
 
 
@@ -152,7 +141,8 @@ def model_for(files: DataFrame, documents: DataFrame | None = None) -> TokenMode
 
 def counted(items: DataFrame, model: TokenModel) -> DataFrame:
     """Items without their text, with ``predicted`` and exact ``tokens``; null texts count 0."""
-    return items.select(*[c for c in items.columns if c != "text"], model.predict(F.col("text"), F.col("language")).alias("predicted"), F.coalesce(token_estimate("text"), F.lit(0)).alias("tokens"))
+    rest = [c for c in items.columns if c != "text"]
+    return items.select(*rest, measures("text").alias("_m")).select(*rest, model.predict(F.col("_m"), F.col("language")).alias("predicted"), F.element_at("_m", 1).alias("tokens"))
 
 
 def token_budget(items: DataFrame, model: TokenModel) -> DataFrame:
@@ -171,8 +161,9 @@ def audited_symbols(symbols: DataFrame, files: DataFrame, model: TokenModel) ->
         F.max("estimated_tokens").alias("high"),
         F.max(F.col("estimated_tokens").isNull()).alias("missing"),
     )
-    texts = with_text(keys, files)
-    c = texts.select(*KEY, "low", "high", "missing", model.predict(F.col("text"), language_of("path")).alias("predicted"), token_estimate("text").alias("tokens"))
+    known = [*KEY, "low", "high", "missing"]
+    measured = with_text(keys, files).select(*known, measures("text").alias("_m"))
+    c = measured.select(*known, model.predict(F.col("_m"), language_of("path")).alias("predicted"), F.element_at("_m", 1).alias("tokens"))
     far = F.greatest(F.abs(F.col("low") - F.col("predicted")), F.abs(F.col("high") - F.col("predicted"))) > FAR_SHARE * F.col("predicted") + FAR_TOKENS
     differs = (F.col("low") != F.col("tokens")) | (F.col("high") != F.col("tokens"))
     verdict = F.when(F.col("missing"), "missing").when(far & differs, "implausible").when(differs, "wrong").otherwise("right")

@@ -122,7 +122,7 @@ def count_tokens(text: str | None) -> int | None:
 #: What ``measure`` counts of a text.
 MEASURES = ("tokens", "bytes", "words", "digits", "punctuation", "gaps", "ideographs", "letters_beyond_ascii")
 #: Characters that are classified at once; bounds the memory of a batch.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _measure_chunk(texts: list[str]) -> np.ndarray:

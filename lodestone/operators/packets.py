@@ -116,15 +116,15 @@ def failure_lines(logs: DataFrame, key: str = "doc_id", text: str = "text", most
 
 def pack_items(packs: DataFrame) -> DataFrame:
     """Items of each pack in order, a path and kind once at its first place; packs without items have none."""
-    flat = packs.select(F.col("name").alias("pack"), F.posexplode("items").alias("at", "item")).select("pack", "at", "item.*")
-    return flat.filter("path is not null").groupBy("pack", "path", "kind").agg(F.min("at").alias("at"), F.min_by("reason", "at").alias("reason"))
+    flat = packs.select(F.col("name").alias("pack"), F.posexplode("items").alias("pos", "item")).select("pack", "pos", "item.*")
+    return flat.filter("path is not null").groupBy("pack", "path", "kind").agg(F.min("pos").alias("pos"), F.min_by("reason", "pos").alias("reason"))
 
 
 def cart_symbols(items: DataFrame, symbols: DataFrame) -> DataFrame:
     """Items of kind symbol, written ``Symbol::path``, with what they point to; keys of another form have no match."""
     parts = F.filter(F.split("path", "::"), lambda x: x != "")
     keyed = items.filter("kind = 'symbol'").withColumn("_p", parts).filter(F.size("_p") == 2)
-    named = keyed.select("pack", "at", F.element_at("_p", 1).alias("qualified_name"), F.element_at("_p", 2).alias("path"))
+    named = keyed.select("pack", "pos", F.element_at("_p", 1).alias("qualified_name"), F.element_at("_p", 2).alias("path"))
     return named.join(symbols.select("qualified_name", "path", "start_line", "end_line", "kind"), ["qualified_name", "path"])
 
 
@@ -139,13 +139,13 @@ def cart_sections(items: DataFrame, files: DataFrame, outlines: DataFrame) -> Da
     mode = F.when(skeleton & F.col("outline").isNotNull(), "SKELETON").otherwise("FULL")
     body = F.when(mode == "SKELETON", F.col("outline")).otherwise(F.coalesce("content", F.lit("")))
     section = F.concat(F.lit("## "), F.col("path"), F.lit(" ("), mode, F.lit(", "), reason, F.lit(")\n```"), fence_of("path"), F.lit("\n"), body, F.lit("\n```\n"))
-    return joined.select("pack", "at", "path", "kind", mode.alias("mode"), section.alias("section"), token_estimate(section).alias("tokens"))
+    return joined.select("pack", "pos", "path", "kind", mode.alias("mode"), section.alias("section"), token_estimate(section).alias("tokens"))
 
 
 def packed_carts(sections: DataFrame, budget: int) -> DataFrame:
     """D06 over carts: which sections of each pack fit: full files first, then skeletons, each in order."""
-    rows = sections.select("pack", F.when(F.col("mode") == "FULL", 0).otherwise(1).alias("class"), "at", "path", "kind", "mode", "tokens")
-    return fold_to_budget(rows, "pack", ["class", "at", "path", "kind"], "tokens", budget)
+    rows = sections.select("pack", F.when(F.col("mode") == "FULL", 0).otherwise(1).alias("class"), "pos", "path", "kind", "mode", "tokens")
+    return fold_to_budget(rows, "pack", ["class", "pos", "path", "kind"], "tokens", budget)
 
 
 def packet_header(used: Column, budget: int) -> Column:

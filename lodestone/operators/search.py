@@ -7,6 +7,7 @@ row and nothing is shuffled but the final, limited order.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
@@ -63,10 +64,18 @@ def grep(files: DataFrame, query: str, regex: bool = False, strict: bool = False
 
     ``path, line, content, snippet``, ordered by path. Terms are literal unless ``regex``; a content that is null matches nothing.
     """
-    patterns = _patterns(query, regex)
+    return _first_lines(files, _patterns(query, regex), strict, limit, column)
+
+
+def text_search(files: DataFrame, text: str, limit: int = 11, column: str = "content") -> DataFrame:
+    """the first line of each file that holds a text literally, without regard to case."""
+    return _first_lines(files, [f"(?i){re.escape(text)}"] if text.strip() else [], False, limit, column)
+
+
+def _first_lines(files: DataFrame, patterns: list[str], strict: bool, limit: int | None, column: str) -> DataFrame:
     lines = F.col("_lines")
-    # Testing the whole content first spares most files the split.
-    candidates = files.filter(_combine([F.col(column).rlike(p) for p in patterns], strict)).withColumn("_lines", split_lines(column))
+    # Testing the whole content first, with line anchors, spares most files the split.
+    candidates = files.filter(_combine([F.col(column).rlike(f"(?m){p}") for p in patterns], strict)).withColumn("_lines", split_lines(column))
     hit = F.filter(F.transform(lines, lambda x, i: F.when(_combine([x.rlike(p) for p in patterns], strict), i)), lambda i: i.isNotNull())
     found = candidates.withColumn("_at", F.try_element_at(hit, F.lit(1))).filter("_at is not null")
 
@@ -86,7 +95,7 @@ def grep_all(files: DataFrame, patterns: list[str], most: int = 500, column: str
     """
     valid = [p for p in patterns if _patterns(p, True)]
     lines = split_lines(column)
-    wanted = files.filter(_combine([F.col(column).rlike(p) for p in valid], False))
+    wanted = files.filter(_combine([F.col(column).rlike(f"(?m){p}") for p in valid], False))
     each = wanted.select("path", F.posexplode(lines).alias("at", "content")).select("path", (F.col("at") + 1).alias("line"), "content")
     rows = each.select("*", F.explode(F.array_compact(F.array(*[F.when(F.col("content").rlike(p), F.lit(p)) for p in valid]))).alias("pattern"))
     top = rows.orderBy("path", "line", "pattern").limit(most + 1)
@@ -99,6 +108,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _equals(word: str) -> Callable[[Column], Column]:
+    return lambda w: w == word
+
+
 def bm25(documents: DataFrame, query: str, key: str = "doc_id", text: str = "text", k: int | None = 10) -> DataFrame:
     """K04, lexical arm: ``key, score`` of documents with a query word, best first, ties by key.
 
@@ -108,7 +121,7 @@ def bm25(documents: DataFrame, query: str, key: str = "doc_id", text: str = "tex
     if not terms:
         return documents.select(key, F.lit(0.0).alias("score")).limit(0)
     words = words_of(F.coalesce(F.col(text), F.lit("")))
-    counted = documents.select(key, words.alias("_w")).select(key, F.size("_w").alias("_n"), *[F.size(F.filter("_w", lambda w, t=t: w == t)).alias(f"_t{i}") for i, t in enumerate(terms)])
+    counted = documents.select(key, words.alias("_w")).select(key, F.size("_w").alias("_n"), *[F.size(F.filter("_w", _equals(t))).alias(f"_t{i}") for i, t in enumerate(terms)])
     stats = counted.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *[F.sum((F.col(f"_t{i}") > 0).cast("bigint")).alias(f"_d{i}") for i in range(len(terms))])
     joined = counted.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,9 +26,29 @@ def local_session(cores: str = "*", app: str = "lodestone", **conf: str) -> Spar
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    make_importable(spark)
     return spark
 
 
+def make_importable(spark: SparkSession) -> None:
+    """Lets the Python workers import this package wherever the driver was started from.
+
+    The package's folder joins the workers' path; a cluster also gets a zip of the package, as its machines may not have the folder.
+    """
+    context = spark.sparkContext
+    root = str(Path(__file__).resolve().parents[1])
+    paths = context.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root in paths:
+        return
+    context.environment["PYTHONPATH"] = os.pathsep.join([root, *[p for p in paths if p]])
+    if not context.master.startswith("local"):
+        target = Path(tempfile.mkdtemp(prefix="lodestone-"), "lodestone.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(Path(root, "lodestone").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        context.addPyFile(str(target))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 

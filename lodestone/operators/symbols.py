@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import body_by_range
 from lodestone.operators.current import current_files
+from lodestone.operators.skew import skew_join
 from lodestone.schema import KINDS
 
 KEY = ["path", "qualified_name", "start_line", "end_line"]
@@ -43,7 +44,7 @@ def symbol_bodies(symbols: DataFrame, files: DataFrame) -> DataFrame:
 def reference_counts(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """Each symbol with how often its name is referenced, 0 if never. References are counted before they are joined."""
     counts = refs.groupBy("name").agg(F.count("*").alias("ref_count"))
-    return symbols.join(counts, "name", "left").withColumn("ref_count", F.coalesce("ref_count", F.lit(0)))
+    return skew_join(symbols, counts, ["name"]).withColumn("ref_count", F.coalesce("ref_count", F.lit(0)))
 
 
 def references_of(refs: DataFrame, name: str) -> DataFrame:

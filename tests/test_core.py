@@ -290,6 +290,18 @@ def test_stats_of_nulls_and_prefixes(spark):
     assert tuple(stats.best_compression(h).first()) == (2.0, 3, 0)
 
 
+def test_skew_join_is_a_join(spark, monkeypatch):
+    from lodestone.operators import skew
+
+    left = spark.createDataFrame([("hot", i) for i in range(50)] + [(None, i) for i in range(9)] + [("a", 1), ("b", 2), ("hot", 3)], "k string, v int")
+    right = spark.createDataFrame([("hot", "h"), ("a", "x"), ("c", "y"), (None, "n")], "k string, w string")
+    plain = {how: sorted(map(str, left.join(right, ["k"], how).select("k", "v", "w").collect())) for how in ("left", "inner")}
+    for rows in (5, 1_000_000):
+        monkeypatch.setattr(skew, "ROWS", rows)
+        for how in plain:
+            assert sorted(map(str, skew.skew_join(left, right, ["k"], how).select("k", "v", "w").collect())) == plain[how]
+
+
 def test_diff(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", None)], "path string, sha256 string")
     new = spark.createDataFrame([("b", "2"), ("c", None), ("d", "1")], "path string, sha256 string")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.tokens import token_estimate
+from lodestone.operators.skew import skew_join
 
 #: Documents of a source that fly in one task.
 FLIGHT = 100_000
@@ -94,7 +95,7 @@ def mixed(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     plan = source_plan(docs, targets).filter("source is not null and ratio > 0")
     use = plan.groupBy("source").agg(F.max("ratio").alias("ratio"), F.max("documents").alias("documents"))
     groups = F.greatest(F.lit(1), F.ceil(F.col("documents") / F.lit(FLIGHT)))
-    rows = docs.filter("doc_id is not null").join(use, "source").withColumn("flight", F.pmod(F.xxhash64("doc_id"), groups))
+    rows = skew_join(docs.filter("doc_id is not null"), use, ["source"], "inner").withColumn("flight", F.pmod(F.xxhash64("doc_id"), groups))
     out = "source string, doc_id bigint, tokens bigint, copies int, p double"
 
     def first(key: tuple, g: pd.DataFrame) -> pd.DataFrame:

@@ -24,6 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.skew import skew_join
+from lodestone.session import ensure_checkpoint_dir
+
+#: Runs of more letters are no words, and heads keep as many characters a token.
+LONGEST = 64
 #: A word is known from this many texts on.
 KNOWN_TEXTS = 2
 #: Stretches that begin alike: at least so many, and at least this share with a full stop.
@@ -47,13 +52,10 @@ _WORD_MARKS = r"more|read more|show more|log clipped|clipped|message clipped|tru
 _MARK = re.compile(rf"(?:[\[(<{{]\s*(?:\.\.\.|…|(?:\w+ )?(?:{_WORD_MARKS})(?: \w+)?)[.…\s]*[\])>}}]|\b(?:read|show|view) more|continue reading|weiterlesen|lire la suite|leer más|ler mais|続きを読む)$", re.I)
 _ELLIPSIS = re.compile(r"(?:…|\.\.\.|&hellip;|&#8230;|&#x2026;)$")
 _COMPLETE_CODE = re.compile(r"^return\b|[};)\]]$")
+_LAST_WORD = re.compile(r"(?:(?![぀-ヿ㐀-鿿가-힯])[^\W\d_])+$")
 _FENCE = re.compile(r"^\s*(?:```|~~~)", re.M)
 
 
-def _tokens(line: str) -> list[str]:
-    return ["0" if x.isdigit() else x for x in _TOKEN.findall(line)]
-
-
 def _segments(line: str) -> list[str]:
     """Stretches of a line between full stops, each with its stop."""
     out, at = [], 0
@@ -77,7 +79,7 @@ def _head(segment: str) -> str:
     """Its first two tokens, numbers made equal."""
     out = []
     for m in _TOKEN.finditer(segment):
-        out.append("0" if m[0].isdigit() else m[0])
+        out.append("0" if m[0].isdigit() else m[0][:LONGEST])
         if len(out) == 2:
             break
     return " ".join(out)
@@ -102,25 +104,24 @@ def ending(text: str) -> dict | None:
     # Writers forget closing fences, but not the braces of complete code.
     fence = len(_FENCE.findall(t)) % 2 == 1 and not _COMPLETE_CODE.search(last)
     brace = t.count("{") > t.count("}")
-    mark = _MARK.search(last) is not None
-    ellipsis = not mark and _ELLIPSIS.search(last) is not None
-    bare = _ELLIPSIS.sub("", last).rstrip()
+    mark = _MARK.search(last[-200:]) is not None
+    ellipsis = not mark and _ELLIPSIS.search(last[-10:]) is not None
+    bare = last[: -len(_ELLIPSIS.search(last[-10:])[0])].rstrip() if ellipsis else last
     segments = _segments(bare)
     final = segments[-1] if segments else ""
-    tokens = _tokens(bare)
-    word = tokens[-1] if tokens and tokens[-1][0].isalpha() else ""
+    word = m[0] if (m := _LAST_WORD.search(bare)) else ""
     humps = _HUMP.findall(word)
     return {
         "certain": soft or broken or brace or mark,
         "why": "transfer" if soft else "broken_character" if broken else "mark" if mark else "open_block" if brace else "",
         "fence": fence,
         "ellipsis": ellipsis,
-        "stopped": bool(_STOP.search(bare)) and not ellipsis,
-        "word": humps[-1] if humps and not re.match(r"[぀-ヿ㐀-鿿가-힯]", word) else "",
+        "stopped": bool(_STOP.search(bare[-200:])) and not ellipsis,
+        "word": humps[-1][: LONGEST + 1] if humps else "",
         "head": _head(final) if final else "",
-        "first": (_tokens(final[:80]) or [""])[0],
+        "first": _head(final).split(" ", 1)[0],
         "follows": len(segments) > 1,
-        "tail": word,
+        "tail": len(word),
         "line": last,
         "row": _row(last),
     }
@@ -133,8 +134,9 @@ def _count(texts: list[str], into: dict[tuple[str, str], list[int]]) -> None:
         if e is None:
             continue
         t = _clean_end(text).rstrip("�").rstrip()
-        for w in set(_HUMP.findall(t[: len(t) - len(e["tail"])])):
-            into["word", w][0] += 1
+        for w in set(_HUMP.findall(t[: len(t) - e["tail"]])):
+            if len(w) <= LONGEST:
+                into["word", w][0] += 1
         lines = [x for x in t.split("\n") if x and not x.isspace()]
         for i, line in enumerate(lines):
             closing = i == len(lines) - 1
@@ -169,13 +171,13 @@ def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush()
 
 
-_ENDING = "id bigint, chars int, bytes int, certain boolean, why string, fence boolean, ellipsis boolean, stopped boolean, word string, head string, first string, follows boolean, tail string, line string, row string"
+_ENDING = "id bigint, certain boolean, why string, fence boolean, ellipsis boolean, stopped boolean, word string, head string, first string, follows boolean, tail int, line string, row string"
 
 
 def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(i, len(t), len(t.encode("utf-8", "replace")), e) for i, t in zip(b["id"], b["text"]) if (e := ending(t)) is not None]
-        yield pd.DataFrame([{"id": i, "chars": n, "bytes": m} | e | {"line": e["line"][:200]} for i, n, m, e in rows], columns=[x.split()[0] for x in _ENDING.split(", ")])
+        rows = [(i, e) for i, t in zip(b["id"], b["text"]) if (e := ending(t)) is not None]
+        yield pd.DataFrame([{"id": i} | e | {"line": e["line"][:200]} for i, e in rows], columns=[x.split()[0] for x in _ENDING.split(", ")])
 
 
 def distinct_texts(documents: DataFrame) -> DataFrame:
@@ -211,9 +213,12 @@ def source_limits(lengths: DataFrame) -> DataFrame:
 def truncated(documents: DataFrame) -> DataFrame:
     """Verdicts: ``doc_id, source, cut, why``; every document once for each of its rows, source trimmed in lower case."""
     docs = documents.select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), "text").withColumn("id", F.xxhash64("text"))
+    shown = docs.select("doc_id", "source", "id", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
     texts = distinct_texts(docs)
-    statistics = corpus_statistics(texts)
-    ends = texts.mapInPandas(_endings, _ENDING)
+    ensure_checkpoint_dir(documents.sparkSession)
+    # Both are narrow and read more than once below; each text passes through Python once for either.
+    statistics = corpus_statistics(texts).checkpoint()
+    ends = texts.mapInPandas(_endings, _ENDING).checkpoint()
     facts = statistics.unionByName(prefix_nodes(statistics))
     open_ends = ends.filter(~F.col("certain") & (~F.col("stopped") | F.col("ellipsis") | F.col("fence")))
     asked = open_ends.select(
@@ -234,8 +239,6 @@ def truncated(documents: DataFrame) -> DataFrame:
     usual_stop = F.when(both("head") >= HEADS, F.col("head_a") >= HEAD_SHARE * both("head")).when(both("first") >= HEADS, F.col("first_a") >= HEAD_SHARE * both("first")).otherwise(F.col("follows"))
     judged = ends.join(looked, "id", "left").select(
         "id",
-        "chars",
-        "bytes",
         F.when(F.col("certain"), F.col("why"))
         .when((F.col("stopped") & ~F.col("fence")) | closing, F.lit(None))
         .when(F.col("ellipsis"), "mark")
@@ -246,11 +249,14 @@ def truncated(documents: DataFrame) -> DataFrame:
         # Of a sort that does not close texts: seldom the last line where it occurs.
         (~F.col("stopped") & ~closes & ~closing).alias("unclosed"),
     )
-    by_doc = docs.select("doc_id", "source", "id").join(judged, "id", "left")
-    distinct = by_doc.filter("chars is not null").select("source", "id", "chars", "bytes").distinct()
-    sizes = distinct.select("source", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("b").alias("unit"), F.col("bytes").alias("size")))).alias("s"))
-    lengths = sizes.groupBy("source", "s.unit", "s.size").agg(F.count("*").alias("n"))
-    limits = source_limits(lengths).groupBy("source", F.col("size")).agg(F.lit(True).alias("limit"))
-    at_chars = by_doc.join(limits.withColumnRenamed("size", "chars"), ["source", "chars"], "left")
-    why = F.coalesce(F.col("why"), F.when(F.col("limit") & F.col("unclosed"), "limit"))
-    return at_chars.select("doc_id", "source", why.isNotNull().alias("cut"), why.alias("why"))
+    pairs = shown.filter("chars > 0").groupBy("source", "id").agg(F.max("chars").alias("chars"), F.max("bytes").alias("bytes"))
+    sizes = pairs.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("s"))
+    limits = source_limits(sizes.groupBy("source", "s.unit", "s.size").agg(F.count("*").alias("n")))
+    for unit in ("chars", "bytes"):
+        pairs = pairs.join(limits.filter(F.col("unit") == unit).select("source", F.col("size").alias(unit), F.lit(True).alias(f"at_{unit}")), ["source", unit], "left")
+    at_limit = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
+    why = F.coalesce(F.col("why"), F.when(at_limit & F.col("unclosed"), "limit"))
+    cut = pairs.join(judged.filter("why is not null or unclosed"), "id").select("source", "id", why.alias("why")).filter("why is not null")
+    # A text with very many copies is joined over many tasks.
+    verdicts = skew_join(shown.select("doc_id", "source", "id"), cut, ["source", "id"])
+    return verdicts.select("doc_id", "source", F.col("why").isNotNull().alias("cut"), "why")

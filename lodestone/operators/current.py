@@ -32,3 +32,17 @@ def current_files(files: DataFrame, columns: list[str] | None = None) -> DataFra
 def repository_of(path: Column | str) -> Column:
     """First part of a path."""
     return F.split_part(F.col(path) if isinstance(path, str) else path, F.lit("/"), F.lit(1))
+
+
+def among_current(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Those of some rows of ``files`` (with ``path, indexed_at, sha256``) that are current, each path once.
+
+    For rows that a filter has already thinned out: the current rows are told by their narrow keys, so that contents that
+    the filter dropped never travel.
+    """
+    keys = files.filter("path is not null").groupBy("path").agg(F.max(F.struct("indexed_at", "sha256")).alias("_key"))
+    k = keys.select(F.col("path").alias("_path"), F.col("_key.indexed_at").alias("_at"), F.col("_key.sha256").alias("_sha"))
+    held = rows.join(k, (F.col("path") == F.col("_path")) & F.col("indexed_at").eqNullSafe(F.col("_at")) & F.col("sha256").eqNullSafe(F.col("_sha")), "left_semi")
+    rest = [c for c in rows.columns if c != "path"]
+    one = held.groupBy("path").agg(F.first(F.struct(*rest)).alias("_row"))  # rows of one key are copies
+    return one.select("path", *[F.col(f"_row.{c}").alias(c) for c in rest])

@@ -88,6 +88,11 @@ def _first_lines(files: DataFrame, patterns: list[str], strict: bool, limit: int
     return out.orderBy("path").limit(limit) if limit is not None else out
 
 
+def may_match(files: DataFrame, query: str, regex: bool = False, strict: bool = False, column: str = "content") -> DataFrame:
+    """Files whose content as a whole can hold a line that ``grep`` finds; a filter that needs no shuffle."""
+    return files.filter(_combine([F.col(column).rlike(f"(?m){p}") for p in _patterns(query, regex)], strict))
+
+
 def grep_all(files: DataFrame, patterns: list[str], most: int = 500, column: str = "content") -> DataFrame:
     """every matching line once a pattern: ``path, line, content, pattern, truncated``.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions.tokens import token_estimate
 from lodestone.operators import extract, index, links, packets, search, stats, symbols
-from lodestone.operators.current import current_files
+from lodestone.operators.current import among_current, current_files
 from lodestone.schema import KINDS, table
 from lodestone.sources.ignore import ScanOptions, is_build_script, kept
 from lodestone.streaming.incremental import event_windows
@@ -58,6 +58,12 @@ def _files(s: SparkSession, d: str, *columns: str) -> DataFrame:
     return current_files(table(s, d, "files"), list(columns) or ["path", "content"])
 
 
+def _grepped(s: SparkSession, d: str, query_: str, regex: bool = False, strict: bool = False) -> DataFrame:
+    """Current files that may match: all rows are filtered first, then told by key whether they are current."""
+    rows = table(s, d, "files").select("path", "indexed_at", "sha256", "content")
+    return among_current(search.may_match(rows, query_, regex, strict), rows)
+
+
 def _symbols(s: SparkSession, d: str) -> DataFrame:
     return symbols.unique_symbols(table(s, d, "symbols"))
 
@@ -270,25 +276,26 @@ FROM h JOIN k USING (path)"""
 @query(_grep_sql("regexp_matches(x, '(?i)oldest') OR regexp_matches(x, '(?i)budget\\.')", 100))
 def grep_any(s: SparkSession, d: str) -> DataFrame:
     """literal terms, any of them."""
-    return search.grep(_files(s, d), "oldest budget.")
+    return search.grep(_grepped(s, d, "oldest budget."), "oldest budget.")
 
 
 @query(_grep_sql("regexp_matches(x, '(?i)return') AND regexp_matches(x, '(?i)value')", 100))
 def grep_strict(s: SparkSession, d: str) -> DataFrame:
     """all terms on one line."""
-    return search.grep(_files(s, d), "return Value", strict=True)
+    return search.grep(_grepped(s, d, "return Value", strict=True), "return Value", strict=True)
 
 
 @query(_grep_sql("regexp_matches(x, '(?i)lock[A-Z][a-z]+\\(') OR regexp_matches(x, '(?i)^class')", 100))
 def grep_regex(s: SparkSession, d: str) -> DataFrame:
     """regular expressions, an invalid one dropped."""
-    return search.grep(_files(s, d), r"lock[A-Z][a-z]+\( ([ ^class", regex=True)
+    terms = r"lock[A-Z][a-z]+\( ([ ^class"
+    return search.grep(_grepped(s, d, terms, regex=True), terms, regex=True)
 
 
 @query(_grep_sql("regexp_matches(x, '(?i)guard let')", 11))
 def text_search(s: SparkSession, d: str) -> DataFrame:
     """first line with a literal text, eleven files at most."""
-    return search.text_search(_files(s, d), "guard let")
+    return search.text_search(_grepped(s, d, "guard"), "guard let")
 
 
 @query(
@@ -298,7 +305,7 @@ SELECT path, line, content, pattern, truncated FROM t WHERE rn <= 500"""
 )
 def grep_all(s: SparkSession, d: str) -> DataFrame:
     """every line for each pattern, 500 rows at most, with a flag for more."""
-    return search.grep_all(_files(s, d), [r"freeze\w+Owner", r"trace\("])
+    return search.grep_all(_grepped(s, d, r"freeze\w+Owner trace\(", regex=True), [r"freeze\w+Owner", r"trace\("])
 
 
 @query(
@@ -684,7 +691,11 @@ se AS (SELECT pack, pos, path, kind, mode, '## ' || path || ' (' || mode || ', '
 
 
 def _cart_sections(s: SparkSession, d: str) -> DataFrame:
-    return packets.cart_sections(packets.pack_items(table(s, d, "packs")), _files(s, d), packets.outlines(_symbols(s, d)))
+    items = packets.pack_items(table(s, d, "packs"))
+    named = items.select("path").distinct()  # only what lies in a cart is read further
+    files = current_files(table(s, d, "files").join(named, "path", "left_semi"), ["path", "content"])
+    syms = symbols.unique_symbols(table(s, d, "symbols").join(named, "path", "left_semi"))
+    return packets.cart_sections(items, files, packets.outlines(syms))
 
 
 @query(f"WITH {_SECTIONS} SELECT *, {_t01('section')} AS tokens FROM se")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions.tokens import atoms, count_tokens, counter_udf, measure, measures, token_estimate
 from lodestone.operators import index, links, packets, search, stats, symbols
-from lodestone.operators.current import current_files, latest
+from lodestone.operators.current import among_current, current_files, latest
 from lodestone.schema import ACTIONS, FILES, SYMBOLS
 
 SYMBOL = "path string, kind string, name string, qualified_name string, signature string, enclosing_type string, access_level string, start_line int, end_line int, doc_comment string, estimated_tokens int"
@@ -93,6 +93,8 @@ def test_current_rows(spark):
     files = spark.createDataFrame(rows, FILES)
     assert {r.path: r.content for r in current_files(files).collect()} == {"a": "new", "b": None}
     assert current_files(files.limit(0)).collect() == []
+    assert {r.path: r.content for r in among_current(files.filter("coalesce(content, 'x') <> 'late'"), files).collect()} == {"a": "new", "b": None}
+    assert among_current(files.filter("content = 'old'"), files).collect() == []
     two = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (None, 1, "c")], "k int, o int, v string")
     assert {r.k: r.v for r in latest(two, ["k"], ["o"]).collect()} == {1: "b", None: "c"}
 

@@ -83,10 +83,15 @@ def fence_of(path: Column | str) -> Column:
 
 def body_by_range(text: Column | str, start: Column | str, end: Column | str) -> Column:
     """Lines start..end (1-based, clipped to the text) joined by LF; '' if the range lies outside or is empty."""
-    lines = split_lines(text)
+    return body_of_lines(split_lines(text), start, end)
+
+
+def body_of_lines(lines: Column | str, start: Column | str, end: Column | str) -> Column:
+    """T09 on lines that were split before, for many ranges of one text."""
+    x = _c(lines)
     first = F.greatest(F.lit(1), _c(start))
-    last = F.least(F.size(lines), _c(end))
-    return F.when(first > last, F.lit("")).otherwise(F.array_join(F.slice(lines, first, F.greatest(F.lit(0), last - first + 1)), "\n"))
+    last = F.least(F.size(x), _c(end))
+    return F.when(first > last, F.lit("")).otherwise(F.array_join(F.slice(x, first, F.greatest(F.lit(0), last - first + 1)), "\n"))
 
 
 def symbol_text(lines: Column | str, start: Column | str, end: Column | str) -> Column:

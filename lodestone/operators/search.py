@@ -11,11 +11,14 @@ from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import split_lines
 
+# White space between the words of a vector, as in ``\\s`` of the SQL engine.
+_BLANK = re.compile("[ \\t\\n\\x0b\\f\\r]+")
 # Parameters of BM25 and of reciprocal rank fusion.
 K1, B, FUSION = 1.2, 0.75, 60
 
@@ -117,6 +120,11 @@ def _equals(word: str) -> Callable[[Column], Column]:
     return lambda w: w == word
 
 
+def _term_counts(documents: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
+    words = words_of(F.coalesce(F.col(text), F.lit("")))
+    return documents.select(key, words.alias("_w")).select(key, F.size("_w").alias("_n"), *[F.size(F.filter("_w", _equals(t))).alias(f"_t{i}") for i, t in enumerate(terms)])
+
+
 def bm25(documents: DataFrame, query: str, key: str = "doc_id", text: str = "text", k: int | None = 10) -> DataFrame:
     """K04, lexical arm: ``key, score`` of documents with a query word, best first, ties by key.
 
@@ -125,10 +133,11 @@ def bm25(documents: DataFrame, query: str, key: str = "doc_id", text: str = "tex
     terms = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
     if not terms:
         return documents.select(key, F.lit(0.0).alias("score")).limit(0)
-    words = words_of(F.coalesce(F.col(text), F.lit("")))
-    counted = documents.select(key, words.alias("_w")).select(key, F.size("_w").alias("_n"), *[F.size(F.filter("_w", _equals(t))).alias(f"_t{i}") for i, t in enumerate(terms)])
+    counted = _term_counts(documents, key, text, terms)
     stats = counted.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *[F.sum((F.col(f"_t{i}") > 0).cast("bigint")).alias(f"_d{i}") for i in range(len(terms))])
-    joined = counted.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")
+    # Only documents that hold a term as a part are counted again for their score.
+    near = counted if len(terms) > 20 else _term_counts(documents.filter(reduce(or_, [F.lower(text).contains(t) for t in terms])), key, text, terms)
+    joined = near.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")
 
     def part(i: int) -> Column:
         idf = F.log(1 + (F.col("_docs") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5))
@@ -139,29 +148,40 @@ def bm25(documents: DataFrame, query: str, key: str = "doc_id", text: str = "tex
 
 
 def proxy_similarity(documents: DataFrame, query: str, key: str = "doc_id", text: str = "text", k: int | None = 10) -> DataFrame:
-    """K04, vector arm: cosine of hashed word counts (T16, T17) between each document and the query, in the row."""
+    """K04, vector arm: cosine of hashed word counts (T16, T17) between each document and the query.
+
+    A word's bucket is looked up once a batch; a vector exists only as the counts of the document at hand.
+    """
     import hashlib
+    from collections import Counter
 
-    from lodestone.functions.text import VECTOR_SIZE, word_bucket
+    from pyspark.sql import types as T
 
-    counts: dict[int, int] = {}
-    for w in query.lower().split():
-        b = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % VECTOR_SIZE
-        counts[b] = counts.get(b, 0) + 1
-    length = sum(n * n for n in counts.values()) ** 0.5
-    if not counts:
-        return documents.select(key, F.lit(0.0).alias("score")).limit(0)
-    buckets = F.transform(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != ""), word_bucket)
-    start = F.struct(F.lit(-1).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("sq"))
+    from lodestone.functions.text import VECTOR_SIZE
 
-    def run(s: Column, x: Column) -> Column:
-        same = s["b"] == x
-        return F.struct(x.alias("b"), F.when(same, s["n"] + 1).otherwise(F.lit(1)).cast("bigint").alias("n"), F.when(same, s["sq"] + 2 * s["n"] + 1).otherwise(s["sq"] + 1).cast("bigint").alias("sq"))
+    bucket = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % VECTOR_SIZE
+    wanted = Counter(bucket(w) for w in query.lower().split())
+    length = sum(n * n for n in wanted.values()) ** 0.5
+    if not wanted:
+        return documents.select(key, F.lit(0.0).alias("score")).limit(0)
 
-    weight = F.create_map(*[F.lit(v).cast("bigint") for kv in counts.items() for v in kv])
-    product = F.aggregate("_b", F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(F.try_element_at(weight, x), F.lit(0)))
-    rows = documents.select(key, F.array_sort(buckets).alias("_b")).select(key, product.alias("_dot"), F.aggregate("_b", start, run)["sq"].alias("_sq"))
-    scored = rows.filter("_dot > 0").select(key, F.round(F.col("_dot") / (F.sqrt("_sq") * length), 6).alias("score"))
+    @F.pandas_udf(T.DoubleType())
+    def similarity(texts: pd.Series) -> pd.Series:
+        seen: dict[str, int] = {}
+        out = []
+        for t in texts:
+            counts: dict[int, int] = {}
+            for w, n in Counter(_BLANK.split(t.lower()) if t else ()).items():
+                if w:
+                    b = seen.get(w)
+                    if b is None:
+                        b = seen[w] = bucket(w)
+                    counts[b] = counts.get(b, 0) + n
+            product = sum(n * counts.get(b, 0) for b, n in wanted.items())
+            out.append(product / (sum(n * n for n in counts.values()) ** 0.5 * length) if product else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    scored = documents.select(key, F.round(similarity(text), 6).alias("score")).filter("score > 0")
     return scored.orderBy(F.desc("score"), key).limit(k) if k is not None else scored
 
 

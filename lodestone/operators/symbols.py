@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import body_by_range
+from lodestone.functions.text import body_of_lines, split_lines
 from lodestone.operators.current import current_files
 from lodestone.operators.skew import skew_join
 from lodestone.schema import KINDS
@@ -36,9 +36,9 @@ def unique_symbols(symbols: DataFrame) -> DataFrame:
 
 def symbol_bodies(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """T09 over J02: the body of every symbol in the current content; '' for a path without file."""
-    content = current_files(files, ["path", "content"])
-    body = F.coalesce(body_by_range("content", "start_line", "end_line"), F.lit(""))
-    return unique_symbols(symbols).join(content, "path", "left").select(*KEY, "name", body.alias("body"))
+    lines = current_files(files, ["path", "content"]).select("path", split_lines("content").alias("_lines"))  # once a file
+    body = F.coalesce(body_of_lines("_lines", "start_line", "end_line"), F.lit(""))
+    return unique_symbols(symbols).join(lines, "path", "left").select(*KEY, "name", body.alias("body"))
 
 
 def reference_counts(symbols: DataFrame, refs: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ A source that should give r times its tokens gives every document floor(r) times
 document has the inclusion probability r - floor(r). The cube method draws it: three documents at a time, their probabilities move
 along the null space of the constraints (number and tokens), at random in either direction so that expectations hold, until one
 of the three is in or out. Groups of a source fly on their own; what each leaves undecided (two documents at most) flies together,
-and the last two of a source are landed on the combination that misses the totals least.
+and the last two of a source are landed on the combination that misses the totals least. Within a group the larger half flies first and the
+smaller half makes up for what its last two documents miss, so that the landing is a matter of small documents.
 """
 
 from __future__ import annotations
@@ -50,6 +51,24 @@ def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray
     return p
 
 
+def fly_large_first(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Flight of documents in falling order of size, in two parts.
+
+    The larger half flies and the two it leaves are drawn at random; by what this misses the expected tokens the probabilities of the
+    smaller half are shifted, before it flies. So the expectation holds, and what is left to land is small.
+    """
+    half = len(p) - len(p) // 2 if len(p) >= 8 else 0
+    if not half or not ((p > _EPS) & (p < 1 - _EPS)).any():
+        return fly(p, size, rng)
+    large = fly(p[:half], size[:half], rng)
+    open_ = (large > 0) & (large < 1)
+    large[open_] = rng.random(int(open_.sum())) < large[open_]
+    missed = float(((p[:half] - large) * size[:half]).sum())
+    rest = float(size[half:].sum())
+    small = np.clip(p[half:] + (missed / rest if rest else 0.0), 0.0, 1.0)
+    return np.concatenate([large, fly(small, size[half:], rng)])
+
+
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Decides the few that are left so that tokens miss their expected total least, then the number."""
     at = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
@@ -77,7 +96,7 @@ def source_plan(documents: DataFrame, targets: DataFrame) -> DataFrame:
     available, wanted = F.coalesce("available", F.lit(0)), F.col("target_share") * F.col("total")
     capped = F.col("max_repeats") * available < wanted
     ratio = F.when(capped, F.col("max_repeats").cast("double")).when(available > 0, wanted / available).otherwise(F.lit(0.0))
-    return joined.select("named", "source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), available.alias("available"), wanted.alias("wanted"), ratio.alias("ratio"), capped.alias("capped"))
+    return joined.select("named", "source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), available.alias("available"), wanted.alias("wanted"), ratio.alias("ratio"), capped.alias("capped"), "total")
 
 
 def counted_documents(documents: DataFrame) -> DataFrame:
@@ -99,14 +118,14 @@ def mixed(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     out = "source string, doc_id bigint, tokens bigint, copies int, p double"
 
     def first(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("doc_id", kind="stable")
+        g = g.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable")
         whole = np.floor(g["ratio"].to_numpy() + _EPS)
         rng = np.random.default_rng([seed, int(key[1]), *str(key[0]).encode()])
-        p = fly(np.maximum(0.0, g["ratio"].to_numpy() - whole), g["tokens"].to_numpy(dtype=float), rng)
+        p = fly_large_first(np.maximum(0.0, g["ratio"].to_numpy() - whole), g["tokens"].to_numpy(dtype=float), rng)
         return pd.DataFrame({"source": g["source"], "doc_id": g["doc_id"], "tokens": g["tokens"], "copies": (whole + (p == 1.0)).astype("int32"), "p": np.where(p == 1.0, 0.0, p)})
 
     def last(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("doc_id", kind="stable")
+        g = g.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable")
         size = g["tokens"].to_numpy(dtype=float)
         rng = np.random.default_rng([seed, 1 << 20, *str(key[0]).encode()])
         p = land(fly(g["p"].to_numpy(), size, rng), size)
@@ -119,7 +138,10 @@ def mixed(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def mixture_report(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
-    """Each row of targets with its plan and the tokens and share that the mixture really has."""
+    """Each row of targets with its plan and the tokens that the mixture really has.
+
+    ``share_reached`` is of the mixture; ``share_of_all`` of the tokens of all documents, by which targets are set. The two differ
+    where sources are capped, as the mixture is then smaller."""
     plan = source_plan(counted_documents(documents), targets)
     got = mixed(documents, targets, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").cast("bigint").alias("mixed_documents"), F.max("copies").alias("most_copies"))
     whole = got.agg(F.sum("mixed_tokens").alias("mixture"))  # one row
@@ -129,4 +151,5 @@ def mixture_report(documents: DataFrame, targets: DataFrame, seed: int = 7) -> D
     return joined.select(
         F.col("named").alias("source"), "target_share", "max_repeats", "documents", F.col("available").alias("available_tokens"), F.round("wanted", 3).alias("wanted_tokens"), "capped",
         mixed_tokens.alias("mixed_tokens"), F.coalesce("mixed_documents", F.lit(0)).alias("mixed_documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.round(share, 6).alias("share_reached"),
+        F.when(F.col("total") > 0, F.round(mixed_tokens / F.col("total"), 6)).otherwise(F.lit(0.0)).alias("share_of_all"),
     )

@@ -261,6 +261,16 @@ def test_inclusion_is_unbiased():
     assert np.abs(hits - 0.5).max() < 0.05
 
 
+def test_large_first_is_unbiased_and_closer():
+    rng = np.random.default_rng(5)
+    size = np.sort(rng.integers(1, 4000, 60).astype(float))[::-1]
+    p = np.full(60, 0.2)
+    runs = [mixing.fly_large_first(p, size, np.random.default_rng(i)) for i in range(2000)]
+    assert np.abs(sum(runs) / 2000 - 0.2).max() < 0.05 and all(((r > 0) & (r < 1)).sum() <= 2 for r in runs)
+    error = [abs(float((mixing.land(r, size) * size).sum() - (p * size).sum())) for r in runs]
+    assert np.mean(error) < 0.02 * (p * size).sum()
+
+
 def test_mixture_reaches_shares(spark, monkeypatch):
     monkeypatch.setattr(mixing, "FLIGHT", 40)
     rng = random.Random(1)

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 from pathlib import Path
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.tokens import count_tokens, token_estimate
 from lodestone.operators import index, packets, search, stats, symbols
-from lodestone.operators.current import current_files
+from lodestone.operators.current import current_files, latest
 from lodestone.operators.extract import extract
+from lodestone.schema import ACTIONS
 from lodestone.sources.ignore import ScanOptions
 from lodestone.sources.scan import Settings, read_log, scan_repo
 
@@ -23,6 +26,12 @@ EXPLANATIONS = {
     "symbol": "A symbol is a declaration with its place, signature, documentation and token estimate.",
 }
 EXPANDED = 10
+_FAVORITE = "name string, file_path string, kind string, view_mode string, created_at timestamp_ntz, removed boolean"
+_PACK = "name string, description string, created_at timestamp_ntz, items array<struct<path:string,kind:string,reason:string>>, removed boolean"
+
+
+def _now() -> datetime:
+    return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
 class Index:
@@ -108,10 +117,11 @@ class Index:
         body = "\n---\n".join(r.entry for r in rows)
         return f"# Repository map (Tokens: {sum(r.tokens for r in rows)}/{budget})\n{body}"
 
-    def pack(self, task: str, budget: int = 12000, failure: str | None = None) -> str:
+    def pack(self, task: str, budget: int = 12000, failure: str | None = None, root: str | None = None) -> str:
         """``pack``: map (a seventh of the budget), failure lines, files that match the task in full, and their dependencies as skeletons.
 
-        Staged files come by rank of their best hit, then path; a section that does not fit is skipped and later ones are tried.
+        Staged files come by rank of their best hit, then path; a section that does not fit is skipped and later ones are tried. With
+        ``root``, contents are read from the tree again (ST6), so that a packet is fresh although the index is not.
         """
         head = self.map(budget // 7, None)
         parts = ["# Task", task, "", head]
@@ -127,7 +137,8 @@ class Index:
             more.select(F.lit("task").alias("pack"), F.lit(len(staged)).alias("pos"), "path", F.lit("file").alias("kind"), "reason")
         )
         used = count_tokens("\n".join(parts))
-        sections = packets.cart_sections(items, files, packets.outlines(syms))
+        shown = scan_repo(self.spark, root) if root is not None else files
+        sections = packets.cart_sections(items, shown, packets.outlines(syms))
         taken = packets.packed_carts(sections, max(1, budget - used)).filter("taken").select("pack", "path", "kind", "class", "pos", "used")
         rows = taken.join(sections.select("pack", "path", "kind", "section"), ["pack", "path", "kind"]).orderBy("class", "pos", "path").collect()
         total = used + max([0, *[r.used for r in rows]])
@@ -147,14 +158,54 @@ class Index:
         items = self.files.select(F.xxhash64("path").alias("id"), F.substring("content", 1, 2000).alias("text"))
         return link_counts(items, items.filter(F.pmod("id", F.lit(share)) == 0), "id", "text", threshold)
 
-    def favorites(self, rows: DataFrame) -> DataFrame:
-        """Favourites as a log of (name, file_path, kind, view_mode, created_at, removed): those not removed, newest first."""
-        last = rows.groupBy("name", "file_path").agg(F.max_by(F.struct("kind", "view_mode", "created_at", "removed"), "created_at").alias("r"))
-        return last.select("name", "file_path", "r.*").filter(~F.coalesce("removed", F.lit(False))).drop("removed").orderBy(F.desc("created_at"), "name", "file_path")
+    # ------------------------------------------------------------------------------------------------------ user state
+    def _append(self, name: str, row: tuple, schema: str) -> None:
+        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.store}/{name}")
+
+    def _log(self, name: str, schema: str, keys: list[str]) -> DataFrame:
+        """The last row of each key of an append-only log, without those removed."""
+        try:
+            rows = self.spark.read.schema(schema).parquet(f"{self.store}/{name}")
+        except AnalysisException:  # nothing was saved yet
+            rows = self.spark.createDataFrame([], schema)
+        return latest(rows, keys, ["created_at"]).filter(~F.coalesce("removed", F.lit(False))).drop("removed")
+
+    def add_favorite(self, name: str, path: str, kind: str, view_mode: str = "symbols", remove: bool = False) -> None:
+        """Favourites are a log; removing one appends its end."""
+        self._append("favorites", (name, path, kind, view_mode, _now(), remove), _FAVORITE)
+
+    def favorites(self) -> DataFrame:
+        """Newest first."""
+        return self._log("favorites", _FAVORITE, ["name", "file_path"]).orderBy(F.desc("created_at"), "name", "file_path")
+
+    def save_pack(self, name: str, description: str | None, items: list[tuple[str, str, str | None]], remove: bool = False) -> None:
+        """A pack saved under a name takes the place of an earlier one."""
+        self._append("packs", (name, description, _now(), items, remove), _PACK)
+
+    def packs(self) -> DataFrame:
+        return stats.recent_packs(self._log("packs", _PACK, ["name"]))
+
+    def record_action(self, action: int, prompt: str, tool: str | None, kind: str, status: str, response: str | None = None, duration_ms: int = 0) -> None:
+        """ST4/A11: a state of an action; its tokens are those of prompt and response."""
+        used = count_tokens(f"prompt: {prompt}") + (count_tokens(response) or 0)
+        self._append("actions", (action, prompt, tool, kind, used, duration_ms, status, _now(), response), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ACTIONS.fields))
+
+    def actions(self, limit: int = 50) -> DataFrame:
+        try:
+            rows = self.spark.read.schema(ACTIONS).parquet(f"{self.store}/actions")
+        except AnalysisException:
+            rows = self.spark.createDataFrame([], ACTIONS)
+        return stats.recent_actions(rows, limit)
 
     # -------------------------------------------------------------------------------------------------------- messages
-    def handle(self, message: dict[str, Any]) -> dict[str, Any]:
-        """One request message to one reply, both JSON-like; an unknown type or a failure gives an error reply."""
+    def handle(self, message: dict[str, Any] | str) -> dict[str, Any]:
+        """One request message, also as JSON text, to one reply. A failure gives an error reply with a code: bad_json, unknown_type,
+        bad_request or no_index."""
+        if isinstance(message, str):
+            try:
+                message = json.loads(message)
+            except ValueError as e:
+                return {"type": "error", "code": "bad_json", "message": str(e)}
         kind = message.get("type")
         rows = lambda df: [json.loads(x) for x in df.toJSON().collect()]
         try:
@@ -189,12 +240,30 @@ class Index:
                     return {"type": kind, "results": rows(symbols.auto_expand(cart, self.refs, self.symbols).orderBy("path"))}
                 case "search_for_pack":
                     return {"type": kind, "results": rows(search.hybrid(self.files.select("path", "content"), message["query"], "path", "content", 15))}
+                case "get_semantic_graph":
+                    return {"type": kind, "results": rows(self.semantic_graph(float(message.get("threshold", 0.3))))}
+                case "get_action_history":
+                    return {"type": kind, "results": rows(self.actions(int(message.get("limit", 20))))}
+                case "add_favorite" | "remove_favorite":
+                    self.add_favorite(message["name"], message["path"], message.get("kind", "file"), message.get("view_mode", "symbols"), kind == "remove_favorite")
+                    return {"type": kind, "results": rows(self.favorites())}
+                case "save_context_pack" | "delete_context_pack":
+                    items = [(x["path"], x.get("kind", "file"), x.get("reason")) for x in message.get("items", [])]
+                    self.save_pack(message["name"], message.get("description"), items, kind == "delete_context_pack")
+                    return {"type": kind, "results": rows(self.packs().select("name", "description"))}
+                case "get_pack_details":
+                    return {"type": kind, "results": rows(packets.pack_items(self.packs().filter(F.col("name") == message["name"])).orderBy("pos"))}
+                case "save_settings":
+                    Settings(sorted(message.get("excluded", [])), sorted(message.get("included", []))).save(message["root"])
+                    return {"type": kind}
                 case "reindex":
                     return {"type": kind, **rows(self.index(message["root"]))[0]}
                 case _:
-                    return {"type": "error", "message": f"unknown type: {kind}"}
-        except (KeyError, ValueError, FileNotFoundError) as e:
-            return {"type": "error", "message": f"{type(e).__name__}: {e}"}
+                    return {"type": "error", "code": "unknown_type", "message": f"unknown type: {kind}"}
+        except FileNotFoundError as e:
+            return {"type": "error", "code": "no_index", "message": str(e)}
+        except (KeyError, ValueError) as e:
+            return {"type": "error", "code": "bad_request", "message": f"{type(e).__name__}: {e}"}
 
 
 def history_benchmark(spark: SparkSession, snapshots: list[tuple[int, str, str, DataFrame]], budget: int = 2000, focus: str | None = None) -> DataFrame:

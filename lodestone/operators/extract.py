@@ -32,6 +32,8 @@ _JAVA = {
     "interface": r"\binterface\s+([a-zA-Z0-9_]+)",
     "method": r"\b(?:public|protected|private|static|\s) +[\w\<\>\[\]]+\s+([a-zA-Z0-9_]+)\s*\(",
 }
+# What is read from Kotlin lines where the scanner is not wanted.
+_KOTLIN_LINES = {"class": r"\bclass\s+([a-zA-Z0-9_]+)", "interface": r"\binterface\s+([a-zA-Z0-9_]+)", "function": r"\bfun\s+([a-zA-Z0-9_]+)"}
 PATTERNS = {("js", "ts", "jsx", "tsx"): _JS, ("css", "scss", "less"): _CSS, ("py",): _PYTHON, ("java",): _JAVA}
 #: Where several kinds match one line with one name, the first of these is taken.
 KIND_ORDER = ("class", "interface", "function", "method", "property", "style")
@@ -55,16 +57,21 @@ def _numbered(patterns: dict[str, str]) -> Callable[[Column, Column], Column]:
     return lambda x, i: F.struct(_matches(x, patterns).alias("found"), x.alias("text"), (i + 1).alias("line"))
 
 
-def regex_symbols(files: DataFrame) -> DataFrame:
+def kotlin_line_symbols(files: DataFrame) -> DataFrame:
+    """X11: classes, interfaces and functions of Kotlin files by line, in place of the scanner."""
+    return regex_symbols(files, {("kt", "kts"): _KOTLIN_LINES})
+
+
+def regex_symbols(files: DataFrame, families: dict[tuple[str, ...], dict[str, str]] = PATTERNS) -> DataFrame:
     """``path, kind, name, signature, line, tokens`` from the lines of files whose extension has patterns."""
     e = extension("path")
     lines = split_lines("content")
     per_line = None
-    for exts, patterns in PATTERNS.items():
+    for exts, patterns in families.items():
         each = F.transform(lines, _numbered(patterns))
         per_line = F.when(e.isin(*exts), each) if per_line is None else per_line.when(e.isin(*exts), each)
     held = F.filter(per_line, lambda x: F.size(x["found"]) > 0)
-    known = [x for exts in PATTERNS for x in exts]
+    known = [x for exts in families for x in exts]
     rows = files.filter(e.isin(*known) & F.col("content").isNotNull()).select("path", F.explode(held).alias("l")).select("path", "l.line", "l.text", F.explode("l.found").alias("s"))
     return rows.select("path", "s.kind", "s.name", trim_line("text").alias("signature"), "line", token_estimate("text").alias("tokens"))
 

@@ -120,6 +120,23 @@ def pack_items(packs: DataFrame) -> DataFrame:
     return flat.filter("path is not null").groupBy("pack", "path", "kind").agg(F.min("pos").alias("pos"), F.min_by("reason", "pos").alias("reason"))
 
 
+def save_packs(packs: DataFrame, new: DataFrame) -> DataFrame:
+    """Packs after saving others: a new pack takes the place of one of the same name. Of several new ones, the last created."""
+    rest = [c for c in new.columns if c != "name"]
+    last = new.groupBy("name").agg(F.max_by(F.struct(*rest), "created_at").alias("_r")).select("name", *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return packs.join(last.select("name"), "name", "left_anti").select(*last.columns).unionByName(last)
+
+
+def delete_packs(packs: DataFrame, names: DataFrame) -> DataFrame:
+    """Packs without those named; their items go with them."""
+    return packs.join(names.select("name").distinct(), "name", "left_anti")
+
+
+def cart_by_kind(items: DataFrame) -> DataFrame:
+    """How many items and paths of each kind a cart holds."""
+    return items.groupBy("pack", F.coalesce("kind", F.lit("file")).alias("kind")).agg(F.count("*").alias("items"), F.countDistinct("path").alias("paths"), F.min("path").alias("first_path"))
+
+
 def cart_symbols(items: DataFrame, symbols: DataFrame) -> DataFrame:
     """Items of kind symbol, written ``Symbol::path``, with what they point to; keys of another form have no match."""
     parts = F.filter(F.split("path", "::"), lambda x: x != "")

@@ -219,6 +219,17 @@ def kotlin_symbols(s: SparkSession, d: str) -> DataFrame:
     return extract.scanned_symbols(_files(s, d).filter(T.extension("path").isin("kt", "kts")))
 
 
+@query(
+    rf"""WITH {_CUR}, l AS (SELECT path, unnest(regexp_split_to_array(content, {_LINES})) AS x, generate_subscripts(regexp_split_to_array(content, {_LINES}), 1) AS i FROM cur WHERE {_EXT} IN ('kt', 'kts')),
+m AS (SELECT path, i, x, 'class' AS kind, 0 AS o, regexp_extract(x, '\bclass\s+([a-zA-Z0-9_]+)', 1) AS name FROM l UNION ALL SELECT path, i, x, 'interface', 1, regexp_extract(x, '\binterface\s+([a-zA-Z0-9_]+)', 1) FROM l UNION ALL SELECT path, i, x, 'function', 2, regexp_extract(x, '\bfun\s+([a-zA-Z0-9_]+)', 1) FROM l),
+u AS (SELECT * FROM m WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY path, i, name ORDER BY o) = 1)
+SELECT path, kind, name, regexp_replace(x, '^[\t\p{{Z}}]+|[\t\p{{Z}}]+$', '', 'g') AS signature, i::INT AS line, {_t01('x')} AS tokens FROM u""".replace("\\\\", "\\")
+)
+def kotlin_line_symbols(s: SparkSession, d: str) -> DataFrame:
+    """X11."""
+    return extract.kotlin_line_symbols(_files(s, d))
+
+
 @query()
 def scanned_references(s: SparkSession, d: str) -> DataFrame:
     """References of X09 and X10, counted by file, name and context."""
@@ -682,6 +693,20 @@ def cart_symbols(s: SparkSession, d: str) -> DataFrame:
     return packets.cart_symbols(packets.pack_items(table(s, d, "packs")), _symbols(s, d))
 
 
+@query(f"WITH {_ITEMS} SELECT pack, coalesce(kind, 'file') AS kind, count(*) AS items, count(DISTINCT path) AS paths, min(path) AS first_path FROM pi GROUP BY 1, 2")
+def cart_by_kind(s: SparkSession, d: str) -> DataFrame:
+    """A09."""
+    return packets.cart_by_kind(packets.pack_items(table(s, d, "packs")))
+
+
+@query("SELECT name, description, created_at + INTERVAL 1 DAY AS created_at, 0 AS items FROM packs WHERE length(name) % 2 = 0 UNION ALL SELECT name, description, created_at, len(items)::INT FROM packs WHERE length(name) % 2 = 1")
+def save_packs(s: SparkSession, d: str) -> DataFrame:
+    """Packs of an even name length saved again, later and empty."""
+    packs = table(s, d, "packs")
+    again = packs.filter("length(name) % 2 = 0").withColumn("created_at", F.expr("created_at + interval 1 day")).withColumn("items", F.slice("items", 1, 0))
+    return packets.save_packs(packs, again).select("name", "description", "created_at", F.size("items").alias("items"))
+
+
 _OUTLINE = SQL["outline"].replace(f"WITH {_SYM}, ", "").rsplit("SELECT path, string_agg", 1)
 _FENCE = "CASE WHEN l IN ('swift', 'kotlin', 'java', 'html', 'css', 'json') THEN l WHEN l = 'js' THEN 'javascript' WHEN l = 'ts' THEN 'typescript' WHEN l = 'py' THEN 'python' WHEN l = 'md' THEN 'markdown' ELSE '' END"
 _SECTIONS = f"""{_CUR}, {_SYM}, {_ITEMS}, {_OUTLINE[0].strip()}, ol AS (SELECT path, string_agg{_OUTLINE[1]}),
@@ -784,3 +809,22 @@ def build_scripts(s: SparkSession, d: str) -> DataFrame:
 def event_windows_hourly(s: SparkSession, d: str) -> DataFrame:
     """Extension: windows over events."""
     return event_windows(table(s, d, "events"))
+
+
+@query(
+    """SELECT event_type, CASE WHEN grouping(h) = 0 THEN h END AS hour, count(*) AS events, round(sum(value), 4) AS value, count(DISTINCT user_id) AS users FROM (SELECT event_type, hour(ts)::INT AS h, value, user_id FROM events) GROUP BY ROLLUP (event_type, h)"""
+)
+def event_rollup(s: SparkSession, d: str) -> DataFrame:
+    """Extension: totals by type and hour of day, by type, and over all."""
+    e = table(s, d, "events").select("event_type", F.hour("ts").alias("hour"), "value", "user_id")
+    return e.rollup("event_type", "hour").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("value"), F.countDistinct("user_id").alias("users"))
+
+
+@query(
+    f"""WITH {_ACTIONS}, d AS (SELECT coalesce(tool_name, '') AS tool, duration_ms FROM act WHERE status = 'completed')
+SELECT tool, count(*) AS actions, quantile_cont(duration_ms, 0.5) AS median_ms, quantile_cont(duration_ms, 0.9) AS p90_ms FROM d GROUP BY tool"""
+)
+def lead_times(s: SparkSession, d: str) -> DataFrame:
+    """Extension: median and ninth decile of the duration of completed actions by tool."""
+    a = stats.latest_actions(table(s, d, "actions")).filter("status = 'completed'").select(F.coalesce("tool_name", F.lit("")).alias("tool"), "duration_ms")
+    return a.groupBy("tool").agg(F.count("*").alias("actions"), F.percentile("duration_ms", 0.5).alias("median_ms"), F.percentile("duration_ms", 0.9).alias("p90_ms"))

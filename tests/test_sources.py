@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.api import Index, history_benchmark
 from lodestone.cli import main as cli
+from lodestone.functions.tokens import count_tokens
 from lodestone.operators import extract, index
 from lodestone.schema import ACTIONS, FILES
 from lodestone.sources.ignore import ScanOptions, Rule, gitignore_rules, is_build_script, kept
@@ -184,8 +185,20 @@ def test_api(spark, tmp_path):
     assert "## style.css (FULL, Directly Added)" in ask(type="pack_cart", items=[{"path": "style.css"}])["text"] and ask(type="grep", patterns=["class"])["results"]
     assert ask(type="get_file_symbols", path="src/cart.js")["results"][0]["name"] == "Cart" and ask(type="get_map")["text"] and ask(type="generate_summary")["text"] and ask(type="search_for_pack", query="cart")["results"]
     assert ix.semantic_graph().count() == 4
-    fav = spark.createDataFrame([("A", "p", "class", "symbols", datetime(2024, 1, 1), False), ("A", "p", "class", "symbols", datetime(2024, 1, 2), True), ("B", "p", "class", "symbols", datetime(2024, 1, 1), None)], "name string, file_path string, kind string, view_mode string, created_at timestamp_ntz, removed boolean")
-    assert [r.name for r in ix.favorites(fav).collect()] == ["B"]
+    assert ix.favorites().collect() == [] and ix.packs().collect() == [] and ix.actions().collect() == []
+    ask(type="add_favorite", name="A", path="p")
+    assert [r["name"] for r in ask(type="add_favorite", name="B", path="p")["results"]] == ["B", "A"] and [r["name"] for r in ask(type="remove_favorite", name="A", path="p")["results"]] == ["B"]
+    ask(type="save_context_pack", name="one", items=[{"path": "x"}])
+    ask(type="save_context_pack", name="one", description="again", items=[{"path": "style.css"}, {"path": "y"}])
+    assert [r["path"] for r in ask(type="get_pack_details", name="one")["results"]] == ["style.css", "y"] and ask(type="delete_context_pack", name="one")["results"] == []
+    ix.record_action(1, "p", "map", "cli", "pending")
+    ix.record_action(1, "p", "map", "cli", "completed", "a b", 7)
+    assert [(r["status"], r["tokens_used"]) for r in ask(type="get_action_history")["results"]] == [("completed", count_tokens("prompt: p") + 3)]
+    assert ix.handle("{")["code"] == "bad_json" and Index(spark, str(tmp_path / "no")).handle({"type": "get_map"})["code"] == "no_index"
+    (Path(root) / "src/cart.js").write_text("function total(cart) { return 42 }\n")
+    assert "42" in ix.pack("total cart", 4000, root=root) and "42" not in ix.pack("total cart", 4000)
+    ask(type="save_settings", root=root, excluded=["Auth"])
+    assert Settings.load(root).excluded == ["Auth"]
     files = ix.files
     h = history_benchmark(spark, [(1, "h1", "one", files.filter("path = 'style.css'")), (2, "h2", "two", files)], 500, "cart")
     assert [(r.cycle, r.total_files, r.focus_preserved) for r in h.orderBy("cycle").collect()] == [(1, 1, False), (2, 4, True)]
@@ -204,6 +217,20 @@ def test_command_line(spark, tmp_path, capsys):
 
 
 # ----------------------------------------------------------------------------------------------------------------- streams
+def test_tables(spark, tmp_path):
+    from lodestone.sources.tables import read_table, to_json_lines, write_table, write_text
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    for form in ("parquet", "orc", "json", "csv"):
+        write_table(df, str(tmp_path / form), form)
+        assert sorted(map(str, read_table(spark, str(tmp_path / form), form, "k int, v string").collect())) == sorted(map(str, df.collect()))
+    write_table(df, str(tmp_path / "by"), partition_by=("k",))
+    assert (tmp_path / "by/k=1").is_dir() and [r.value for r in to_json_lines(df.filter("k = 1")).collect()] == ['{"k":1,"v":"a"}']
+    write_text("x", str(tmp_path / "d/o.md"))
+    with pytest.raises(ValueError):
+        read_table(spark, "x", "avro")
+
+
 def test_streams(spark, tmp_path):
     t = lambda n: datetime(2024, 1, n)
     row = lambda p, n, c: (p, "js", str(n), 1, None, t(n), 0, 0, c)

@@ -141,7 +141,9 @@ def merged_graph(tree: DataFrame, links: DataFrame, topics: DataFrame) -> DataFr
     return t.unionByName(s).join(topics.select(F.col("path").alias("source"), "topic"), "source", "left").withColumn("topic", F.coalesce("topic", F.lit("General")))
 
 
-def tree_order(edges: DataFrame, limit: int | None = None) -> DataFrame:
-    """Children of each folder in order: folders first, then names."""
-    ordered = edges.orderBy("parent", F.when(F.col("grp") == "folder", 0).otherwise(1), "child")
-    return ordered.limit(limit) if limit is not None else ordered
+def tree_order(edges: DataFrame) -> DataFrame:
+    """Each child with its place among its siblings: folders first, then names: ``parent, place, child, grp``."""
+    from pyspark.sql import Window
+
+    siblings = Window.partitionBy("parent").orderBy(F.when(F.col("grp") == "folder", 0).otherwise(1), "child")
+    return edges.select("parent", F.row_number().over(siblings).alias("place"), "child", "grp")

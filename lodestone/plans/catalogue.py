@@ -699,11 +699,11 @@ def cart_by_kind(s: SparkSession, d: str) -> DataFrame:
     return packets.cart_by_kind(packets.pack_items(table(s, d, "packs")))
 
 
-@query("SELECT name, description, created_at + INTERVAL 1 DAY AS created_at, 0 AS items FROM packs WHERE length(name) % 2 = 0 UNION ALL SELECT name, description, created_at, len(items)::INT FROM packs WHERE length(name) % 2 = 1")
+@query("SELECT name, coalesce(description, '(none)') AS description, CASE WHEN description IS NULL THEN created_at + INTERVAL 1 DAY ELSE created_at END AS created_at, CASE WHEN description IS NULL THEN 0 ELSE len(items)::INT END AS items FROM packs")
 def save_packs(s: SparkSession, d: str) -> DataFrame:
-    """Packs of an even name length saved again, later and empty."""
+    """Packs without a description saved again, later, described and empty."""
     packs = table(s, d, "packs")
-    again = packs.filter("length(name) % 2 = 0").withColumn("created_at", F.expr("created_at + interval 1 day")).withColumn("items", F.slice("items", 1, 0))
+    again = packs.filter("description is null").withColumns({"description": F.lit("(none)"), "created_at": F.expr("created_at + interval 1 day"), "items": F.slice("items", 1, 0)})
     return packets.save_packs(packs, again).select("name", "description", "created_at", F.size("items").alias("items"))
 
 
@@ -778,10 +778,10 @@ def graph_merge(s: SparkSession, d: str) -> DataFrame:
     return links.merged_graph(links.folder_edges(table(s, d, "files").select("path")), links.undirected_links(table(s, d, "links")), topics)
 
 
-@query(f"WITH {_EDGES} SELECT child, parent, grp FROM fe ORDER BY parent, CASE WHEN grp = 'folder' THEN 0 ELSE 1 END, child LIMIT 200")
+@query(f"WITH {_EDGES} SELECT parent, row_number() OVER (PARTITION BY parent ORDER BY CASE WHEN grp = 'folder' THEN 0 ELSE 1 END, child)::INT AS place, child, grp FROM fe")
 def tree_order(s: SparkSession, d: str) -> DataFrame:
-    """The first 200 entries of the ordered tree."""
-    return links.tree_order(links.folder_edges(table(s, d, "files").select("path")), 200)
+    """K09."""
+    return links.tree_order(links.folder_edges(table(s, d, "files").select("path")))
 
 
 # ----------------------------------------------------------------------------------------------------------------- sources

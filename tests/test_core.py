@@ -273,7 +273,7 @@ def test_graphs(spark):
     paths = spark.createDataFrame([("a/b/c.js",), ("a/d.js",), (None,)], "path string")
     edges = links.folder_edges(paths)
     assert {(r.child, r.parent, r.grp) for r in edges.collect()} == {("a", "Project", "folder"), ("a/b", "a", "folder"), ("a/b/c.js", "a/b", "file"), ("a/d.js", "a", "file")}
-    assert [r.child for r in links.tree_order(edges).filter("parent = 'a'").collect()] == ["a/b", "a/d.js"]
+    assert [r.child for r in links.tree_order(edges).filter("parent = 'a'").orderBy("place").collect()] == ["a/b", "a/d.js"]
     l = spark.createDataFrame([("x", "y", 0.5), ("y", "x", 0.9), ("x", "x", 1.0), ("x", "z", None)], "source string, target string, strength double")
     assert {(r.source, r.target): r.strength for r in links.undirected_links(l).collect()} == {("x", "y"): 0.9, ("x", "z"): 0.0}
     topics = spark.createDataFrame([("a", "auth")], "path string, topic string")

@@ -13,8 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.functions.tokens import ALNUM, BLANK, NEWLINE, PUNCT, atoms, codepoints, token_estimate
+from lodestone.functions.tokens import ALNUM, BLANK, NEWLINE, PUNCT, atoms, codepoints, measure
 
 # Strengths of boundaries.
 LINE, AFTER_BLANK, AFTER_BLOCK, BEFORE_CLOSER, CONTINUED, PER_COLUMN = 1000, 400, 150, -350, -300, -12
@@ -134,20 +135,23 @@ def split_items(items: DataFrame, limit: int, overlap: int) -> DataFrame:
     """Pieces of every item whose ``text`` has more than ``limit`` tokens; other columns stay as they are.
 
     Adds ``piece`` (from 0), ``pieces``, ``char_start``, ``char_end`` (of the text, code points), ``line_start``, ``line_end`` (lines of the
-    text, from 0) and ``tokens``. The items' own columns may not bear these names. Null and small texts give no rows. Only
-    oversized texts reach Python.
+    text, from 0) and ``tokens``. The items' own columns may not bear these names. Null and small texts give no rows. All
+    texts of a batch are counted together, then the oversized ones are cut.
     """
     keep = [c for c in items.columns if c != "text"]
     added = "piece int, pieces int, char_start int, char_end int, line_start int, line_end int, tokens int"
-    kept = items.select(*keep).schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    schema = StructType([*kept.fields, *_parse_datatype_string(added).fields])
+    fields = [items.schema[c] for c in keep]
+    # Long integers go as text, since pandas would make floats of them beside nulls.
+    longs = {f.name: f.dataType for f in fields if isinstance(f.dataType, T.LongType)}
+    sent = items.select(*[F.col(c).cast("string").alias(c) if c in longs else F.col(c) for c in items.columns])
+    schema = T.StructType([*[T.StructField(f.name, T.StringType()) if f.name in longs else f for f in fields], *[T.StructField(c.split()[0], T.IntegerType()) for c in added.split(", ")]])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows, at = [], []
-            for i, text in enumerate(b["text"]):
+            texts = b["text"].fillna("").tolist()
+            for i in np.flatnonzero(measure(texts)[:, 0] > limit):
+                text = texts[i]
                 pieces = split_text(text, limit, overlap)
                 breaks = np.flatnonzero(codepoints(text) == 10)
                 for p, (x, y, t) in enumerate(pieces):
@@ -156,4 +160,4 @@ def split_items(items: DataFrame, limit: int, overlap: int) -> DataFrame:
             out = b[keep].iloc[at].reset_index(drop=True)
             yield pd.concat([out, pd.DataFrame(rows, columns=[f.split()[0] for f in added.split(", ")], dtype="int32")], axis=1)
 
-    return items.filter(token_estimate("text") > limit).mapInPandas(cut, schema)
+    return sent.mapInPandas(cut, schema).withColumns({c: F.col(c).cast(kind) for c, kind in longs.items()})

@@ -8,13 +8,16 @@ their container by their rank among those of their size, which is counted in sal
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.functions.tokens import token_estimate
-from lodestone.llm.splitting import split_items
+from lodestone.functions.tokens import measure
+from lodestone.llm.splitting import split_text
 from lodestone.session import ensure_checkpoint_dir
 
 #: Items of one size that one task ranks.
@@ -88,11 +91,30 @@ def _segments(plan: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndar
 
 
 def container_items(documents: DataFrame, capacity: int) -> DataFrame:
-    """What is packed: ``doc_id, piece, pieces, tokens``; one row a document, more for those larger than a container."""
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = token_estimate("text")
-    whole = docs.select("doc_id", F.lit(0).alias("piece"), F.lit(1).alias("pieces"), size.cast("int").alias("tokens")).filter(F.col("tokens") <= capacity)
-    return whole.unionByName(split_items(docs, capacity, 0).select("doc_id", "piece", "pieces", "tokens"))
+    """What is packed: ``doc_id, piece, pieces, tokens``; one row a document, more for those larger than a container, which the splitter
+    cuts without overlap. Null texts have no tokens."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = b["text"].fillna("").tolist()
+            sizes = measure(texts)[:, 0]
+            ids, rows = [], []
+            for i in np.flatnonzero(sizes > capacity):
+                pieces = split_text(texts[i], capacity)
+                ids.append(np.repeat(i, len(pieces)))
+                rows += [(p, len(pieces), t) for p, (_, _, t) in enumerate(pieces)]
+            whole = np.flatnonzero(sizes <= capacity)
+            out = pd.DataFrame({"piece": 0, "pieces": 1, "tokens": sizes[whole]}, dtype="int32")
+            if rows:
+                out = pd.concat([out, pd.DataFrame(rows, columns=["piece", "pieces", "tokens"], dtype="int32")])
+            chosen = np.concatenate([whole, *ids])
+            out.insert(0, "doc_id", b["doc_id"].iloc[chosen].to_numpy())
+            yield out
+
+    # As text on the way, since pandas would make floats of integers beside nulls.
+    schema = T.StructType([T.StructField("doc_id", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("piece", "pieces", "tokens")]])
+    counted = documents.select(F.col("doc_id").cast("string"), "text").mapInPandas(count, schema)
+    return counted.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
 
 
 def packed(documents: DataFrame, capacity: int) -> DataFrame:

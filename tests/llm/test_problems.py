@@ -226,6 +226,13 @@ def test_closest_is_the_best_subset():
         assert sum(s * c for s, c in got.items()) == best
 
 
+def test_long_ids_beside_nulls_stay_exact(spark):
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "a b"), (None, "c"), (big + 2, "d " * 30)], "doc_id bigint, text string")
+    assert {r.doc_id for r in packing.packed(docs, 20).collect()} == {big, None, big + 2}
+    assert {r.doc_id for r in splitting.split_items(docs, 20, 0).collect()} == {big + 2}
+
+
 def test_packed_documents(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANKED", 3)  # many salted groups
     rows = [(i, "a " * (i % 9)) for i in range(60)] + [(100, "b " * 40), (101, None), (102, ""), (None, "c"), (7, "repeat")]

@@ -17,8 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.tokens import token_estimate
+from lodestone.functions.tokens import counted_tokens
 from lodestone.operators.skew import skew_join
+from lodestone.session import ensure_checkpoint_dir
 
 #: Documents of a source that fly in one task.
 FLIGHT = 100_000
@@ -100,8 +101,10 @@ def source_plan(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def counted_documents(documents: DataFrame) -> DataFrame:
-    """``doc_id, source`` (trimmed, lower case, '' for null) and T01 ``tokens`` (0 for null texts)."""
-    return documents.select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), F.coalesce(token_estimate("text"), F.lit(0)).alias("tokens"))
+    """``doc_id, source`` (trimmed, lower case, '' for null) and T01 ``tokens`` (0 for null texts), counted once and kept."""
+    ensure_checkpoint_dir(documents.sparkSession)
+    counted = documents.select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), F.coalesce(counted_tokens("text"), F.lit(0)).alias("tokens"))
+    return counted.checkpoint()  # narrow rows, read by the plan, its total and the flights
 
 
 def mixed(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
@@ -110,7 +113,10 @@ def mixed(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
 
     Each task flies one group of at most about ``FLIGHT`` documents; a second flight holds two a group.
     """
-    docs = counted_documents(documents)
+    return _mixed(counted_documents(documents), targets, seed)
+
+
+def _mixed(docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     plan = source_plan(docs, targets).filter("source is not null and ratio > 0")
     use = plan.groupBy("source").agg(F.max("ratio").alias("ratio"), F.max("documents").alias("documents"))
     groups = F.greatest(F.lit(1), F.ceil(F.col("documents") / F.lit(FLIGHT)))
@@ -142,8 +148,9 @@ def mixture_report(documents: DataFrame, targets: DataFrame, seed: int = 7) -> D
 
     ``share_reached`` is of the mixture; ``share_of_all`` of the tokens of all documents, by which targets are set. The two differ
     where sources are capped, as the mixture is then smaller."""
-    plan = source_plan(counted_documents(documents), targets)
-    got = mixed(documents, targets, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").cast("bigint").alias("mixed_documents"), F.max("copies").alias("most_copies"))
+    docs = counted_documents(documents)
+    plan = source_plan(docs, targets)
+    got = _mixed(docs, targets, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").cast("bigint").alias("mixed_documents"), F.max("copies").alias("most_copies"))
     whole = got.agg(F.sum("mixed_tokens").alias("mixture"))  # one row
     joined = _with_one_row(plan.join(got, "source", "left"), whole)
     mixed_tokens = F.coalesce("mixed_tokens", F.lit(0))

@@ -120,13 +120,13 @@ def evidence(path: str, text: str) -> tuple[int, list[int]]:
     return bits, fingerprints(x, ~comment, K, WINDOW).tolist()
 
 
-_EVIDENCE = "pid bigint, repo bigint, bits int, prints array<bigint>"
+_EVIDENCE = "pid bigint, repo bigint, known boolean, bits int, prints array<bigint>"
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         found = [evidence(p, t or "") for p, t in zip(b["path"], b["content"])]
-        yield pd.DataFrame({"pid": b["pid"], "repo": b["repo"], "bits": [x[0] for x in found], "prints": [x[1] for x in found]})
+        yield pd.DataFrame({"pid": b["pid"], "repo": b["repo"], "known": b["known"], "bits": [x[0] for x in found], "prints": [x[1] for x in found]})
 
 
 def provenance(files: DataFrame, upstream: DataFrame) -> DataFrame:
@@ -137,21 +137,22 @@ def provenance(files: DataFrame, upstream: DataFrame) -> DataFrame:
     ``pid`` is a 64-bit hash of the path.
     """
     current = current_files(files, ["path", "content"]).select(
-        F.xxhash64("path").alias("pid"), F.xxhash64(repository_of("path")).alias("repo"), "path", "content"
+        F.xxhash64("path").alias("pid"), F.xxhash64(repository_of("path")).alias("repo"), "path", "content", F.lit(False).alias("known")
     )
     known = upstream.select(
-        F.lit(None).cast("bigint").alias("pid"),
+        F.lit(0).cast("bigint").alias("pid"),
         F.xxhash64(F.concat(F.lit("library:"), F.coalesce("library", F.lit("")))).alias("repo"),
         F.concat(F.lit("library/"), F.coalesce("upstream_path", F.lit(""))).alias("path"),
         "content",
+        F.lit(True).alias("known"),
     )
     judged = current.unionByName(known).mapInPandas(_judge, _EVIDENCE)
     # A file without fingerprints keeps one row, under a key of its own.
-    single = F.when(F.size("prints") > 0, F.col("prints")).otherwise(F.array(F.xxhash64("pid", F.lit("none"))))
-    rows = judged.select("pid", "repo", "bits", (F.size("prints") > 0).alias("has"), F.explode(single).alias("print"))
+    single = F.when(F.size("prints") > 0, F.col("prints")).otherwise(F.array(F.xxhash64("pid", "repo", F.lit("none"))))
+    rows = judged.select("pid", "repo", "known", "bits", (F.size("prints") > 0).alias("has"), F.explode(single).alias("print"))
     spread = rows.selectExpr("*", "min(repo) over (partition by print) != max(repo) over (partition by print) as recurs")
     per_file = (
-        spread.filter("pid is not null")
+        spread.filter("not known")
         .groupBy("pid")
         .agg(F.max("bits").alias("bits"), F.avg(F.when(F.col("has") & F.col("recurs"), 1.0).otherwise(0.0)).alias("recurring_share"))
     )

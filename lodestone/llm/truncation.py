@@ -43,9 +43,11 @@ ROUND = (140, 160, 280, 320, 480, 640)
 #: Share of its occurrences at which a sort of line is the last one, for it to close texts.
 CLOSES = 0.2
 
-_TOKEN = re.compile(r"[^\W\d_぀-ヿ㐀-鿿가-힯]+|\d+|[぀-ヿ㐀-鿿가-힯]|[^\w\s]|_")
 _HUMP = re.compile(r"[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+(?![a-zß-öø-ÿ])|[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[)\"'»”’*_`]*\s+|(?<=[。！？])[」』）]*")
+_INNER = re.compile(r"[.!?][)\"'»”’*_`]*\s|[。！？]")
+_T = r"[^\W\d_぀-ヿ㐀-鿿가-힯]+|\d+|[぀-ヿ㐀-鿿가-힯]|[^\w\s]|_"
+_HEAD = re.compile(rf"\s*({_T})\s*({_T})?")
 _LEAD = re.compile(r"^[\s>*#+•–—|-]+|^\d+[.)]\s+")
 _STOP = re.compile(r"[.!?。！？][)\"'»”’*_`」』）\]]*$")
 _WORD_MARKS = r"more|read more|show more|log clipped|clipped|message clipped|truncated|output truncated|cut|cut off|snip|snipped|continued|omitted|tbc|gekürzt|abgeschnitten|tronqué|coupé|truncado|cortado|recortado|以下略|省略|続く"
@@ -58,6 +60,9 @@ _FENCE = re.compile(r"^\s*(?:```|~~~)", re.M)
 
 def _segments(line: str) -> list[str]:
     """Stretches of a line between full stops, each with its stop."""
+    if not _INNER.search(line):
+        rest = _LEAD.sub("", line.strip(), count=1)
+        return [rest] if rest else []
     out, at = [], 0
     for m in _SENTENCE.finditer(line):
         if m.end() > at and m.end() < len(line):
@@ -76,13 +81,13 @@ def _clean_end(text: str) -> str:
 
 
 def _head(segment: str) -> str:
-    """Its first two tokens, numbers made equal."""
-    out = []
-    for m in _TOKEN.finditer(segment):
-        out.append("0" if m[0].isdigit() else m[0][:LONGEST])
-        if len(out) == 2:
-            break
-    return " ".join(out)
+    """Its first two tokens (words, numbers, signs, single ideographs), numbers made equal."""
+    m = _HEAD.match(segment)
+    if m is None:
+        return ""
+    a, b = m[1], m[2]
+    a = "0" if a.isdigit() else a[:LONGEST]
+    return a if b is None else f"{a} {'0' if b.isdigit() else b[:LONGEST]}"
 
 
 def _row(line: str) -> str:
@@ -122,73 +127,74 @@ def ending(text: str) -> dict | None:
         "first": _head(final).split(" ", 1)[0],
         "follows": len(segments) > 1,
         "tail": len(word),
-        "line": last,
+        "line": last[:200],
         "row": _row(last),
     }
 
 
-def _count(texts: list[str], into: dict[tuple[str, str], list[int]]) -> None:
-    """Adds the statistics of distinct texts: (kind, key) -> [a, b]."""
-    for text in texts:
-        e = ending(text)
-        if e is None:
-            continue
-        t = _clean_end(text).rstrip("�").rstrip()
-        for w in set(_HUMP.findall(t[: len(t) - e["tail"]])):
-            if len(w) <= LONGEST:
-                into["word", w][0] += 1
-        lines = [x for x in t.split("\n") if x and not x.isspace()]
-        for i, line in enumerate(lines):
-            closing = i == len(lines) - 1
-            segments = _segments(line)
-            for j, s in enumerate(segments):
-                if not (closing and j == len(segments) - 1):
-                    at = 0 if _STOP.search(s) else 1
-                    head = _head(s)
-                    into["head", head][at] += 1
-                    into["first", head.split(" ", 1)[0]][at] += 1
-            into["row", _row(line.strip())][0 if closing else 1] += 1
-        into["line", e["line"][:200]][0] += 1
-        if e["head"]:
-            into["head", e["head"]][0 if e["stopped"] else 1] += 1
-            into["first", e["first"]][0 if e["stopped"] else 1] += 1
-
-
-def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of the texts of a partition, added up before they leave the worker."""
+def _count(text: str, e: dict, into: dict[tuple[str, str], list[int]]) -> None:
+    """Adds the statistics of one text with its ending: (kind, key) -> [a, b]."""
+    t = _clean_end(text).rstrip("�").rstrip()
+    for w in set(_HUMP.findall(t[: len(t) - e["tail"]])):
+        if len(w) <= LONGEST:
+            into["word", w][0] += 1
+    lines = [x for x in t.split("\n") if x and not x.isspace()]
+    end = len(lines) - 1
+    for i, line in enumerate(lines):
+        segments = _segments(line)
+        if i == end:
+            segments = segments[:-1]
+        for s in segments:
+            at = 0 if _STOP.search(s[-200:]) else 1
+            head = _head(s)
+            into["head", head][at] += 1
+            into["first", head.split(" ", 1)[0]][at] += 1
+        into["row", _row(line.strip())][0 if i == end else 1] += 1
+    into["line", e["line"]][0] += 1
+    if e["head"]:
+        into["head", e["head"]][0 if e["stopped"] else 1] += 1
+        into["first", e["first"]][0 if e["stopped"] else 1] += 1
+
+
+_ENDING = "id bigint, certain boolean, why string, fence boolean, ellipsis boolean, stopped boolean, word string, head string, first string, follows boolean, tail int, line string, row string"
+_STATISTIC = "kind string, key string, a bigint, b bigint"
+_ENDS, _COUNTS = ([c.split()[0] for c in x.split(", ")] for x in (_ENDING, _STATISTIC))
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One pass over the texts: a row with the ending of each, and rows with the counts of all, added up before they leave."""
     counts: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
 
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in (*_COUNTS, *_ENDS)})
+
     def flush() -> pd.DataFrame:
-        out = pd.DataFrame([(k[0], k[1], v[0], v[1]) for k, v in counts.items()], columns=["kind", "key", "a", "b"])
+        out = frame([{"kind": k[0], "key": k[1], "a": v[0], "b": v[1]} for k, v in counts.items()])
         counts.clear()
         return out
 
     for b in batches:
-        _count([x for x in b["text"] if x], counts)
+        rows = []
+        for i, text in zip(b["id"], b["text"]):
+            e = ending(text)
+            if e is not None:
+                _count(text, e, counts)
+                rows.append({"kind": "end", "id": i} | e)
+        yield frame(rows)
         if len(counts) > 300_000:
             yield flush()
     if counts:
         yield flush()
 
 
-_ENDING = "id bigint, certain boolean, why string, fence boolean, ellipsis boolean, stopped boolean, word string, head string, first string, follows boolean, tail int, line string, row string"
-
-
-def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = [(i, e) for i, t in zip(b["id"], b["text"]) if (e := ending(t)) is not None]
-        yield pd.DataFrame([{"id": i} | e | {"line": e["line"][:200]} for i, e in rows], columns=[x.split()[0] for x in _ENDING.split(", ")])
-
-
 def distinct_texts(documents: DataFrame) -> DataFrame:
     """``id`` (64-bit hash) and ``text`` of every distinct text; copies meet on the map side first."""
     return documents.filter("text is not null and trim(text) != ''").groupBy(F.xxhash64("text").alias("id")).agg(F.min("text").alias("text"))
 
 
-def corpus_statistics(texts: DataFrame) -> DataFrame:
-    """(kind, key, a, b) over all distinct texts."""
-    counted = texts.select("text").mapInPandas(_statistics, "kind string, key string, a bigint, b bigint")
-    return counted.groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+def corpus_statistics(passed: DataFrame) -> DataFrame:
+    """(kind, key, a, b) over all distinct texts, from what the pass over them gave."""
+    return passed.filter("kind <> 'end'").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 def prefix_nodes(statistics: DataFrame) -> DataFrame:
@@ -216,9 +222,10 @@ def truncated(documents: DataFrame) -> DataFrame:
     shown = docs.select("doc_id", "source", "id", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
     texts = distinct_texts(docs)
     ensure_checkpoint_dir(documents.sparkSession)
-    # Both are narrow and read more than once below; each text passes through Python once for either.
-    statistics = corpus_statistics(texts).checkpoint()
-    ends = texts.mapInPandas(_endings, _ENDING).checkpoint()
+    # Narrow, and read more than once below; each text passes through Python once.
+    passed = texts.mapInPandas(_read, f"{_STATISTIC}, {_ENDING}").checkpoint()
+    statistics = corpus_statistics(passed)
+    ends = passed.filter("kind = 'end'").select(*_ENDS)
     facts = statistics.unionByName(prefix_nodes(statistics))
     open_ends = ends.filter(~F.col("certain") & (~F.col("stopped") | F.col("ellipsis") | F.col("fence")))
     asked = open_ends.select(
@@ -233,7 +240,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     pick = lambda k, c: F.coalesce(F.max(F.when(F.col("kind") == k, F.col(c))), F.lit(0)).alias(f"{k}_{c}")
     looked = told.groupBy("id").agg(*[pick(k, c) for k in ("word", "node", "head", "first", "line", "row") for c in "ab"])
     both = lambda k: F.col(f"{k}_a") + F.col(f"{k}_b")
-    closes = (F.col("row_a") > 1) & (F.col("row_a") - 1 >= CLOSES * (both("row") - 1))  # without this text itself
+    closes = (F.length("line") > 1) & (F.col("row_a") > 1) & (F.col("row_a") - 1 >= CLOSES * (both("row") - 1))  # without this text itself
     closing = (F.coalesce(F.col("line_a"), F.lit(0)) >= CLOSING_TEXTS) & (F.length("line") > 1)
     # Stretches that begin alike, by two tokens where they are frequent enough, else by one; else any that follow a full stop.
     usual_stop = F.when(both("head") >= HEADS, F.col("head_a") >= HEAD_SHARE * both("head")).when(both("first") >= HEADS, F.col("first_a") >= HEAD_SHARE * both("first")).otherwise(F.col("follows"))

@@ -142,14 +142,15 @@ def _count(text: str, e: dict, into: dict[tuple[str, str], list[int]]) -> None:
     end = len(lines) - 1
     for i, line in enumerate(lines):
         segments = _segments(line)
-        if i == end:
-            segments = segments[:-1]
-        for s in segments:
+        start = _head(segments[0]) if segments else ""
+        shown = line.lstrip()
+        # A line's sort is the head of its first stretch, but for tables and numbered lists.
+        into["row", _row(shown.rstrip()) if shown[0] == "|" or shown[0].isdigit() else start][0 if i == end else 1] += 1
+        for j, s in enumerate(segments[:-1] if i == end else segments):
             at = 0 if _STOP.search(s[-200:]) else 1
-            head = _head(s)
+            head = _head(s) if j else start
             into["head", head][at] += 1
             into["first", head.split(" ", 1)[0]][at] += 1
-        into["row", _row(line.strip())][0 if i == end else 1] += 1
     into["line", e["line"]][0] += 1
     if e["head"]:
         into["head", e["head"]][0 if e["stopped"] else 1] += 1

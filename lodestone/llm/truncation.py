@@ -4,7 +4,7 @@ Every distinct text gives the features of its ending; the corpus gives four kind
 texts: a vocabulary with its trie (known words and their proper prefixes), how often text starting like this reaches a full stop,
 which sorts of line are the last, and which lengths of a source are limits. A text is cut if
 
-* it ends with a cut mark, in a broken character, in a soft line break of a transfer, or inside open braces;
+* it ends with a cut mark, in a broken character, in a soft line break of a transfer, inside open braces or a table's row, or on a line of one letter;
 * its final word is unknown and a proper prefix of known words (the trie);
 * its final stretch has no full stop where stretches that begin alike nearly always have one;
 * it ends in an open code block on a line that does not close texts; or
@@ -29,6 +29,8 @@ from lodestone.session import ensure_checkpoint_dir
 
 #: Runs of more letters are no words, and heads keep as many characters a token.
 LONGEST = 64
+#: Characters at the end of a text that is surely cut from which no word is learnt.
+SURE_CUT = 60
 #: A word is known from this many texts on.
 KNOWN_TEXTS = 2
 #: Stretches that begin alike: at least so many, and at least this share with a full stop.
@@ -109,6 +111,8 @@ def ending(text: str) -> dict | None:
     # Writers forget closing fences, but not the braces of complete code.
     fence = len(_FENCE.findall(t)) % 2 == 1 and not _COMPLETE_CODE.search(last)
     brace = t.count("{") > t.count("}")
+    row = last.startswith("|") and not re.search(r"\|(?:\s*\([^()|]*\))?$", last[-200:]) and "\n|" in t[: -len(last)]
+    letter = len(last) == 1 and last.isalpha() and last < "\u2e80" and len(t) > 1
     mark = _MARK.search(last[-200:]) is not None
     ellipsis = not mark and _ELLIPSIS.search(last[-10:]) is not None
     bare = last[: -len(_ELLIPSIS.search(last[-10:])[0])].rstrip() if ellipsis else last
@@ -117,8 +121,8 @@ def ending(text: str) -> dict | None:
     word = m[0] if (m := _LAST_WORD.search(bare)) else ""
     humps = _HUMP.findall(word)
     return {
-        "certain": soft or broken or brace or mark,
-        "why": "transfer" if soft else "broken_character" if broken else "mark" if mark else "open_block" if brace else "",
+        "certain": soft or broken or brace or mark or row or letter,
+        "why": "transfer" if soft else "broken_character" if broken else "mark" if mark else "open_block" if brace or row else "prefix" if letter else "",
         "fence": fence,
         "ellipsis": ellipsis,
         "stopped": bool(_STOP.search(bare[-200:])) and not ellipsis,
@@ -135,7 +139,13 @@ def ending(text: str) -> dict | None:
 def _count(text: str, e: dict, into: dict[tuple[str, str], list[int]]) -> None:
     """Adds the statistics of one text with its ending: (kind, key) -> [a, b]."""
     t = _clean_end(text).rstrip("�").rstrip()
-    for w in set(_HUMP.findall(t[: len(t) - e["tail"]])):
+    # Words, last lines and sorts of line of a text that is surely cut are no evidence.
+    sure = e["certain"] or e["ellipsis"] or e["fence"]
+    learnt = t[: len(t) - e["tail"]]
+    if sure:
+        learnt = learnt[:-SURE_CUT]
+        learnt = learnt[: max(learnt.rfind(" "), learnt.rfind("\n"), 0)]  # no part of a word
+    for w in set(_HUMP.findall(learnt)):
         if len(w) <= LONGEST:
             into["word", w][0] += 1
     lines = [x for x in t.split("\n") if x and not x.isspace()]
@@ -145,14 +155,16 @@ def _count(text: str, e: dict, into: dict[tuple[str, str], list[int]]) -> None:
         start = _head(segments[0]) if segments else ""
         shown = line.lstrip()
         # A line's sort is the head of its first stretch, but for tables and numbered lists.
-        into["row", _row(shown.rstrip()) if shown[0] == "|" or shown[0].isdigit() else start][0 if i == end else 1] += 1
+        if i < end or not sure:
+            into["row", _row(shown.rstrip()) if shown[0] == "|" or shown[0].isdigit() else start][0 if i == end else 1] += 1
         for j, s in enumerate(segments[:-1] if i == end else segments):
             at = 0 if _STOP.search(s[-200:]) else 1
             head = _head(s) if j else start
             into["head", head][at] += 1
             into["first", head.split(" ", 1)[0]][at] += 1
-    into["line", e["line"]][0] += 1
-    if e["head"]:
+    if not sure or e["ellipsis"]:
+        into["line", e["line"]][0] += 1
+    if e["head"] and not sure:
         into["head", e["head"]][0 if e["stopped"] else 1] += 1
         into["first", e["first"]][0 if e["stopped"] else 1] += 1
 
@@ -241,7 +253,8 @@ def truncated(documents: DataFrame) -> DataFrame:
     pick = lambda k, c: F.coalesce(F.max(F.when(F.col("kind") == k, F.col(c))), F.lit(0)).alias(f"{k}_{c}")
     looked = told.groupBy("id").agg(*[pick(k, c) for k in ("word", "node", "head", "first", "line", "row") for c in "ab"])
     both = lambda k: F.col(f"{k}_a") + F.col(f"{k}_b")
-    closes = (F.length("line") > 1) & (F.col("row_a") > 1) & (F.col("row_a") - 1 >= CLOSES * (both("row") - 1))  # without this text itself
+    own = F.when(F.col("fence"), 0).otherwise(1)  # what this text itself has added
+    closes = (F.length("line") > 1) & (F.col("row_a") > own) & (F.col("row_a") - own >= CLOSES * (both("row") - own))
     closing = (F.coalesce(F.col("line_a"), F.lit(0)) >= CLOSING_TEXTS) & (F.length("line") > 1)
     # Stretches that begin alike, by two tokens where they are frequent enough, else by one; else any that follow a full stop.
     usual_stop = F.when(both("head") >= HEADS, F.col("head_a") >= HEAD_SHARE * both("head")).when(both("first") >= HEADS, F.col("first_a") >= HEAD_SHARE * both("first")).otherwise(F.col("follows"))

@@ -31,7 +31,8 @@ def proxy_vectors(texts: pd.Series) -> np.ndarray:
 
 
 def _blocks(queries: DataFrame, key: str) -> Iterator[DataFrame]:
-    """The queries in blocks by a hash of their key, each about four fifths of ``BLOCK`` rows."""
+    """The queries in blocks by a hash of their key, each about four fifths of ``BLOCK`` rows; those without a key are left out."""
+    queries = queries.filter(F.col(key).isNotNull())
     n = queries.count()
     blocks = -(-5 * n // (4 * BLOCK))
     for i in range(blocks):
@@ -67,7 +68,7 @@ def link_counts(items: DataFrame, queries: DataFrame, key: str, text: str, thres
                 best = np.where(better, value, best)
             yield pd.DataFrame({"source": names, "links": count, "target": who, "strength": best})
 
-        part = items.select(key, text).mapInPandas(search, "source bigint, links bigint, target bigint, strength double")
+        part = items.select(key, text).filter(F.col(key).isNotNull()).mapInPandas(search, "source bigint, links bigint, target bigint, strength double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return items.sparkSession.createDataFrame([], "source bigint, links bigint, target bigint, strength double")
@@ -111,7 +112,7 @@ def nearest_vectors(items: DataFrame, queries: DataFrame, key: str = "vec_id", v
                 part = pd.DataFrame({"query": np.repeat(names, order.shape[1]), "item": ids_[order].ravel(), "score": score.ravel()})
                 yield part[part["score"] > -2.0]
 
-        part = items.select(key, vector).mapInPandas(search, schema)
+        part = items.select(key, vector).filter(F.col(key).isNotNull()).mapInPandas(search, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return items.sparkSession.createDataFrame([], "query bigint, rank int, item bigint, score double")

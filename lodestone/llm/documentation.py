@@ -140,7 +140,7 @@ def lex_python(text: str) -> list[Token]:
 _Any = token("doc", "docline", "comment", "string", "annotation", "blank", "code", "literal", "head", "opening")
 _Between = many(token("blank", "annotation"))
 _Doc = choice(action(many(token("docline"), 1), lambda ts: (ts[0], ts[-1])), action(token("doc"), lambda t: (t, t)))
-_Documented = action(sequence(_Doc, _Between, token("code")), lambda v: ("pair", v[0][0].start, v[0][1].end, v[0][1].last + 1, v[2].line))
+_Documented = action(sequence(_Doc, _Between, token("code")), lambda v: ("pair", v[0][0].start, v[0][1].end, min(v[0][1].last + 1, v[2].line), v[2].line))
 _Unit = many(choice(_Documented, action(_Any, lambda t: None)))
 _PyDocumented = action(sequence(token("head"), many(token("blank", "comment")), token("literal")), lambda v: ("pair", v[2].start, v[2].end, v[0].line, v[0].line))
 _PyUnit = many(choice(_PyDocumented, action(_Any, lambda t: None)))

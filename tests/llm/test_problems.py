@@ -165,6 +165,7 @@ def test_documentation_is_found_in_files():
     py = 'def a(x,\n      y):\n    """Docs."""\n\ndef b():\n    x = """no"""\n\nasync def c():\n    # note\n    \'Single.\'\n'
     assert [(a, d) for a, _, d in documentation.documented_lines("a.py", py)] == [(1, '"""Docs."""'), (8, "'Single.'")]
     assert documentation.documented_lines("a.css", "/** x */\na {}") == [] and documentation.documented_lines("a.js", "") == []
+    assert [(a, b) for a, b, _ in documentation.documented_lines("a.kt", "/** Same line. */ fun f() {}\n/** Other. */\n\n@A\nfun g() {}\n")] == [(1, 1), (3, 5)]
     crlf = "/**\r\n * Two lines.\r\n */\r\nfunction f() {}\r\n"
     assert [(a, b) for a, b, _ in documentation.documented_lines("f.js", crlf)] == [(4, 4)]
 

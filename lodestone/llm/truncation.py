@@ -178,11 +178,14 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One pass over the texts: a row with the ending of each, and rows with the counts of all, added up before they leave."""
     counts: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
 
-    def frame(rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in (*_COUNTS, *_ENDS)})
+    def frame(n: int, columns: dict[str, list]) -> pd.DataFrame:
+        blank = [None] * n
+        return pd.DataFrame({c: pd.Series(columns.get(c, blank), dtype=object) for c in (*_COUNTS, *_ENDS)})
 
     def flush() -> pd.DataFrame:
-        out = frame([{"kind": k[0], "key": k[1], "a": v[0], "b": v[1]} for k, v in counts.items()])
+        kinds, keys = zip(*counts)
+        a, b = zip(*counts.values())
+        out = frame(len(kinds), {"kind": kinds, "key": keys, "a": a, "b": b})
         counts.clear()
         return out
 
@@ -193,7 +196,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if e is not None:
                 _count(text, e, counts)
                 rows.append({"kind": "end", "id": i} | e)
-        yield frame(rows)
+        yield frame(len(rows), {c: [r[c] for r in rows] for c in ("kind", *_ENDS)})
         if len(counts) > 300_000:
             yield flush()
     if counts:

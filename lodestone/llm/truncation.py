@@ -10,7 +10,8 @@ which sorts of line are the last, and which lengths of a source are limits. A te
 * it ends in an open code block on a line that does not close texts; or
 * its length is a limit of its source and its last line is of a sort that does not close texts there.
 
-Lines that many texts end with (greetings, "and so on ...") are closings, whatever they look like. Null and empty texts are
+Lines that many texts end with (greetings, "and so on ...") are closings, whatever they look like, unless most texts that have a line
+beginning like them go on; texts at a limit have no say in that. Null and empty texts are
 never cut; copies share their text's verdict; blanks and detached replacement characters at the end don't count.
 """
 
@@ -35,14 +36,18 @@ SURE_CUT = 60
 KNOWN_TEXTS = 2
 #: Stretches that begin alike: at least so many, and at least this share with a full stop.
 HEADS, HEAD_SHARE = 8, 0.93
-#: Texts that must share a last line for it to be a closing.
+#: Texts that must share a last line for it to be a closing; they must also be a share of ``CLOSES`` of all texts with a line that begins like it.
 CLOSING_TEXTS = 3
+#: Hash values of beginnings of shared last lines that are broadcast.
+BUCKETS = 1 << 16
+#: Characters of a line by which lines are compared.
+LINE = 200
 #: A length is a limit of its source if it has this multiple of the texts that lengths around it have; a round one needs three
 #: texts at least, any other six standard deviations and four texts more than the mean.
 LIMIT_TEXTS, LIMIT_FACTOR, LIMIT_REACH = 3, 4.0, 10
 # Round lengths that are neither multiples of 50 nor next to a power of two.
 ROUND = (140, 160, 280, 320, 480, 640)
-#: Share of its occurrences at which a sort of line is the last one, for it to close texts.
+#: Share of its occurrences at which a line, or a sort of line, is the last one, for it to close texts.
 CLOSES = 0.2
 
 _HUMP = re.compile(r"[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+(?![a-zß-öø-ÿ])|[^\W\d_]+")
@@ -57,6 +62,8 @@ _MARK = re.compile(rf"(?:[\[(<{{]\s*(?:\.\.\.|…|(?:\w+ )?(?:{_WORD_MARKS})(?:
 _ELLIPSIS = re.compile(r"(?:…|\.\.\.|&hellip;|&#8230;|&#x2026;)$")
 _COMPLETE_CODE = re.compile(r"^return\b|[};)\]]$")
 _LAST_WORD = re.compile(r"(?:(?![぀-ヿ㐀-鿿가-힯])[^\W\d_])+$")
+# What ``str.strip`` takes for blanks.
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != "\n")
 _FENCE = re.compile(r"^\s*(?:```|~~~)", re.M)
 
 
@@ -131,7 +138,7 @@ def ending(text: str) -> dict | None:
         "first": _head(final).split(" ", 1)[0],
         "follows": len(segments) > 1,
         "tail": len(word),
-        "line": last[:200],
+        "line": last[:LINE],
         "row": _row(last),
     }
 
@@ -139,7 +146,7 @@ def ending(text: str) -> dict | None:
 def _count(text: str, e: dict, into: dict[tuple[str, str], list[int]]) -> None:
     """Adds the statistics of one text with its ending: (kind, key) -> [a, b]."""
     t = _clean_end(text).rstrip("�").rstrip()
-    # Words, last lines and sorts of line of a text that is surely cut are no evidence.
+    # Words and sorts of line of a text that is surely cut are no evidence.
     sure = e["certain"] or e["ellipsis"] or e["fence"]
     learnt = t[: len(t) - e["tail"]]
     if sure:
@@ -162,8 +169,6 @@ def _count(text: str, e: dict, into: dict[tuple[str, str], list[int]]) -> None:
             head = _head(s) if j else start
             into["head", head][at] += 1
             into["first", head.split(" ", 1)[0]][at] += 1
-    if not sure or e["ellipsis"]:
-        into["line", e["line"]][0] += 1
     if e["head"] and not sure:
         into["head", e["head"]][0 if e["stopped"] else 1] += 1
         into["first", e["first"]][0 if e["stopped"] else 1] += 1
@@ -220,6 +225,29 @@ def prefix_nodes(statistics: DataFrame) -> DataFrame:
     return known.select(node.alias("key")).groupBy("key").agg(F.count("*").alias("a")).select(F.lit("node").alias("kind"), "key", "a", F.lit(0).cast("bigint").alias("b"))
 
 
+def closing_lines(docs: DataFrame, ends: DataFrame, asked: DataFrame, limited: DataFrame) -> DataFrame:
+    """Last lines that texts share and ``asked`` has, as statistics: ``a`` texts end with the line, ``b`` texts have a line that begins with it.
+
+    Texts of ``limited`` (``id``) have no say in ``a``, nor have those that are surely cut. A line meets the shared ones by its beginnings
+    of 2, 4, 8 or 16 characters, and then by those of the lengths that shared lines with this beginning have; so both joins are by equality.
+    """
+    said = ends.filter((~F.col("certain") & ~F.col("fence")) | F.col("ellipsis")).join(limited, "id", "left_anti")
+    shared = said.groupBy(F.col("line").alias("key")).agg(F.count("*").alias("a")).filter((F.col("a") >= CLOSING_TEXTS) & (F.length("key") > 1))
+    shared = shared.join(asked.select(F.col("line").alias("key")), "key", "left_semi").withColumn("start", F.substring_index("key", "\n", 1))
+    start = lambda c, n: F.substring(c, F.lit(1), n)
+    power = F.when(F.length("start") < 4, 2).when(F.length("start") < 8, 4).when(F.length("start") < 16, 8).otherwise(16)
+    stems = shared.groupBy(start("start", power).alias("stem")).agg(F.collect_set(F.length("start")).alias("sizes"))
+    lines = docs.filter("text is not null").select("id", F.explode(F.transform(F.split("text", "\n"), lambda x: start(F.ltrim(x, F.lit(_BLANKS)), F.lit(LINE)))).alias("line"))
+    powers = F.array(*map(F.lit, (2, 4, 8, 16)))
+    met = lines.select("id", "line", F.explode(F.transform(F.filter(powers, lambda n: n <= F.length("line")), lambda n: start("line", n))).alias("stem"))
+    # Most lines are dropped where they are read: at most BUCKETS numbers tell which beginnings can be shared ones.
+    bucket = F.pmod(F.xxhash64("stem"), F.lit(BUCKETS)).alias("bucket")
+    met = met.select("*", bucket).join(F.broadcast(stems.select(bucket).distinct()), "bucket", "left_semi").join(stems, "stem")
+    begun = met.select("id", F.explode(F.transform(F.filter("sizes", lambda n: n <= F.length("line")), lambda n: start("line", n))).alias("start"))
+    texts = begun.distinct().groupBy("start").agg(F.count("*").alias("b"))
+    return shared.join(texts, "start", "left").select(F.lit("line").alias("kind"), "key", "a", F.coalesce("b", "a").alias("b"))
+
+
 def source_limits(lengths: DataFrame) -> DataFrame:
     """Lengths (source, unit, size) at which a source's texts pile up, from (source, unit, size, n)."""
     around = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-LIMIT_REACH, LIMIT_REACH)
@@ -242,8 +270,14 @@ def truncated(documents: DataFrame) -> DataFrame:
     passed = texts.mapInPandas(_read, f"{_STATISTIC}, {_ENDING}").checkpoint()
     statistics = corpus_statistics(passed)
     ends = passed.filter("kind = 'end'").select(*_ENDS)
-    facts = statistics.unionByName(prefix_nodes(statistics))
+    pairs = shown.filter("chars > 0").groupBy("source", "id").agg(F.max("chars").alias("chars"), F.max("bytes").alias("bytes"))
+    sizes = pairs.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("s"))
+    limits = source_limits(sizes.groupBy("source", "s.unit", "s.size").agg(F.count("*").alias("n")))
+    for unit in ("chars", "bytes"):
+        pairs = pairs.join(limits.filter(F.col("unit") == unit).select("source", F.col("size").alias(unit), F.lit(True).alias(f"at_{unit}")), ["source", unit], "left")
+    at_limit = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
     open_ends = ends.filter(~F.col("certain") & (~F.col("stopped") | F.col("ellipsis") | F.col("fence")))
+    facts = statistics.unionByName(prefix_nodes(statistics)).unionByName(closing_lines(docs, ends, open_ends, pairs.filter(at_limit).select("id")))
     asked = open_ends.select(
         "id",
         F.explode(
@@ -258,7 +292,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     both = lambda k: F.col(f"{k}_a") + F.col(f"{k}_b")
     own = F.when(F.col("fence"), 0).otherwise(1)  # what this text itself has added
     closes = (F.length("line") > 1) & (F.col("row_a") > own) & (F.col("row_a") - own >= CLOSES * (both("row") - own))
-    closing = (F.coalesce(F.col("line_a"), F.lit(0)) >= CLOSING_TEXTS) & (F.length("line") > 1)
+    closing = (F.coalesce(F.col("line_a"), F.lit(0)) >= CLOSING_TEXTS) & (F.col("line_a") >= CLOSES * F.col("line_b"))
     # Stretches that begin alike, by two tokens where they are frequent enough, else by one; else any that follow a full stop.
     usual_stop = F.when(both("head") >= HEADS, F.col("head_a") >= HEAD_SHARE * both("head")).when(both("first") >= HEADS, F.col("first_a") >= HEAD_SHARE * both("first")).otherwise(F.col("follows"))
     judged = ends.join(looked, "id", "left").select(
@@ -273,12 +307,6 @@ def truncated(documents: DataFrame) -> DataFrame:
         # Of a sort that does not close texts: seldom the last line where it occurs.
         (~F.col("stopped") & ~closes & ~closing).alias("unclosed"),
     )
-    pairs = shown.filter("chars > 0").groupBy("source", "id").agg(F.max("chars").alias("chars"), F.max("bytes").alias("bytes"))
-    sizes = pairs.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("s"))
-    limits = source_limits(sizes.groupBy("source", "s.unit", "s.size").agg(F.count("*").alias("n")))
-    for unit in ("chars", "bytes"):
-        pairs = pairs.join(limits.filter(F.col("unit") == unit).select("source", F.col("size").alias(unit), F.lit(True).alias(f"at_{unit}")), ["source", unit], "left")
-    at_limit = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
     why = F.coalesce(F.col("why"), F.when(at_limit & F.col("unclosed"), "limit"))
     cut = pairs.join(judged.filter("why is not null or unclosed"), "id").select("source", "id", why.alias("why")).filter("why is not null")
     # A text with very many copies is joined over many tasks.

@@ -310,6 +310,15 @@ def test_truncated(spark):
     assert truncation.truncated(docs.limit(0)).collect() == []
 
 
+def test_cut_ends_that_repeat_are_no_closings(spark):
+    nouns = ["folder", "window", "ledger", "packet", "router", "symbol", "report", "filter"]
+    whole = [f"Compiling {a}\nerror: cannot find '{a}' in scope\n{b} is done.\nCheers" for a in nouns for b in nouns]
+    cut = [f"Compiling {a}\nLinking {a}\nerror: cannot fin" for a in nouns[:4]]
+    docs = spark.createDataFrame(list(enumerate(whole + cut)), "doc_id bigint, text string").selectExpr("doc_id", "'ci' as source", "text")
+    verdicts = {r.doc_id: r.why for r in truncation.truncated(docs).filter("cut").collect()}
+    assert verdicts == dict.fromkeys(range(len(whole), len(whole) + len(cut)), "prefix")
+
+
 def test_limits_of_sources(spark):
     rows = [("s", "c", n, 1) for n in range(100, 900, 7)] + [("s", "c", 500, 9), ("s", "c", 333, 3)]
     lengths = spark.createDataFrame(rows, "source string, unit string, size int, n bigint").groupBy("source", "unit", "size").agg(F.sum("n").alias("n"))

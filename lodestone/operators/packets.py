@@ -82,7 +82,7 @@ def repo_map(symbols: DataFrame, refs: DataFrame, budget: int = 4096, focus: str
     """The best entries that fit the budget: ``rank, entry, score, tokens``, filled greedily in order of score, path, line.
 
     Entries take at least one token, so at most ``budget`` are taken; the first ``2 * budget`` by score are folded at once, and what lies
-    behind them is only looked at where something could still fit.
+    behind them is only looked at where something could still fit. Ranks are places among all entries.
     """
     from pyspark.sql import Window
 
@@ -90,19 +90,27 @@ def repo_map(symbols: DataFrame, refs: DataFrame, budget: int = 4096, focus: str
     scored = entries.select("entry", "path", "start_line", map_score().alias("score"), token_estimate("entry").alias("tokens"))
     order = [F.desc("score"), F.asc("path"), F.asc("start_line"), F.asc("entry")]
     least = 4  # an entry holds at least a name, a blank and its line range
+    key = F.struct((-F.col("score")).alias("score"), "path", "start_line", "entry")
     parts, room, after = None, budget, None
     while room > least:
-        rest = scored if after is None else scored.filter((F.col("score") < after) & (F.col("tokens") < room))
+        rest = scored if after is None else scored.filter((key > after) & (F.col("tokens") < room))
         top = rest.orderBy(*order).limit(2 * budget)
-        numbered = top.select(F.lit(0).alias("g"), F.row_number().over(Window.orderBy(*order)).alias("rank"), "entry", "score", "tokens")
+        numbered = top.select(F.lit(0).alias("g"), F.row_number().over(Window.orderBy(*order)).alias("rank"), "entry", "score", "tokens", "path", "start_line")
         folded = fold_to_budget(numbered, "g", ["rank"], "tokens", room).filter("taken")
         state = folded.agg(F.max("used").alias("used")).first()
-        seen = numbered.agg(F.min("score").alias("low"), F.count("*").alias("n")).first()
+        seen = numbered.agg(F.max_by(key, "rank").alias("last"), F.count("*").alias("n")).first()
+        if after is not None:
+            # Entries that don't fit were left out above, so the few taken are placed among all.
+            taken = folded.select(F.col("entry").alias("_entry"), key.alias("_key"))
+            places = scored.join(F.broadcast(taken), key <= F.col("_key")).groupBy(F.col("_entry").alias("entry")).agg(F.count("*").cast("int").alias("rank"))
+            folded = folded.drop("rank").join(places, "entry")
+        folded = folded.select("rank", "entry", "score", "tokens")
         parts = folded if parts is None else parts.unionByName(folded)
         room -= int(state.used or 0)
         if seen.n < 2 * budget:
             break
-        after = seen.low
+        types = {f.name: f.dataType for f in scored.schema}
+        after = F.struct(*[F.lit(seen["last"][c]).cast(types[c]).alias(c) for c in ("score", "path", "start_line", "entry")])
     out = parts if parts is not None else fold_to_budget(scored.limit(0).select(F.lit(0).alias("g"), F.lit(0).alias("rank"), "entry", "score", "tokens"), "g", ["rank"], "tokens", 1)
     return out.select("rank", "entry", "score", "tokens")
 

@@ -212,6 +212,13 @@ def test_map(spark):
     assert both.filter("entry like 'FOCUS: %'").count() == 1
 
 
+def test_map_looks_at_ties_behind_the_first_entries(spark):
+    long = " ".join(f"word{i}" for i in range(30))
+    s = spark.createDataFrame([*[sym(f"a/F{i:02}.swift", "class", f"C{i}", 1, 2, f"class C{i}: {long}") for i in range(45)], sym("b/Z.swift", "class", "Z", 1, 2, "class Z")], SYMBOL)
+    refs = spark.createDataFrame([], "path string, name string, start_line int, end_line int, context string")
+    assert [(r.rank, r.entry) for r in packets.repo_map(s, refs, 20).collect()] == [(46, "class Z [L1-L2]")]
+
+
 def test_map_of_many_symbols_is_half_the_source(spark):
     body = "\n".join(f"    func filler{i}() {{ let value{i} = other{i}.call({i}, {i + 1}); print(value{i}) }}" for i in range(100))
     s = spark.createDataFrame([sym("A.swift", "class", "A", 1, 102, "class A"), sym("B.swift", "class", "B", 1, 102, "class B"), *[sym("A.swift", "function", f"A.filler{i}", i + 2, i + 2, f"func filler{i}()", "private") for i in range(100)]], SYMBOL)

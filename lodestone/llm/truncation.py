@@ -17,6 +17,7 @@ never cut; copies share their text's verdict; blanks and detached replacement ch
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -40,7 +41,7 @@ HEADS, HEAD_SHARE = 8, 0.93
 CLOSING_TEXTS = 3
 #: Hash values of beginnings of shared last lines that are broadcast.
 BUCKETS = 1 << 16
-#: Characters of a line by which lines are compared.
+#: Characters of a line's start by which lines are compared.
 LINE = 200
 #: A length is a limit of its source if it has this multiple of the texts that lengths around it have; a round one needs three
 #: texts at least, any other six standard deviations and four texts more than the mean.
@@ -138,7 +139,8 @@ def ending(text: str) -> dict | None:
         "first": _head(final).split(" ", 1)[0],
         "follows": len(segments) > 1,
         "tail": len(word),
-        "line": last[:LINE],
+        # Behind a line end, which no line holds, what tells longer lines with one start from each other.
+        "line": last if len(last) <= LINE else f"{last[:LINE]}\n{hashlib.blake2b(last.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}",
         "row": _row(last),
     }
 

@@ -319,6 +319,13 @@ def test_cut_ends_that_repeat_are_no_closings(spark):
     assert verdicts == dict.fromkeys(range(len(whole), len(whole) + len(cut)), "prefix")
 
 
+def test_long_last_lines_with_one_start_differ():
+    start = "word " * 60
+    keys = [truncation.ending(start + x)["line"] for x in ("one", "two", "one")]
+    assert keys[0] == keys[2] != keys[1]
+    assert truncation.ending("a\nCheers")["line"] == "Cheers"
+
+
 def test_limits_of_sources(spark):
     rows = [("s", "c", n, 1) for n in range(100, 900, 7)] + [("s", "c", 500, 9), ("s", "c", 333, 3)]
     lengths = spark.createDataFrame(rows, "source string, unit string, size int, n bigint").groupBy("source", "unit", "size").agg(F.sum("n").alias("n"))

@@ -10,6 +10,8 @@ smaller half makes up for what its last two documents miss, so that the landing
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -23,6 +25,8 @@ from lodestone.session import ensure_checkpoint_dir
 
 #: Documents of a source that fly in one task.
 FLIGHT = 100_000
+#: Targets up to which the plan is broadcast, a row of four numbers each; beyond, it is joined by a shuffle.
+MOST_TARGETS = 100_000
 _EPS = 1e-9
 
 
@@ -111,52 +115,72 @@ def mixed(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """``doc_id, source, tokens, copies`` (one or more) of the mixture. The same seed gives the same mixture. Documents without id
     count in the totals but cannot be chosen.
 
-    Each task flies one group of at most about ``FLIGHT`` documents; a second flight holds two a group.
+    Each task flies one group of at most about ``FLIGHT`` documents. What the groups leave, two each, flies again in groups of
+    that size, level by level, until a source has one group, which is landed.
     """
     return _mixed(counted_documents(documents), targets, seed)
 
 
 def _mixed(docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     plan = source_plan(docs, targets).filter("source is not null and ratio > 0")
-    use = plan.groupBy("source").agg(F.max("ratio").alias("ratio"), F.max("documents").alias("documents"))
-    groups = F.greatest(F.lit(1), F.ceil(F.col("documents") / F.lit(FLIGHT)))
-    rows = skew_join(docs.filter("doc_id is not null"), use, ["source"], "inner").withColumn("flight", F.pmod(F.xxhash64("doc_id"), groups))
+    use = plan.groupBy("source").agg(F.max("ratio").alias("ratio"), F.max("documents").alias("documents")).withColumn("groups", F.greatest(F.lit(1), F.ceil(F.col("documents") / F.lit(FLIGHT))))
+    most, sources = use.agg(F.coalesce(F.max("groups"), F.lit(0)), F.count("*")).first()
     out = "source string, doc_id bigint, tokens bigint, copies int, p double"
 
-    def first(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable")
-        whole = np.floor(g["ratio"].to_numpy() + _EPS)
-        rng = np.random.default_rng([seed, int(key[1]), *str(key[0]).encode()])
-        p = fly_large_first(np.maximum(0.0, g["ratio"].to_numpy() - whole), g["tokens"].to_numpy(dtype=float), rng)
-        return pd.DataFrame({"source": g["source"], "doc_id": g["doc_id"], "tokens": g["tokens"], "copies": (whole + (p == 1.0)).astype("int32"), "p": np.where(p == 1.0, 0.0, p)})
-
-    def last(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable")
-        size = g["tokens"].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, 1 << 20, *str(key[0]).encode()])
-        p = land(fly(g["p"].to_numpy(), size, rng), size)
-        return g.assign(copies=(g["copies"] + (p > 0.5)).astype("int32"), p=0.0)
-
-    flown = rows.select("source", "flight", "doc_id", "tokens", "ratio").groupBy("source", "flight").applyInPandas(first, out)
-    # A decided document has p = 0. The undecided are two a group; both branches follow from the same seeds.
-    landed = flown.filter("p > 0").groupBy("source").applyInPandas(last, out)
-    return flown.filter("p = 0").unionByName(landed).filter("copies > 0").select("doc_id", "source", "tokens", "copies")
+    def with_use(df: DataFrame, *columns: str) -> DataFrame:
+        few = use.select("source", *columns)
+        return df.join(F.broadcast(few), "source") if sources <= MOST_TARGETS else skew_join(df, few, ["source"], "inner")
+
+    def decide(way: Callable[..., np.ndarray], level: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+        def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable")
+            p = way(g["p"].to_numpy(), g["tokens"].to_numpy(dtype=float), np.random.default_rng([seed, level, int(key[1]), *str(key[0]).encode()]))
+            chosen = p > 1 - _EPS
+            return pd.DataFrame({"source": g["source"], "doc_id": g["doc_id"], "tokens": g["tokens"], "copies": (g["copies"] + chosen).astype("int32"), "p": np.where(chosen, 0.0, p)})
+
+        return run
+
+    whole = F.floor(F.col("ratio") + _EPS)
+    rows = with_use(docs.filter("doc_id is not null"), "ratio", "groups")
+    open_ = rows.select("source", "doc_id", "tokens", whole.cast("int").alias("copies"), F.greatest(F.lit(0.0), F.col("ratio") - whole).alias("p"), "groups")
+    done, level = [], 0
+    while True:
+        flight = open_.withColumn("flight", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("groups"))).select("source", "flight", "doc_id", "tokens", "copies", "p")
+        # Narrow, and written so that each level flies once.
+        flown = flight.groupBy("source", "flight").applyInPandas(decide(fly_large_first if not level else fly, level), out).checkpoint()
+        done.append(flown.filter("p = 0"))
+        left = flown.filter("p > 0")  # two a group at most
+        if most <= 1:
+            break
+        level += 1
+        most = -(-2 * most // FLIGHT)
+        use = use.withColumn("groups", F.greatest(F.lit(1), F.ceil(2 * F.col("groups") / F.lit(FLIGHT))))
+        open_ = with_use(left, "groups")
+    landed = left.withColumn("flight", F.lit(0)).groupBy("source", "flight").applyInPandas(decide(lambda p, size, rng: land(p, size), level + 1), out)
+    return reduce(DataFrame.unionByName, done, landed).filter("copies > 0").select("doc_id", "source", "tokens", "copies")
 
 
 def mixture_report(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """Each row of targets with its plan and the tokens that the mixture really has.
 
-    ``share_reached`` is of the mixture; ``share_of_all`` of the tokens of all documents, by which targets are set. The two differ
-    where sources are capped, as the mixture is then smaller."""
+    ``short`` is read off the mixture: it uses every document of the source ``max_repeats`` times and still has fewer tokens than
+    wanted. That agrees with ``capped``, the plan's own arithmetic, wherever all documents of a source have an id. ``missed_tokens``
+    is what the landing missed of the lesser of what is wanted and what can be had. ``share_reached`` is of the mixture;
+    ``share_of_all`` of the tokens of all documents, by which targets are set. The two differ where sources are capped, as the
+    mixture is then smaller."""
     docs = counted_documents(documents)
     plan = source_plan(docs, targets)
+    choosable = docs.filter("doc_id is not null").groupBy("source").agg(F.count("*").alias("choosable"))
     got = _mixed(docs, targets, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").cast("bigint").alias("mixed_documents"), F.max("copies").alias("most_copies"))
     whole = got.agg(F.sum("mixed_tokens").alias("mixture"))  # one row
-    joined = _with_one_row(plan.join(got, "source", "left"), whole)
-    mixed_tokens = F.coalesce("mixed_tokens", F.lit(0))
+    joined = _with_one_row(plan.join(got, "source", "left").join(choosable, "source", "left"), whole)
+    mixed_tokens, mixed_documents = F.coalesce("mixed_tokens", F.lit(0)), F.coalesce("mixed_documents", F.lit(0))
     share = F.when(F.col("mixture") > 0, mixed_tokens / F.col("mixture")).otherwise(F.lit(0.0))
+    used_up = mixed_documents >= F.col("max_repeats") * F.coalesce("choosable", F.lit(0))
+    reachable = F.least(F.col("wanted"), (F.col("max_repeats") * F.col("available")).cast("double"))
     return joined.select(
         F.col("named").alias("source"), "target_share", "max_repeats", "documents", F.col("available").alias("available_tokens"), F.round("wanted", 3).alias("wanted_tokens"), "capped",
-        mixed_tokens.alias("mixed_tokens"), F.coalesce("mixed_documents", F.lit(0)).alias("mixed_documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.round(share, 6).alias("share_reached"),
+        (used_up & (mixed_tokens < F.col("wanted"))).alias("short"), mixed_tokens.alias("mixed_tokens"), F.round(mixed_tokens - reachable, 3).alias("missed_tokens"), mixed_documents.alias("mixed_documents"),
+        F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.round(share, 6).alias("share_reached"),
         F.when(F.col("total") > 0, F.round(mixed_tokens / F.col("total"), 6)).otherwise(F.lit(0.0)).alias("share_of_all"),
     )

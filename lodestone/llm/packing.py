@@ -120,7 +120,8 @@ def container_items(documents: DataFrame, capacity: int) -> DataFrame:
 def packed(documents: DataFrame, capacity: int) -> DataFrame:
     """``container, doc_id, piece, pieces, tokens``: every document, whole or in pieces, in one container each.
 
-    Rows whose ``doc_id`` repeats are items of their own. Documents without tokens are spread over the containers.
+    Rows whose ``doc_id`` repeats are items of their own. Documents without tokens are spread over the containers; where these
+    are few, further containers take them, so that none holds more than ``capacity`` of them.
     """
     spark = documents.sparkSession
     ensure_checkpoint_dir(spark)
@@ -129,7 +130,7 @@ def packed(documents: DataFrame, capacity: int) -> DataFrame:
     empty = histogram.pop(0, 0)
     plan = plan_containers(histogram, capacity)
     segments = _segments(plan)
-    containers = max(1, sum(n for _, n in plan))
+    containers = max(1, sum(n for _, n in plan), -(-empty // capacity))
     groups = {s: -(-n // RANKED) for s, n in (histogram | {0: empty}).items() if n > RANKED}
     salts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in groups.items() for x in kv]), F.col("tokens")), F.lit(1)) if groups else F.lit(1)
     salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts))
@@ -158,5 +159,11 @@ def packed(documents: DataFrame, capacity: int) -> DataFrame:
 
 def containers(documents: DataFrame, capacity: int) -> DataFrame:
     """Each container's ``contents``, ``used`` and ``unused`` tokens. A container holds at most ``capacity`` items with tokens."""
-    item = F.struct("doc_id", "piece", "tokens")
+    item = F.struct("doc_id", "piece", "pieces", "tokens")
     return packed(documents, capacity).groupBy("container").agg(F.sort_array(F.collect_list(item)).alias("contents"), F.sum("tokens").cast("bigint").alias("used"), F.count("*").alias("items")).withColumn("unused", F.lit(capacity) - F.col("used"))
+
+
+def split_documents(boxes: DataFrame) -> DataFrame:
+    """The ``doc_id`` of every document that the containers hold in pieces, read off their contents, once each."""
+    held = boxes.select(F.explode(F.filter("contents", lambda x: (x["pieces"] > 1) & (x["piece"] == 0))).alias("x"))
+    return held.select("x.doc_id").distinct()

@@ -67,8 +67,21 @@ def p5_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.split_documents(p5_containers(spark, d))
+
+
+def p5_items(spark: SparkSession, d: str) -> DataFrame:
+    """What the containers hold of every document: how often its first piece, whether it is whole, and its tokens if so."""
+    inside = p5_containers(spark, d).select(F.explode("contents").alias("x")).select("x.*").filter("piece = 0")
+    return inside.groupBy("doc_id").agg(F.count("*").alias("places"), F.max(F.col("pieces") == 1).alias("whole"), F.max(F.when(F.col("pieces") == 1, F.col("tokens"))).cast("bigint").alias("tokens"))
+
+
+def p5_fill(spark: SparkSession, d: str) -> DataFrame:
+    """One row over all containers: first pieces in them, containers over their capacity, and those whose unused tokens are misstated."""
     capacity, _ = limit_of(table(spark, d, "size_limits"), "container")
-    return packing.packed(table(spark, d, "documents"), capacity).filter("pieces > 1 and piece = 0").select("doc_id")
+    n = lambda test, name: F.count(F.when(test, 1)).alias(name)
+    first = F.sum(F.size(F.filter("contents", lambda x: x["piece"] == 0))).cast("bigint").alias("documents")
+    return packing.containers(table(spark, d, "documents"), capacity).agg(first, n(F.col("used") > capacity, "over_full"), n(F.col("used") + F.col("unused") != capacity, "misstated"))
 
 
 def p6_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +93,17 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_shares(spark, d).filter("capped").select("source")
+    return p6_shares(spark, d).filter("short").select("source")
+
+
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of any mixture: its documents are of the source, none is used too often, and the tokens miss what can be reached by no
+    more than the source's largest document has."""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    sizes = mixing.counted_documents(docs)
+    largest = sizes.groupBy(F.col("source").alias("s")).agg(F.max("tokens").alias("largest"))
+    report = mixing.mixture_report(docs, targets).join(largest, F.lower(F.trim("source")) == F.col("s"), "left")
+    return report.select("source", "max_repeats", "documents", "available_tokens", "wanted_tokens", "capped", "short", (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), (F.abs("missed_tokens") <= F.coalesce("largest", F.lit(0))).alias("near"))
 
 
 def p7_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +121,7 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_budget, p1_documents, p2_found, p2_pieces, p3_found, p3_provenance, p3_handwritten, p4_found, p4_pairs, p5_found, p5_containers, p6_found, p6_mixture, p6_shares, p7_found, p7_verdicts, p7_rates)
+    for f in (p1_found, p1_budget, p1_documents, p2_found, p2_pieces, p3_found, p3_provenance, p3_handwritten, p4_found, p4_pairs, p5_found, p5_containers, p5_items, p5_fill, p6_found, p6_mixture, p6_shares, p6_checks, p7_found, p7_verdicts, p7_rates)
 }
 
 _T01 = r"""(CASE WHEN {0} = '' THEN 0 WHEN {0} IS NOT NULL THEN greatest(1, len(regexp_extract_all({0}, '[a-zA-Z0-9]+|[\p{{P}}\p{{S}}]|\n|[\t\n\f\r\p{{Z}}]+'))
@@ -117,6 +140,12 @@ SQL: dict[str, str] = {
     "p2_found": f"""{_SYMBOL_TEXT} SELECT DISTINCT path, qualified_name, start_line, end_line FROM txt
   WHERE {_T01.format('t')} > (SELECT max_tokens FROM size_limits WHERE limit_name = 'symbol_piece')""",
     "p5_found": f"SELECT doc_id FROM documents WHERE {_T01.format('text')} > (SELECT max_tokens FROM size_limits WHERE limit_name = 'container')",
+    "p5_items": f"""WITH d AS (SELECT doc_id, coalesce({_T01.format('text')}, 0) AS n FROM documents), l AS (SELECT max_tokens AS m FROM size_limits WHERE limit_name = 'container')
+SELECT doc_id, 1::BIGINT AS places, n <= m AS whole, CASE WHEN n <= m THEN n END AS tokens FROM d, l""",
+    "p5_fill": "SELECT count(*) AS documents, 0::BIGINT AS over_full, 0::BIGINT AS misstated FROM documents",
+    "p6_checks": f"""WITH d AS (SELECT lower(trim(source)) AS s, coalesce({_T01.format('text')}, 0) AS n FROM documents), a AS (SELECT s, sum(n)::BIGINT AS n, count(*) AS k FROM d GROUP BY s), w AS (SELECT sum(n) AS t FROM d)
+SELECT m.source, max_repeats, coalesce(k, 0) AS documents, coalesce(a.n, 0) AS available_tokens, round(target_share * t, 3) AS wanted_tokens, max_repeats * coalesce(a.n, 0) < target_share * t AS capped,
+  max_repeats * coalesce(a.n, 0) < target_share * t AS short, true AS within_repeats, true AS near FROM mix_targets m LEFT JOIN a ON a.s = lower(trim(m.source)), w""",
     "p6_found": f"""WITH d AS (SELECT lower(trim(source)) AS s, coalesce({_T01.format('text')}, 0) AS n FROM documents), a AS (SELECT s, sum(n) AS n FROM d GROUP BY s)
 SELECT m.source FROM mix_targets m LEFT JOIN a ON a.s = lower(trim(m.source)) WHERE m.max_repeats * coalesce(a.n, 0) < m.target_share * (SELECT sum(n) FROM d)""",
 }

@@ -247,6 +247,9 @@ def test_packed_documents(spark, monkeypatch):
     assert len(bins) == -(-sum(bins.values()) // 20)
     boxes = packing.containers(docs, 20).collect()
     assert all(b.used + b.unused == 20 and b.items == len(b.contents) for b in boxes)
+    assert [r.doc_id for r in packing.split_documents(packing.containers(docs, 20)).collect()] == [100]
+    blank = packing.containers(docs.withColumn("text", F.lit("")), 20).collect()
+    assert sum(b.items for b in blank) == 65 and len(blank) == 4 and all(b.used == 0 for b in blank)
     assert packing.packed(docs.limit(0), 20).collect() == []
 
 
@@ -285,6 +288,7 @@ def test_mixture_reaches_shares(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " A " if i % 3 else "b", "w " * rng.randint(1, 30), "x") for i in range(600)] + [(900, None, None, "x"), (None, "a", "w", "x")], "doc_id bigint, source string, text string, copies string")
     targets = spark.createDataFrame([("a", 0.3, 2), ("B", 0.5, 2), ("none", 0.2, 4), ("d", None, None)], "source string, target_share double, max_repeats int")
     report = {r.source: r for r in mixing.mixture_report(docs, targets).collect()}
+    assert all(r.capped == r.short for r in report.values()) and all(abs(r.missed_tokens) <= 30 for r in report.values())
     assert report["none"].capped and not report["a"].capped and report["d"].mixed_tokens == 0 and not report["B"].capped
     for s in ("a", "B"):
         assert abs(report[s].mixed_tokens - report[s].wanted_tokens) < 40 and report[s].most_copies <= 2
@@ -293,6 +297,18 @@ def test_mixture_reaches_shares(spark, monkeypatch):
     assert mixing.mixed(docs.limit(0), targets).collect() == []
 
 
+def test_mixture_in_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FLIGHT", 6)
+    monkeypatch.setattr(mixing, "MOST_TARGETS", 0)  # joined by a shuffle
+    docs = spark.createDataFrame([(i, "a", "w " * (1 + i % 13)) for i in range(400)] + [(900, "c", "w " * 5)], "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("c", 0.9, 2)], "source string, target_share double, max_repeats int")
+    report = {r.source: r for r in mixing.mixture_report(docs, targets).collect()}
+    assert abs(report["a"].missed_tokens) <= 26 and report["a"].most_copies == 1 and not report["a"].short
+    assert report["c"].short and report["c"].mixed_documents == 2
+    used = mixing.mixed(docs, targets).collect()
+    assert len(used) == len({r.doc_id for r in used})
+
+
 # ---------------------------------------------------------------------------------------------------------------- 7
 def test_truncated(spark):
     nouns = ["folder", "window", "ledger", "packet", "router", "symbol"]

@@ -337,9 +337,35 @@ def test_cut_ends_that_repeat_are_no_closings(spark):
 
 def test_long_last_lines_with_one_start_differ():
     start = "word " * 60
-    keys = [truncation.ending(start + x)["line"] for x in ("one", "two", "one")]
+    keys = [truncation.ending(start + x)[0]["line"] for x in ("one", "two", "one")]
     assert keys[0] == keys[2] != keys[1]
-    assert truncation.ending("a\nCheers")["line"] == "Cheers"
+    assert truncation.ending("a\nCheers")[0]["line"] == "Cheers"
+
+
+def test_counts_of_stretches_agree_with_a_plain_count():
+    texts = ["Foo bar. Baz qu\n- item one\n\n1. first thing. second\n| a | b |\n日本語。次の文", "Foo bar it. Foo bar at", "x", "a.b is c! Yes", "One\nTwo [...]", "3 ok.\n4 ok."]
+    counts = truncation.Counts()
+    for t in texts:
+        counts.add(*truncation.ending(t))
+    got = {(k, key): (a, b) for k, key, a, b in counts.rows()}
+    assert got["head", "Foo bar"] == (2, 1) and got["head", "日 本"] == (1, 0) and got["head", "0 ok"] == (2, 0) and got["head", "a ."] == (1, 0)
+    assert got["row", "|"] == (0, 1) and got["row", "item one"] == (0, 1) and got["row", "0 ok"] == (1, 1) and got["row", "日 本"] == (1, 0)
+    assert ("row", "Two [") not in got and got["word", "Foo"][0] == 2 and ("word", "qu") in got and ("word", "Yes") not in got
+
+
+def test_words_of_any_length_are_learnt(spark):
+    long = "q" * 500
+    docs = spark.createDataFrame([(1, f"Uses {long} here."), (2, f"Has {long} too."), (3, "It names " + long[:300]), (4, "It names nothing of that kind")], "doc_id bigint, text string").withColumn("source", F.lit(None).cast("string"))
+    assert {r.doc_id: r.why for r in truncation.truncated(docs).filter("cut").collect()} == {3: "prefix"}
+
+
+def test_length_and_trie_are_weighed_together():
+    w = truncation.WEIGHTS
+    assert w["limit"] + w["unclosed"] >= truncation.CUT > w["limit"] + w["stump"] and w["prefix"] >= truncation.CUT > w["unclosed"] + w["stump"]
+
+
+def test_marks():
+    assert [truncation._mark_at(x) for x in ("foo [...]", "foo (message clipped)", "foo … read more", "read more", "foo (bar)", "more", "x <br>", "I read no more", "See the rest, continue reading")] == [4, 4, 6, 0, -1, -1, -1, -1, 14]
 
 
 def test_limits_of_sources(spark):

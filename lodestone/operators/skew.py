@@ -4,34 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Keys that are looked at for being frequent: at most this many leave the cluster.
-MOST_KEYS = 1000
-#: Rows of one key that one task may join, and the tasks at most over which a key is spread.
-ROWS, SPREAD = 1_000_000, 64
+#: Rows of one key that one task may join.
+ROWS = 1_000_000
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """``left`` joined with ``right``, which has at most a few rows a key, on ``keys``.
+    """``left`` joined (``left`` or ``inner``) with ``right``, which has at most a few rows a key, on ``keys``.
 
     Adaptive execution splits a frequent key only where both sides come straight from a shuffle, which a grouped side does not. Here the
-    rows of ``left`` are counted by key (on the map side first) and the at most ``MOST_KEYS`` keys with over ``ROWS`` rows get a salt on
-    the left and a copy for each salt on the right. Null keys match nothing and are spread too. Without such keys it is a plain join.
+    rows of ``left`` are counted by key, on the map side first and as a part of the same plan, so nothing runs while it is built. Every
+    key with more than ``ROWS`` rows gets a salt for each ``ROWS`` of them on the left and a copy for each salt on the right. Of n rows, at
+    most n / ``ROWS`` keys can be that frequent, and only these are broadcast. Null keys match nothing and are spread too. The salt is a hash of
+    the other columns, so rows that are copies of each other stay together.
     """
-    heavy = left.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > ROWS).orderBy(F.desc("_n")).limit(MOST_KEYS).collect()
-    if not heavy:
-        return left.join(right, keys, how)
     spread = {c: f"_k{i}" for i, c in enumerate(keys)}
-    schema = left.select(*[F.col(c).alias(n) for c, n in spread.items()]).schema.add("_salts", T.IntegerType())
-    rows = [(*[r[c] for c in keys], min(SPREAD, -(-r["_n"] // ROWS))) for r in heavy]
-    salts = F.broadcast(left.sparkSession.createDataFrame(rows, schema))  # MOST_KEYS rows at most
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > ROWS)
+    hot = F.broadcast(counts.select(*[F.col(c).alias(n) for c, n in spread.items()], F.ceil(F.col("_n") / F.lit(ROWS)).alias("_salts")))
 
-    def counted(df: DataFrame) -> DataFrame:
+    def salts(df: DataFrame) -> DataFrame:
         on = [df[c].eqNullSafe(F.col(n)) for c, n in spread.items()]
-        return df.join(salts, on, "left").drop(*spread.values()).withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+        return df.join(hot, on, "left").drop(*spread.values()).withColumn("_salts", F.coalesce("_salts", F.lit(1).cast("bigint")))
 
     others = [c for c in left.columns if c not in keys]
-    salted = counted(left).withColumn("_salt", F.pmod(F.xxhash64(*(others or keys)), F.col("_salts"))).drop("_salts")
-    copies = counted(right).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("_salts") - 1).cast("bigint")))).drop("_salts")
+    salted = salts(left).withColumn("_salt", F.pmod(F.xxhash64(*(others or keys)), F.col("_salts"))).drop("_salts")
+    copies = salts(right).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))).drop("_salts")
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -81,38 +81,35 @@ def map_score() -> Column:
 def repo_map(symbols: DataFrame, refs: DataFrame, budget: int = 4096, focus: str | None = None) -> DataFrame:
     """The best entries that fit the budget: ``rank, entry, score, tokens``, filled greedily in order of score, path, line.
 
-    Entries take at least one token, so at most ``budget`` are taken; the first ``2 * budget`` by score are folded at once, and what lies
-    behind them is only looked at where something could still fit. Ranks are places among all entries.
+    Of entries of one size t, once one does not fit, none behind it does, so only the first ``budget`` / t of them can ever be taken. These
+    are picked by a limited window, which is cut down on the map side; all sizes together have at most ``budget`` * ln(``budget``), and one
+    task folds them. Ranks are places among all entries: each entry finds, by bisection, the taken ones ahead of it, and is counted.
     """
     from pyspark.sql import Window
 
     entries = map_entries(reference_counts(map_candidates(symbols, focus), refs))
-    scored = entries.select("entry", "path", "start_line", map_score().alias("score"), token_estimate("entry").alias("tokens"))
-    order = [F.desc("score"), F.asc("path"), F.asc("start_line"), F.asc("entry")]
-    least = 4  # an entry holds at least a name, a blank and its line range
-    key = F.struct((-F.col("score")).alias("score"), "path", "start_line", "entry")
-    parts, room, after = None, budget, None
-    while room > least:
-        rest = scored if after is None else scored.filter((key > after) & (F.col("tokens") < room))
-        top = rest.orderBy(*order).limit(2 * budget)
-        numbered = top.select(F.lit(0).alias("g"), F.row_number().over(Window.orderBy(*order)).alias("rank"), "entry", "score", "tokens", "path", "start_line")
-        folded = fold_to_budget(numbered, "g", ["rank"], "tokens", room).filter("taken")
-        state = folded.agg(F.max("used").alias("used")).first()
-        seen = numbered.agg(F.max_by(key, "rank").alias("last"), F.count("*").alias("n")).first()
-        if after is not None:
-            # Entries that don't fit were left out above, so the few taken are placed among all.
-            taken = folded.select(F.col("entry").alias("_entry"), key.alias("_key"))
-            places = scored.join(F.broadcast(taken), key <= F.col("_key")).groupBy(F.col("_entry").alias("entry")).agg(F.count("*").cast("int").alias("rank"))
-            folded = folded.drop("rank").join(places, "entry")
-        folded = folded.select("rank", "entry", "score", "tokens")
-        parts = folded if parts is None else parts.unionByName(folded)
-        room -= int(state.used or 0)
-        if seen.n < 2 * budget:
-            break
-        types = {f.name: f.dataType for f in scored.schema}
-        after = F.struct(*[F.lit(seen["last"][c]).cast(types[c]).alias(c) for c in ("score", "path", "start_line", "entry")])
-    out = parts if parts is not None else fold_to_budget(scored.limit(0).select(F.lit(0).alias("g"), F.lit(0).alias("rank"), "entry", "score", "tokens"), "g", ["rank"], "tokens", 1)
-    return out.select("rank", "entry", "score", "tokens")
+    key = F.struct((-F.col("score")).alias("s"), "path", "start_line", "entry").alias("key")
+    scored = entries.select("entry", "path", "start_line", map_score().alias("score"), token_estimate("entry").alias("tokens")).select("entry", "score", "tokens", key)
+    nth = F.row_number().over(Window.partitionBy("tokens").orderBy("key"))
+    able = scored.filter(F.col("tokens") < budget).withColumn("nth", nth).filter(F.col("nth") <= budget).filter(F.col("nth") * F.col("tokens") < budget)
+    taken = fold_to_budget(able.drop("nth").withColumn("g", F.lit(0)), "g", ["key"], "tokens", budget).filter("taken")
+    taken = taken.select("entry", "score", "tokens", "key", F.row_number().over(Window.orderBy("key")).alias("at"))  # at most ``budget`` rows
+
+    def ahead(keys: Column, k: Column) -> Column:
+        """How many of the sorted keys are less than ``k``."""
+
+        def halve(s: Column, _: Column) -> Column:
+            mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+            step = F.when(F.element_at(keys, mid + 1) < k, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+            return F.when(s["lo"] < s["hi"], step).otherwise(s)
+
+        start = F.struct(F.lit(0).alias("lo"), F.size(keys).alias("hi"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(budget.bit_length() + 1)), start, halve)["lo"]
+
+    keys = taken.agg(F.sort_array(F.collect_list("key")).alias("_keys"))  # one row
+    counts = scored.select("key").crossJoin(F.broadcast(keys)).select((ahead(F.col("_keys"), F.col("key")) + 1).alias("at")).groupBy("at").agg(F.count("*").alias("n"))
+    ranks = counts.select("at", F.sum("n").over(Window.orderBy("at")).cast("int").alias("rank"))
+    return taken.join(ranks, "at").select("rank", "entry", "score", "tokens")
 
 
 def failure_lines(logs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 10) -> DataFrame:

@@ -219,6 +219,23 @@ def test_map_looks_at_ties_behind_the_first_entries(spark):
     assert [(r.rank, r.entry) for r in packets.repo_map(s, refs, 20).collect()] == [(46, "class Z [L1-L2]")]
 
 
+@pytest.mark.parametrize("budget", [9, 23, 60, 200])
+def test_map_against_brute_force(spark, budget):
+    import random
+
+    rng = random.Random(budget)
+    rows = [sym(f"a/F{i % 17}.swift", "class", f"C{i}", i % 5, i % 5 + 2, f"class C{i} " + "word " * rng.choice([0, 0, 1, 3, 9, 40])) for i in range(150)]
+    s = spark.createDataFrame(rows, SYMBOL)
+    refs = spark.createDataFrame([("x", f"C{i % 30}", 1, 1, None) for i in range(90)], "path string, name string, start_line int, end_line int, context string")
+    entries = packets.map_entries(symbols.reference_counts(packets.map_candidates(s), refs)).withColumn("score", packets.map_score()).collect()
+    used, want = 0, []
+    for rank, e in enumerate(sorted(entries, key=lambda e: (-e.score, e.path, e.start_line, e.entry)), 1):
+        if used + count_tokens(e.entry) < budget:
+            used += count_tokens(e.entry)
+            want.append((rank, e.entry))
+    assert sorted((r["rank"], r["entry"]) for r in packets.repo_map(s, refs, budget).collect()) == want
+
+
 def test_map_of_many_symbols_is_half_the_source(spark):
     body = "\n".join(f"    func filler{i}() {{ let value{i} = other{i}.call({i}, {i + 1}); print(value{i}) }}" for i in range(100))
     s = spark.createDataFrame([sym("A.swift", "class", "A", 1, 102, "class A"), sym("B.swift", "class", "B", 1, 102, "class B"), *[sym("A.swift", "function", f"A.filler{i}", i + 2, i + 2, f"func filler{i}()", "private") for i in range(100)]], SYMBOL)

@@ -10,6 +10,8 @@ import numpy as np
 from lodestone.functions.tokens import codepoints
 
 WORD, SPACE, LINE, SYMBOL = 1, 2, 3, 4
+#: Distances between lines of one shape that are tried as the period of a text, the most frequent ones.
+STEPS = 6
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(1099511628211)
 
@@ -151,6 +153,16 @@ class Shape(NamedTuple):
     code_lines: int
 
 
+def _steps(shapes: np.ndarray) -> list[int]:
+    """The most frequent distances between a line and the last one of its shape, half of the lines at most."""
+    order = np.argsort(shapes, kind="stable")
+    same = shapes[order[1:]] == shapes[order[:-1]]
+    gaps = (order[1:] - order[:-1])[same]
+    gaps = gaps[gaps <= len(shapes) // 2]
+    steps, n = np.unique(gaps, return_counts=True)
+    return steps[np.argsort(-n, kind="stable")[:STEPS]].tolist()
+
+
 def shape(x: Lexed, comment: np.ndarray) -> Shape:
     """Layout statistics that tell written code from emitted, packed or tabular text."""
     none = Shape(x.n, x.spaces / max(1, x.n), 0.0, 0.0, 1.0, 0.0, 0)
@@ -173,5 +185,5 @@ def shape(x: Lexed, comment: np.ndarray) -> Shape:
     total = np.add.reduceat(size, opens)
     data = np.maximum(literal, quoted) + np.where(quoted > 0, np.minimum(literal, total - quoted), 0) >= 0.6 * total
     m = len(shapes)
-    period = max((float((shapes[q:] == shapes[:-q]).mean()) for q in range(1, min(12, m // 2) + 1)), default=0.0)
+    period = max((float((shapes[q:] == shapes[:-q]).mean()) for q in _steps(shapes)), default=0.0)
     return Shape(x.n, x.spaces / max(1, x.n), x.n / used, period, len(np.unique(shapes)) / m, float(data.mean()), m)

@@ -116,7 +116,7 @@ WRITTEN = "import a\n\n" + "\n".join(f"func step{i}(x: Int) {{\n    if x > {i} {
 
 
 def reasons(path, text):
-    bits, _ = provenance.evidence(path, text)
+    bits, _, _ = provenance.evidence(path, text)
     return {r for i, r in enumerate(provenance.REASONS) if bits >> i & 1}
 
 
@@ -131,21 +131,50 @@ def test_single_file_evidence():
     assert "data" in reasons("r/a.swift", "let t = [\n" + "  1, 22, 333, 4,\n" * 40 + "]\n")
     assert "repetitive" in reasons("r/a.kt", "class A {\n" + "".join(f"  fun has{i}(w: Int): Int {{\n    if (w == {i}) {{\n      b[{i}] = w\n    }}\n    return b[{i}]\n  }}\n" for i in range(20)) + "}\n")
     assert reasons("r/package-lock.json", '{"lockVersion": 3, "packages": {"a": {"resolved": "x", "integrity": "y"}}}') == {"lockfile"}
+    assert reasons("r/yarn.lock", "# THIS IS AN AUTOGENERATED FILE.\n# yarn lockfile v1\n\na@1:\n  version 1\n") == {"lockfile"} == reasons("r/pnpm-lock.yaml", "x: 1\n" * 400 + "lockfileVersion: '6.0'\n")
+    assert reasons("r/Cargo.lock", '[[package]]\nname = "a"\nsource = "registry"\nchecksum = "f"\n') == {"lockfile"} and reasons("r/a.yaml", "key: 1\nresolved: no\n") == set()
+    assert reasons("r/d.swift", "let t = [\n" + "  1, 22, 333, 4, 55555,\n" * 8 + "]\n") == {"data"} and reasons("r/d.swift", "let a = 12345678901234\nlet b = 2\n") == set()
     assert reasons("r/c.json", '{"a": 1}') == set() and reasons("r/e.swift", "") == set() and reasons("r/m.md", "Do not edit") == set()
     assert "library_folder" in reasons("r/app/node_modules/kettle/a.js", WRITTEN)
     assert reasons("r/vendor/src/main/kotlin/dev/vendor/A.kt", WRITTEN) == set() and reasons("r/web/src/vendor/kettle/a.ts", WRITTEN) == set()
 
 
+def written(seed, lines=60):
+    rng = random.Random(seed)
+    forms = ["call{0}(x{1}, {2})", "let v{0} = {2}.go[{1}]", "if w{0} > u{1} {{ {2}() }}", "    return k{0}", "for i{0} in {2} {{", "}}", "    a{0}.b{1} += c{1} * 2"]
+    return "\n".join(rng.choice(forms).format(rng.randint(0, 10**6), rng.randint(0, 10**6), rng.choice("pqrst") + str(rng.randint(0, 10**6))) for _ in range(lines))
+
+
+UPSTREAM = "library string, version string, upstream_path string, language string, content string"
+
+
+def provenance_of(spark, rows, upstream=()):
+    """(path, day it was modified, content)"""
+    from datetime import datetime
+
+    files = spark.createDataFrame([(p, None, str(i), None, datetime(2024, 1, day) if day else None, datetime(2024, 2, 1), c) for i, (p, day, c) in enumerate(rows)], "path string, language string, sha256 string, known string, modified_at timestamp_ntz, indexed_at timestamp_ntz, content string")
+    return {r.path: r.reasons for r in provenance.provenance(files, spark.createDataFrame(list(upstream), UPSTREAM)).collect()}
+
+
 def test_copies_across_repositories(spark):
-    rng = random.Random(5)
-    line = lambda s: rng.choice(["call{0}(x{1}, {2})", "let v{0} = {2}.go[{1}]", "if w{0} > u{1} {{ {2}() }}", "    return k{0}", "for i{0} in {2} {{", "}}", "    a{0}.b{1} += c{1} * 2"]).format(rng.randint(0, 10**6), rng.randint(0, 10**6), s)
-    body = lambda s: "\n".join(line(s) for _ in range(60))
-    shared, own = body("a"), body("b")
-    files = file_rows(spark, [("r1/a.swift", 0, shared), ("r2/b.swift", 0, "// new head\n" + shared + "\nend()"), ("r3/c.swift", 0, own), ("r3/d.swift", 0, own), ("r4/e.swift", 0, ""), ("r4/f.swift", 0, None)])
-    upstream = spark.createDataFrame([("lib", "1", "x/y.swift", "swift", body("c"))], "library string, version string, upstream_path string, language string, content string")
-    got = {r.path: r.reasons for r in provenance.provenance(files, upstream).collect()}
-    assert got == {"r1/a.swift": ["copied"], "r2/b.swift": ["copied"], "r3/c.swift": [], "r3/d.swift": [], "r4/e.swift": [], "r4/f.swift": []}
-    assert provenance.provenance(files.limit(0), upstream).collect() == []
+    shared, own, known = written("a"), written("b"), written("c")
+    rows = [("r1/a.swift", 1, shared), ("r2/b.swift", 3, "// new head\n" + shared + "\nend()"), ("r5/b.swift", None, shared), ("r3/c.swift", 1, own), ("r3/d.swift", 1, own), ("r4/e.swift", 1, ""), ("r4/f.swift", 1, None), ("r4/k.swift", 1, known)]
+    got = provenance_of(spark, rows, [("lib", "1", "x/y.swift", "swift", known)])
+    # The original is the one that was there first; a library that is known is a copy wherever it lies.
+    assert got == {"r1/a.swift": [], "r2/b.swift": ["copied"], "r5/b.swift": ["copied"], "r3/c.swift": [], "r3/d.swift": [], "r4/e.swift": [], "r4/f.swift": [], "r4/k.swift": ["copied"]}
+    assert provenance_of(spark, [(*r[:2], None) for r in rows[:1]]) == {"r1/a.swift": []}
+
+
+def test_forks_do_not_accuse_each_other(spark):
+    rows = [(f"{repo}/{name}.kt", day, written(name)) for repo, day in (("one", 1), ("fork", 2)) for name in "abc"]
+    assert set(map(tuple, provenance_of(spark, rows).values())) == {()}
+
+
+def test_company_headers_are_a_repository_s_own(spark):
+    header = "// Copyright (c) {} Acme Corp. All rights reserved.\n"
+    rows = [(f"my-repo/Sources/F{i}.swift", 1, header.format(2020 + i) + written(i)) for i in range(4)] + [("my-repo/Sources/G.swift", 1, "// Copyright 2019 the kettle authors.\n" + written("g"))]
+    got = provenance_of(spark, rows + [("solo/Add.swift", 1, header.format(2024) + written("solo"))])
+    assert [p for p, r in got.items() if r] == ["my-repo/Sources/G.swift"]
 
 
 def test_fingerprints_find_shared_stretches():

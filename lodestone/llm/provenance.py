@@ -20,7 +20,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.lexing import comment_lines, fingerprints, lex, shape
@@ -40,6 +40,8 @@ REPETITIVE, SURELY_REPETITIVE, VARIETY, DATA, SURELY_DATA = 0.45, 0.35, 0.3, 0.6
 SURE = 1.96
 #: Fingerprints that recur are told from others by so many bits before they travel back to their files.
 BUCKETS = 1 << 20
+#: Stands for an unknown time of modification, after all others.
+LAST = (1 << 62) + 1
 REASONS = ("marked", "repetitive", "packed", "data", "lockfile", "notice", "library_folder", "copied")
 _BIT = {r: 1 << i for i, r in enumerate(REASONS)}
 
@@ -144,25 +146,38 @@ def evidence(path: str, text: str) -> tuple[int, list[int], str]:
     return bits, fingerprints(x, ~comment, K, WINDOW).tolist(), notice
 
 
-_EVIDENCE = "pid bigint, repo bigint, since timestamp_ntz, known boolean, bits int, prints array<bigint>, notice bigint"
+_EVIDENCE = "pid bigint, repo bigint, since bigint, known boolean, bits int, prints array<bigint>, notice bigint"
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         found = [evidence(p, t or "") for p, t in zip(b["path"], b["content"])]
         hashes = [int.from_bytes(hashlib.blake2b(x[2].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) if x[2] else None for x in found]
-        yield pd.DataFrame({"pid": b["pid"], "repo": b["repo"], "since": b["since"], "known": b["known"], "bits": [x[0] for x in found], "prints": [x[1] for x in found], "notice": pd.Series(hashes, dtype="Int64", index=b.index)})
+        yield pd.DataFrame({"pid": b["pid"], "repo": b["repo"], "since": b["since"].astype("Int64").mask(b["known"]), "known": b["known"], "bits": [x[0] for x in found], "prints": [x[1] for x in found], "notice": pd.Series(hashes, dtype="Int64", index=b.index)})
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("print"), F.lit(BUCKETS)).alias("bucket")
+
+
+def _among(rows: DataFrame, prints: DataFrame) -> DataFrame:
+    """Rows whose ``print`` can be among some prints, told by a bitmap of ``BUCKETS`` numbers; the rest needs no shuffle."""
+    return rows.withColumn("bucket", _bucket()).join(F.broadcast(prints.select(_bucket()).distinct()), "bucket", "left_semi").drop("bucket")
 
 
 def recurring_prints(rows: DataFrame) -> DataFrame:
     """Fingerprints that are third-party ones: ``print, first``: in a known file (``first`` is null), or in ``MANY`` repositories, of which
     ``first`` is the one that had it first.
 
-    Counted in two steps, a repository once a fingerprint first, so that text which all files share is reduced on the map side.
+    Counted in two steps, a repository once a fingerprint first, so that text which all files share is reduced on the map side. The
+    first repository is sought for those that recur only. Known files have no time.
     """
-    each = rows.groupBy("print", "repo").agg(F.min(F.coalesce("since", F.lit("9999-12-31").cast("timestamp_ntz"))).alias("since"), F.max("known").alias("known"))
-    among = each.groupBy("print").agg(F.max("known").alias("known"), F.count("*").alias("repos"), F.min_by("repo", F.struct("since", "repo")).alias("first"))
-    return among.filter(F.col("known") | (F.col("repos") >= MANY)).select("print", F.when(~F.col("known"), F.col("first")).alias("first"))
+    each = rows.groupBy("print", "repo").agg(F.min("since").alias("since"))
+    repos = each.groupBy("print").agg(F.count("*").alias("repos"), F.count("since").alias("dated"))
+    recurring = repos.filter((F.col("dated") < F.col("repos")) | (F.col("repos") >= MANY))
+    first = _among(each, recurring).groupBy("print").agg(F.count("*").alias("repos"), F.count("since").alias("dated"), F.min_by("repo", F.struct("since", "repo")).alias("first"))
+    third = first.filter((F.col("dated") < F.col("repos")) | (F.col("repos") >= MANY))
+    return third.select("print", F.when(F.col("dated") == F.col("repos"), F.col("first")).alias("first"))
 
 
 def provenance(files: DataFrame, upstream: DataFrame) -> DataFrame:
@@ -175,22 +190,20 @@ def provenance(files: DataFrame, upstream: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(files.sparkSession)
     current = current_files(files, ["path", "content", "modified_at"]).select(
-        F.xxhash64("path").alias("pid"), F.xxhash64(repository_of("path")).alias("repo"), F.col("modified_at").alias("since"), "path", "content", F.lit(False).alias("known")
+        F.xxhash64("path").alias("pid"), F.xxhash64(repository_of("path")).alias("repo"), F.coalesce(F.unix_micros(F.col("modified_at").cast("timestamp")), F.lit(LAST)).alias("since"), "path", "content", F.lit(False).alias("known")
     )
     known = upstream.select(
         F.lit(0).cast("bigint").alias("pid"),
         F.xxhash64(F.concat(F.lit("library:"), F.coalesce("library", F.lit("")))).alias("repo"),
-        F.lit(None).cast("timestamp_ntz").alias("since"),
+        F.lit(LAST).alias("since"),
         F.concat(F.lit("library/"), F.coalesce("upstream_path", F.lit(""))).alias("path"),
         "content",
         F.lit(True).alias("known"),
     )
     judged = current.unionByName(known).mapInPandas(_judge, _EVIDENCE).checkpoint()
     own = judged.filter("not known")
-    recurring = recurring_prints(judged.select("repo", "since", "known", F.explode("prints").alias("print")))
-    bucket = F.pmod(F.xxhash64("print"), F.lit(BUCKETS)).alias("bucket")
-    rows = own.select("pid", "repo", F.explode("prints").alias("print")).select("*", bucket)
-    maybe = rows.join(F.broadcast(recurring.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+    recurring = recurring_prints(judged.select("repo", "since", F.explode("prints").alias("print")))
+    maybe = _among(own.select("pid", "repo", F.explode("prints").alias("print")), recurring)
     met = skew_join(maybe, recurring, ["print"], "inner").filter("first is null or first <> repo")
     shared = met.groupBy("pid").agg(F.count("*").alias("shared"))
     # A notice that most of a repository's files bear is its own.

@@ -2,26 +2,35 @@
 
 A lexer per language family turns a file into tokens that keep their offsets: documentation comments, other comments, annotations,
 blank lines, function heads, strings that stand alone and other lines. A parsing-expression grammar over them, parsed packrat, emits each
-documentation with the lines that it documents. A pair is dropped if the documentation, without comment marks, rulers, tags,
-placeholders, code and whatever name and signature already say, has no word left.
+documentation with the lines that it documents; the declaration itself is parsed by the grammar of its language (``grammars``), which gives
+the function's name and signature. A pair is dropped if the documentation, without comment marks, rulers, tags,
+placeholders, code and whatever name and signature already say, has no word left, or if what is left is said of many functions of all kinds
+(``BOILERPLATE``), whatever the language.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lodestone.llm.grammars import PYTHON, function_at
 from lodestone.llm.items import KEY
-from lodestone.llm.packrat import Token, absent, action, choice, many, optional, sequence, token
+from lodestone.llm.packrat import Token, action, choice, many, sequence, token
 from lodestone.operators.current import current_files
 from lodestone.schema import KINDS
+from lodestone.session import ensure_checkpoint_dir
 
 #: Kinds of symbols that are functions, besides unknown ones.
 FUNCTIONS = ("function", "method", "initializer", "constructor")
+#: Share of the documented functions of a corpus, and number of different names among them, from which on what they all say is boilerplate.
+BOILERPLATE, BOILERPLATE_NAMES = 0.05, 30
 
 # ---------------------------------------------------------------------------------------------------------------- lexers
 _BRACE = re.compile(
@@ -33,6 +42,9 @@ _BRACE = re.compile(
     re.X | re.S,
 )
 _BRACE_START = re.compile(r'/[/*]|"|`|\'')
+#: In other languages than these a backtick opens no string.
+BACKTICKS = frozenset(("swift", "kt", "kts", "java", "js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts", "go", "scala"))
+_PLAIN_START = re.compile(r'/[/*]|"|\'')
 _ANNOTATION = re.compile(r"@[\w.]+(?:\((?:[^()\n]|\([^()\n]*\))*\))?\s*$")
 
 
@@ -73,11 +85,12 @@ def _by_line(text: str, spans: list[tuple[str, int, int]]) -> list[Token]:
     return out
 
 
-def lex_brace(text: str) -> list[Token]:
-    """Swift, Kotlin, Java, JavaScript and TypeScript."""
+def lex_brace(text: str, backticks: bool = True) -> list[Token]:
+    """Languages whose documentation stands in ``///`` or ``/** */`` comments."""
     spans: list[tuple[str, int, int]] = []
     at = 0
-    while (m := _BRACE_START.search(text, at)) is not None:
+    opens = _BRACE_START if backticks else _PLAIN_START
+    while (m := opens.search(text, at)) is not None:
         w = _BRACE.match(text, m.start())
         if w is None:
             at = m.start() + 1
@@ -135,26 +148,52 @@ def lex_python(text: str) -> list[Token]:
 
 # -------------------------------------------------------------------------------------------------------------- grammars
 #   Unit        <- (Documented / Token)*
-#   Documented  <- Doc (Blank / Annotation)* Code          Doc <- DocLine+ / DocBlock
+#   Documented  <- Doc (Blank / Annotation)* Code          Doc <- DocLine+ / DocBlock          Code: a declaration, see ``grammars``
 #   Python: Documented <- Head (Blank / Comment)* Literal
 _Any = token("doc", "docline", "comment", "string", "annotation", "blank", "code", "literal", "head", "opening")
 _Between = many(token("blank", "annotation"))
 _Doc = choice(action(many(token("docline"), 1), lambda ts: (ts[0], ts[-1])), action(token("doc"), lambda t: (t, t)))
-_Documented = action(sequence(_Doc, _Between, token("code")), lambda v: ("pair", v[0][0].start, v[0][1].end, min(v[0][1].last + 1, v[2].line), v[2].line))
+_Documented = action(sequence(_Doc, _Between, token("code")), lambda v: (v[0][0].start, v[0][1].end, min(v[0][1].last + 1, v[2].line), v[2].line, next((t.start for t in v[1] if t.kind == "annotation"), v[2].start)))
 _Unit = many(choice(_Documented, action(_Any, lambda t: None)))
-_PyDocumented = action(sequence(token("head"), many(token("blank", "comment")), token("literal")), lambda v: ("pair", v[2].start, v[2].end, v[0].line, v[0].line))
+_PyDocumented = action(sequence(token("head"), many(token("blank", "comment")), token("literal")), lambda v: (v[2].start, v[2].end, v[0].line, v[0].line, v[0].start))
 _PyUnit = many(choice(_PyDocumented, action(_Any, lambda t: None)))
-_LANGUAGES = {e: (lex_brace, _Unit) for e in ("swift", "kt", "kts", "java", "js", "jsx", "ts", "tsx")} | {"py": (lex_python, _PyUnit)}
 
 
-def documented_lines(path: str, text: str) -> list[tuple[int, int, str]]:
-    """(first line, last line, documentation) of each documented declaration; the lines reach from below the documentation to the
-    declaration, annotations included. Files of other languages have none."""
-    lexer, unit = _LANGUAGES.get(path.rsplit(".", 1)[-1].lower(), (None, None))
-    if lexer is None or not text:
+class Documented(NamedTuple):
+    first: int  # lines from below the documentation to the declaration, annotations included
+    last: int
+    documentation: str
+    name: str | None  # of the function declared there; null for other declarations
+    signature: str | None
+
+
+def extension_of(path: str) -> str:
+    name = path.rsplit("/", 1)[-1]
+    return name.rsplit(".", 1)[-1].lower() if "." in name else ""
+
+
+def documented(path: str, text: str, parse: bool = True) -> list[Documented]:
+    """Each documented declaration of a file, in any language whose documentation looks like one of the three forms. With ``parse``,
+    names and signatures of functions."""
+    if not text:
         return []
-    parsed = unit(lexer(text), 0, {})
-    return [(v[3], v[4], text[v[1] : v[2]]) for v in (parsed[0] if parsed else []) if v is not None]
+    ext = extension_of(path)
+    if ext in PYTHON:
+        found = _PyUnit(lex_python(text), 0, {})
+    elif "/**" in text or "///" in text:
+        found = _Unit(lex_brace(text, ext in BACKTICKS), 0, {})
+    else:
+        return []
+    out = []
+    for v in (x for x in (found[0] if found else []) if x is not None):
+        f = function_at(text, v[4], ext) if parse else None
+        out.append(Documented(v[2], v[3], text[v[0] : v[1]], f.name if f else None, text[f.start : f.end] if f else None))
+    return out
+
+
+def documented_lines(path: str, text: str) -> list[tuple[int, int, str]]:
+    """(first line, last line, documentation) of each documented declaration."""
+    return [tuple(d[:3]) for d in documented(path, text, False)]
 
 
 # -------------------------------------------------------------------------------------------------------- informativeness
@@ -211,8 +250,9 @@ def documentation_text(doc: str) -> str:
     return "\n".join(_MARKS.sub("", x).rstrip() for x in t.split("\n")).strip()
 
 
-def informative(doc: str, name: str, signature: str) -> bool:
-    """Whether the documentation says in words something that name and signature do not."""
+def said_besides(doc: str, name: str, signature: str) -> list[str]:
+    """The words in which the documentation says something that name and signature do not; none if it says nothing."""
+    out: list[str] = []
     said = _stems(name or "") | _stems(signature or "")
     text = _PLACEHOLDER.sub(" ", documentation_text(doc))
     for line in text.split("\n"):
@@ -234,25 +274,75 @@ def informative(doc: str, name: str, signature: str) -> bool:
         for word in _WORD.findall(line.replace("_", " ")):
             parts = _SPLIT.findall(word) or [word]
             if any(_stem(p) not in said and p.lower() not in _EMPTY and _stem(p) not in _EMPTY and (len(p) > 1 or ord(p) > 0x2E80) for p in parts):
-                return True
-    return False
+                out.append(word.lower())
+    return out
+
+
+def informative(doc: str, name: str, signature: str) -> bool:
+    """Whether the documentation says in words something that name and signature do not."""
+    return bool(said_besides(doc, name, signature))
+
+
+def said_hash(doc: str | None, name: str | None, qualified: str | None, signature: str | None) -> int | None:
+    """A hash of ``said_besides``, null where nothing is said."""
+    words = said_besides(doc or "", f"{name or ''} {(qualified or '').rsplit('.', 1)[-1]}", signature or "")
+    return int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) if words else None
 
 
 # ------------------------------------------------------------------------------------------------------------- operators
 _LINES = "path string, line int, found string"
+_FUNCTIONS = "path string, name string, signature string, start_line int, raw string"
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(p, n, d) for p, t in zip(b["path"], b["content"]) for first, last, d in documented_lines(p, t or "") for n in range(first, last + 1)]
+        rows = [(p, n, d.documentation) for p, t in zip(b["path"], b["content"]) for d in documented(p, t or "", False) for n in range(d.first, d.last + 1)]
         yield pd.DataFrame(rows, columns=["path", "line", "found"])
 
 
+def _extract_functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(p, d.name, d.signature, d.last, d.documentation) for p, t in zip(b["path"], b["content"]) for d in documented(p, t or "") if d.name is not None]
+        yield pd.DataFrame(rows, columns=["path", "name", "signature", "start_line", "raw"])
+
+
 def file_documentation(files: DataFrame) -> DataFrame:
     """(path, line, found): documentation in current contents, for each line of the declaration it belongs to."""
     return current_files(files, ["path", "content"]).mapInPandas(_extract, _LINES)
 
 
+@F.pandas_udf(T.LongType())
+def _said(doc: pd.Series, name: pd.Series, qualified: pd.Series, signature: pd.Series) -> pd.Series:
+    return pd.Series([said_hash(*x) for x in zip(doc, name, qualified, signature)], dtype="Int64")
+
+
+@F.pandas_udf(T.StringType())
+def _clean(doc: pd.Series) -> pd.Series:
+    return doc.map(documentation_text)
+
+
+def informative_only(rows: DataFrame) -> DataFrame:
+    """Rows with ``raw`` documentation, ``name, qualified_name, signature`` that say something, ``documentation`` without marks in place of ``raw``.
+
+    What at least ``BOILERPLATE`` of all rows that say something say, of ``BOILERPLATE_NAMES`` different names, is dropped: there are at most
+    1 / ``BOILERPLATE`` such texts, which are broadcast.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    said = rows.withColumn("said", _said("raw", "name", "qualified_name", "signature")).filter("said is not null").checkpoint()  # read twice, parsed once
+    total = said.agg(F.count("*").alias("total"))  # one row
+    counts = said.groupBy("said").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).filter((F.col("n") >= BOILERPLATE * F.col("total")) & (F.col("n") >= BOILERPLATE_NAMES))
+    frequent = said.join(F.broadcast(counts.select("said")), "said", "left_semi").groupBy("said").agg(F.count_distinct("name").alias("names")).filter(F.col("names") >= BOILERPLATE_NAMES)
+    kept = said.join(F.broadcast(frequent.select("said")), "said", "left_anti")
+    return kept.withColumn("documentation", _clean("raw")).drop("raw", "said")
+
+
+def extracted_functions(files: DataFrame) -> DataFrame:
+    """Pairs straight from the current files, whatever symbols are recorded: ``path, name, signature, start_line, documentation`` of every
+    function that a grammar recognises below informative documentation. Extensions without a grammar of their own are tried by all."""
+    found = current_files(files, ["path", "content"]).mapInPandas(_extract_functions, _FUNCTIONS).withColumn("qualified_name", F.col("name"))
+    return informative_only(found).select("path", "name", "signature", "start_line", "documentation")
+
+
 def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Function-like symbols with informative documentation: their key, ``name, signature, documentation``.
 
@@ -264,14 +354,4 @@ def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
     keys = symbols.filter(function_like & F.col("path").isNotNull()).groupBy(*KEY).agg(F.max(F.when(~blank, F.col("doc_comment"))).alias("own"), F.max("signature").alias("signature"), F.max("name").alias("name"))
     found = file_documentation(files).groupBy("path", F.col("line").alias("start_line")).agg(F.max("found").alias("found"))
     joined = keys.join(found, ["path", "start_line"], "left").withColumn("raw", F.coalesce("own", "found")).filter("raw is not null")
-
-    @F.pandas_udf("boolean")
-    def says(doc: pd.Series, name: pd.Series, qualified: pd.Series, signature: pd.Series) -> pd.Series:
-        return pd.Series([informative(d, f"{n or ''} {(q or '').rsplit('.', 1)[-1]}", s or "") for d, n, q, s in zip(doc, name, qualified, signature)], dtype=bool)
-
-    @F.pandas_udf("string")
-    def clean(doc: pd.Series) -> pd.Series:
-        return doc.map(documentation_text)
-
-    kept = joined.filter(says("raw", "name", "qualified_name", "signature"))
-    return kept.select(*KEY, "name", "signature", clean("raw").alias("documentation"))
+    return informative_only(joined.select(*KEY, "name", "signature", "raw")).select(*KEY, "name", "signature", "documentation")

@@ -57,6 +57,10 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     return documentation.documented_functions(table(spark, d, "symbols"), table(spark, d, "files"))
 
 
+def p4_extracted(spark: SparkSession, d: str) -> DataFrame:
+    return documentation.extracted_functions(table(spark, d, "files"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pairs(spark, d).select(*KEY)
 
@@ -121,7 +125,7 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_budget, p1_documents, p2_found, p2_pieces, p3_found, p3_provenance, p3_handwritten, p4_found, p4_pairs, p5_found, p5_containers, p5_items, p5_fill, p6_found, p6_mixture, p6_shares, p6_checks, p7_found, p7_verdicts, p7_rates)
+    for f in (p1_found, p1_budget, p1_documents, p2_found, p2_pieces, p3_found, p3_provenance, p3_handwritten, p4_found, p4_pairs, p4_extracted, p5_found, p5_containers, p5_items, p5_fill, p6_found, p6_mixture, p6_shares, p6_checks, p7_found, p7_verdicts, p7_rates)
 }
 
 _T01 = r"""(CASE WHEN {0} = '' THEN 0 WHEN {0} IS NOT NULL THEN greatest(1, len(regexp_extract_all({0}, '[a-zA-Z0-9]+|[\p{{P}}\p{{S}}]|\n|[\t\n\f\r\p{{Z}}]+'))

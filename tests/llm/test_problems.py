@@ -193,7 +193,7 @@ def test_documentation_is_found_in_files():
     assert got == {(3, 5): "/// Adds one.\n/// Fast.", (8, 8): "/** Block. */"}
     py = 'def a(x,\n      y):\n    """Docs."""\n\ndef b():\n    x = """no"""\n\nasync def c():\n    # note\n    \'Single.\'\n'
     assert [(a, d) for a, _, d in documentation.documented_lines("a.py", py)] == [(1, '"""Docs."""'), (8, "'Single.'")]
-    assert documentation.documented_lines("a.css", "/** x */\na {}") == [] and documentation.documented_lines("a.js", "") == []
+    assert documentation.documented_lines("a.css", "/** x */\na {}") == [(2, 2, "/** x */")] and documentation.documented("a.css", "/** x */\na {}")[0].name is None and documentation.documented_lines("a.js", "") == []
     assert [(a, b) for a, b, _ in documentation.documented_lines("a.kt", "/** Same line. */ fun f() {}\n/** Other. */\n\n@A\nfun g() {}\n")] == [(1, 1), (3, 5)]
     crlf = "/**\r\n * Two lines.\r\n */\r\nfunction f() {}\r\n"
     assert [(a, b) for a, b, _ in documentation.documented_lines("f.js", crlf)] == [(4, 4)]
@@ -220,6 +220,37 @@ def test_pairs(spark):
     assert documentation.documented_functions(symbol_rows(spark, rows).limit(0), files).collect() == []
 
 
+@pytest.mark.parametrize(
+    "path,code,name,signature",
+    [
+        ("a.swift", "@inlinable\npublic static func add<T: Foo>(_ a: [T], b: (Int) -> Void = {}) async throws -> [T: Int] where T: X {\n}", "add", "public static func add<T: Foo>(_ a: [T], b: (Int) -> Void = {}) async throws -> [T: Int] where T: X"),
+        ("a.swift", "func == (a: A, b: A) -> Bool { a }", "==", "func == (a: A, b: A) -> Bool"), ("a.swift", "init?(x: Int) {", "init", "init?(x: Int)"), ("a.swift", "var x = f(1)", None, None),
+        ("a.kt", "override suspend fun <T> List<T>.foo(a: Int = 3,\n  b: String): Map<String, Int>? = x", "foo", "override suspend fun <T> List<T>.foo(a: Int = 3,\n  b: String): Map<String, Int>?"), ("a.kt", "class A(val x: Int)", None, None),
+        ("A.java", "@Override\npublic <T> List<Map<String,T>> foo(int a, String... b) throws IOException {", "foo", "public <T> List<Map<String,T>> foo(int a, String... b) throws IOException"), ("A.java", "private static final Foo X = new Foo(1);", None, None),
+        ("a.mjs", "export const f = async (x) => x + 1", "f", "export const f = async (x)"), ("a.ts", "private async foo<T>(a: T): Promise<T[]> {", "foo", "private async foo<T>(a: T): Promise<T[]>"), ("a.js", "const x = 3;", None, None),
+        ("a.rs", "#[inline]\npub(crate) fn foo<'a, T>(x: &'a T) -> Result<T, E> {", "foo", "pub(crate) fn foo<'a, T>(x: &'a T) -> Result<T, E>"), ("a.go", "func (r *T) Foo(a int) (int, error) {", "Foo", "func (r *T) Foo(a int) (int, error)"),
+        ("a.c", "static unsigned char *foo(int a, const char *b)\n{", "foo", "static unsigned char *foo(int a, const char *b)"), ("a.cpp", "std::vector<int> Foo::bar(int a) const {", "bar", "std::vector<int> Foo::bar(int a)"), ("a.zig", "pub fn foo(a: i32) i32 {", "foo", "pub fn foo(a: i32)"),
+    ],
+)
+def test_grammars(path, code, name, signature):
+    found = documentation.documented(path, "/// Waits for the lock.\n" + code)
+    assert [(d.name, d.signature) for d in found] == [(name, signature)]
+
+
+def test_grammar_of_python():
+    got = documentation.documented("a.py", '@cached(3)\nasync def foo(a, b={}, *c) -> Dict[str, int]:\n    """Waits."""\n')
+    assert [(d.name, d.signature, d.first) for d in got] == [("foo", "async def foo(a, b={}, *c) -> Dict[str, int]", 2)]
+
+
+def test_pairs_without_symbols_and_boilerplate(spark):
+    text = "/// Questa funzione non ha ancora una descrizione.\nfunc f{0}() {{}}\n/// Takes the lock of step {0}, then waits {1}.\nfunc g{0}() {{}}\n"
+    words = ["cold", "warm", "late", "once", "twice", "long"]
+    files = file_rows(spark, [(f"r/{i}.swift", 0, text.format(i, " ".join(words[i % 6 :]) + f" x{chr(97 + i % 26)}y{chr(97 + i // 26)}")) for i in range(40)] + [("r/e.rs", 0, None), ("r/x", 0, "")])
+    got = documentation.extracted_functions(files).collect()
+    assert {r.name for r in got} == {f"g{i}" for i in range(40)} and {r.start_line for r in got} == {4}
+    assert documentation.extracted_functions(files.limit(0)).collect() == []
+
+
 # ---------------------------------------------------------------------------------------------------------------- 5
 def test_plan_places_every_item_once():
     rng = random.Random(4)

@@ -18,17 +18,20 @@ from lodestone.functions.text import language_of
 from lodestone.functions.tokens import MEASURES, measures
 from lodestone.llm.items import KEY, symbol_keys, with_text
 from lodestone.operators.current import current_files, repository_of
+from lodestone.operators.skew import skew_join
+from lodestone.session import ensure_checkpoint_dir
 
 #: Of 16 parts of the items by hash, how many fit the models and how many are held out.
 PARTS, FIT, HELD = 16, 1, 1
-#: Tokenized items that a language needs for a model of its own, and models at most; other languages share the pooled one.
+#: Tokenized items that a language needs for a model of its own, and models at most (those with the most items); other languages
+#: share the pooled one, which is fitted on the items of all languages.
 OWN_MODEL, MODELS = 12, 200
+#: Documents that must name a domain, in any spelling, for it to be an area that paths can name.
+DOMAIN_DOCUMENTS = 3
 #: A recorded estimate is implausible if it is further from the prediction than this share of it plus this many tokens.
 FAR_SHARE, FAR_TOKENS = 0.5, 8
 
 FEATURES = MEASURES[1:]
-# The areas that a path or a document's domain can name.
-AREAS = ("auth", "billing", "build", "editor", "search", "storage", "sync", "telemetry", "vendor")
 POOLED = ""
 
 
@@ -38,6 +41,7 @@ class TokenModel:
 
     coefficients: dict[str, tuple[float, ...]]
     factor: dict[str, float]
+    fitted: dict[str, int]  # items that each model was fitted on
 
     def predict(self, measured: Column, language: Column) -> Column:
         """Predicted T01 from a text's ``MEASURES``: between 1 and the bytes of the text, 0 for an empty one."""
@@ -62,18 +66,24 @@ def _sums(k: int) -> list[Column]:
     return [*out, *singles, F.sum(y).alias("y"), F.count("*").alias("n")]
 
 
+def sampled(items: DataFrame) -> DataFrame:
+    """The tokenized part of items (``key, language, text``): ``language, fit, m``; one half fits the models, the other is held out."""
+    part = F.pmod(F.xxhash64("key"), F.lit(PARTS))
+    return items.filter(part < FIT + HELD).select((part < FIT).alias("fit"), F.coalesce("language", F.lit("und")).alias("language"), measures("text").alias("m"))
+
+
 def fit_token_model(items: DataFrame) -> TokenModel:
-    """Models from items (``key, language, text``), by one aggregation that gives at most ``2 * MODELS`` rows of sums.
+    """Models from items (``key, language, text``) by one pass over the sample, in which each language becomes a row of sums.
 
-    The pooled model is that of all items in the ``MODELS`` most frequent languages."""
+    These rows are few numbers a language; of them leave the cluster the two sums over all languages, and those of at most ``MODELS``
+    languages, each with its held-out half.
+    """
     k = len(FEATURES)
-    part = F.pmod(F.xxhash64("key"), F.lit(PARTS))
-    sample = items.filter(part < FIT + HELD).select((part < FIT).alias("fit"), F.coalesce("language", F.lit("und")).alias("language"), measures("text").alias("m"))
-    rows = [r.asDict() for r in sample.groupBy("language", "fit").agg(*_sums(k)).orderBy(F.desc("n"), "language").limit(2 * MODELS).collect()]
-
-    def pool(fit: bool) -> dict | None:
-        chosen = [r for r in rows if r["fit"] == fit]
-        return {c: sum(r[c] or 0 for r in chosen) for c in chosen[0] if c not in ("fit", "language")} if chosen else None
+    ensure_checkpoint_dir(items.sparkSession)
+    sums = sampled(items).groupBy("language", "fit").agg(*_sums(k)).checkpoint()
+    pooled = {r["fit"]: r.asDict() for r in sums.groupBy("fit").agg(*[F.sum(c).alias(c) for c in sums.columns if c not in ("language", "fit")]).collect()}
+    largest = sums.filter(F.col("fit") & (F.col("n") >= OWN_MODEL)).orderBy(F.desc("n"), "language").limit(MODELS).select("language")
+    rows = [r.asDict() for r in sums.join(F.broadcast(largest), "language").collect()]
 
     def matrices(r) -> tuple[np.ndarray, np.ndarray]:
         p = np.zeros((k, k))
@@ -94,19 +104,42 @@ def fit_token_model(items: DataFrame) -> TokenModel:
         total = float(coefficients @ np.array([held[f"s{i}"] or 0.0 for i in range(k)]))
         return float(np.clip(held["y"] / total, 0.5, 2.0)) if total > 0 else 1.0
 
-    fits = {r["language"]: r for r in rows if r["fit"] and r["n"] >= OWN_MODEL}
-    held = {r["language"]: r for r in rows if not r["fit"]}
-    all_fit = pool(True)
-    base = solve(all_fit) if all_fit else np.array([0.0, 1.0, 0.1, 1.0, 0.8, 0.0, 0.0])
-    coefficients = {POOLED: base} | {n: solve(r) for n, r in fits.items()}
-    factors = {n: bias(c, held.get(n) if n != POOLED else pool(False)) for n, c in coefficients.items()}
-    return TokenModel({n: tuple(float(v) for v in c) for n, c in coefficients.items()}, factors)
+    fits = {r["language"]: r for r in rows if r["fit"]}
+    held = {r["language"]: r for r in rows if not r["fit"]} | {POOLED: pooled.get(False)}
+    base = solve(pooled[True]) if True in pooled else np.array([0.0, 1.0, 0.1, 1.0, 0.8, 0.0, 0.0])
+    coefficients = {n: solve(r) for n, r in fits.items()} | {POOLED: base}
+    factors = {n: bias(c, held.get(n)) for n, c in coefficients.items()}
+    counts = {n: int(r["n"]) for n, r in fits.items()} | {POOLED: int(pooled[True]["n"]) if True in pooled else 0}
+    return TokenModel({n: tuple(float(v) for v in c) for n, c in coefficients.items()}, factors, counts)
+
+
+def model_errors(items: DataFrame, model: TokenModel) -> DataFrame:
+    """How good the models are on the held-out items, by language: ``own_model``, held-out ``items`` with their ``tokens`` and ``predicted``
+    total, ``total_error`` (of the total) and ``mean_error`` (of an item, as a share of its tokens)."""
+    own = F.col("language").isin(*[n for n in model.coefficients if n != POOLED])
+    held = sampled(items).filter(~F.col("fit")).select("language", own.alias("own_model"), F.element_at("m", 1).alias("tokens"), model.predict(F.col("m"), F.col("language")).alias("predicted"))
+    share = F.abs(F.col("predicted") - F.col("tokens")) / F.greatest(F.lit(1), F.col("tokens"))
+    sums = held.groupBy("language", "own_model").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"), F.sum("predicted").alias("predicted"), F.round(F.avg(share), 6).alias("mean_error"))
+    off = F.when(F.col("tokens") > 0, F.round(F.col("predicted") / F.col("tokens") - 1, 6)).otherwise(F.lit(0.0))
+    return sums.withColumn("total_error", off).withColumn("predicted", F.round("predicted").cast("bigint"))
+
 
+def domains_of(documents: DataFrame) -> DataFrame:
+    """The areas of a corpus, ``area``: domains that at least ``DOMAIN_DOCUMENTS`` documents name."""
+    named = documents.select(tidy("domain").alias("area")).filter("area <> ''").groupBy("area").agg(F.count("*").alias("n"))
+    return named.filter(F.col("n") >= DOMAIN_DOCUMENTS).select("area")
 
-def area_of(path: Column) -> Column:
-    """The area that a path names: its last folder that is one, in lower case; '' if none is."""
-    folders = F.slice(F.split(F.lower(path), "/"), 2, F.greatest(F.lit(0), F.size(F.split(path, "/")) - 2))
-    return F.coalesce(F.try_element_at(F.filter(folders, lambda x: x.isin(*AREAS)), F.lit(-1)), F.lit(""))
+
+def with_area(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Adds ``domain``: the area that ``path`` names, which is its last folder below the repository that is one, in lower case; '' if none is.
+
+    Folders are told apart by name before they meet the areas, and paths by their folder, so a frequent folder name is one row.
+    """
+    folder = F.lower(F.regexp_extract("path", r"^[^/]*/(.*)/[^/]*$", 1))
+    folders = rows.select(folder.alias("_folder")).distinct()
+    parts = folders.select("_folder", F.posexplode(F.split("_folder", "/")).alias("at", "area"))
+    told = skew_join(parts, domains_of(documents), ["area"], "inner").groupBy("_folder").agg(F.max_by("area", "at").alias("domain"))
+    return skew_join(rows.withColumn("_folder", folder), told, ["_folder"]).drop("_folder").withColumn("domain", F.coalesce("domain", F.lit("")))
 
 
 def tidy(c: str) -> Column:
@@ -115,28 +148,31 @@ def tidy(c: str) -> Column:
 
 
 def file_items(files: DataFrame) -> DataFrame:
-    return current_files(files, ["path", "content"]).select(
-        F.lit("file").alias("kind"), F.col("path").alias("key"), repository_of("path").alias("source"), language_of("path").alias("language"), area_of(F.col("path")).alias("domain"), F.col("content").alias("text")
-    )
+    """Current files as items; ``with_area`` adds their domain from ``path``."""
+    return current_files(files, ["path", "content"]).select(F.lit("file").alias("kind"), F.col("path").alias("key"), "path", repository_of("path").alias("source"), language_of("path").alias("language"), F.col("content").alias("text"))
 
 
 def document_items(documents: DataFrame) -> DataFrame:
     return documents.select(
-        F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("key"), tidy("source").alias("source"), F.when(tidy("lang") == "", "und").otherwise(tidy("lang")).alias("language"), tidy("domain").alias("domain"), "text"
+        F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("key"), F.lit(None).cast("string").alias("path"), tidy("source").alias("source"), F.when(tidy("lang") == "", "und").otherwise(tidy("lang")).alias("language"), tidy("domain").alias("domain"), "text"
     )
 
 
 def symbol_items(symbols: DataFrame, files: DataFrame) -> DataFrame:
     name = F.concat_ws("\u001f", *[F.col(c).cast("string") for c in KEY])
     return with_text(symbol_keys(symbols), files).select(
-        F.lit("symbol").alias("kind"), name.alias("key"), repository_of("path").alias("source"), language_of("path").alias("language"), area_of(F.col("path")).alias("domain"), "text"
+        F.lit("symbol").alias("kind"), name.alias("key"), "path", repository_of("path").alias("source"), language_of("path").alias("language"), "text"
     )
 
 
+def model_items(files: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """What models are fitted on: current files and, if given, documents; symbols are parts of files."""
+    items = file_items(files).select("key", "language", "text")
+    return items.unionByName(document_items(documents).select("key", "language", "text")) if documents is not None else items
+
+
 def model_for(files: DataFrame, documents: DataFrame | None = None) -> TokenModel:
-    """The model of a corpus, from its current files and, if given, its documents; symbols are parts of files."""
-    items = file_items(files)
-    return fit_token_model(items.unionByName(document_items(documents)) if documents is not None else items)
+    return fit_token_model(model_items(files, documents))
 
 
 def counted(items: DataFrame, model: TokenModel) -> DataFrame:
@@ -145,9 +181,17 @@ def counted(items: DataFrame, model: TokenModel) -> DataFrame:
     return items.select(*rest, measures("text").alias("_m")).select(*rest, model.predict(F.col("_m"), F.col("language")).alias("predicted"), F.element_at("_m", 1).alias("tokens"))
 
 
-def token_budget(items: DataFrame, model: TokenModel) -> DataFrame:
+def all_counted(files: DataFrame, symbols: DataFrame, documents: DataFrame, model: TokenModel) -> DataFrame:
+    """Every current file, symbol and document: ``kind, source, language, domain, predicted, tokens``. Texts are counted before anything
+    travels; only a path goes with the counts to find its area."""
+    columns = ["kind", "source", "language", "domain", "predicted", "tokens"]
+    of_paths = counted(file_items(files), model).unionByName(counted(symbol_items(symbols, files), model)).drop("key")
+    return with_area(of_paths, documents).select(*columns).unionByName(counted(document_items(documents), model).select(*columns))
+
+
+def token_budget(counts: DataFrame) -> DataFrame:
     """Sums by kind, source, language and domain: ``items``, exact ``tokens``, ``predicted`` tokens (rounded)."""
-    return counted(items, model).groupBy("kind", "source", "language", "domain").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"), F.round(F.sum("predicted")).cast("bigint").alias("predicted"))
+    return counts.groupBy("kind", "source", "language", "domain").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"), F.round(F.sum("predicted")).cast("bigint").alias("predicted"))
 
 
 def audited_symbols(symbols: DataFrame, files: DataFrame, model: TokenModel) -> DataFrame:

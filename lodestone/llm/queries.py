@@ -19,10 +19,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return audited.filter("verdict != 'right'").select(*KEY)
 
 
-def p1_budget(spark: SparkSession, d: str) -> DataFrame:
+def p1_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Exact and predicted sums by kind, source, language and domain."""
     files, documents = table(spark, d, "files"), table(spark, d, "documents")
-    items = budget.file_items(files).unionByName(budget.symbol_items(table(spark, d, "symbols"), files)).unionByName(budget.document_items(documents))
-    return budget.token_budget(items, budget.model_for(files, documents))
+    return budget.token_budget(budget.all_counted(files, table(spark, d, "symbols"), documents, budget.model_for(files, documents)))
+
+
+def p1_budget(spark: SparkSession, d: str) -> DataFrame:
+    """The exact sums alone."""
+    return p1_estimates(spark, d).drop("predicted")
+
+
+def p1_models(spark: SparkSession, d: str) -> DataFrame:
+    """The models' errors on what was held out."""
+    items = budget.model_items(table(spark, d, "files"), table(spark, d, "documents"))
+    return budget.model_errors(items, budget.fit_token_model(items))
 
 
 def p1_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +136,7 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_budget, p1_documents, p2_found, p2_pieces, p3_found, p3_provenance, p3_handwritten, p4_found, p4_pairs, p4_extracted, p5_found, p5_containers, p5_items, p5_fill, p6_found, p6_mixture, p6_shares, p6_checks, p7_found, p7_verdicts, p7_rates)
+    for f in (p1_found, p1_budget, p1_estimates, p1_models, p1_documents, p2_found, p2_pieces, p3_found, p3_provenance, p3_handwritten, p4_found, p4_pairs, p4_extracted, p5_found, p5_containers, p5_items, p5_fill, p6_found, p6_mixture, p6_shares, p6_checks, p7_found, p7_verdicts, p7_rates)
 }
 
 _T01 = r"""(CASE WHEN {0} = '' THEN 0 WHEN {0} IS NOT NULL THEN greatest(1, len(regexp_extract_all({0}, '[a-zA-Z0-9]+|[\p{{P}}\p{{S}}]|\n|[\t\n\f\r\p{{Z}}]+'))
@@ -139,6 +150,13 @@ _SYMBOL_TEXT = r"""WITH cur AS (
 )"""
 SQL: dict[str, str] = {
     "p1_found": f"{_SYMBOL_TEXT} SELECT DISTINCT path, qualified_name, start_line, end_line FROM txt WHERE estimated_tokens IS NULL OR estimated_tokens <> {_T01.format('t')}",
+    "p1_budget": rf"""{_SYMBOL_TEXT}, dom AS (SELECT list(a) AS ds FROM (SELECT lower(trim(domain)) AS a FROM documents WHERE trim(domain) <> '' GROUP BY 1 HAVING count(*) >= 3)),
+i AS (SELECT 'file' AS kind, path, content AS t FROM files WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY indexed_at DESC, sha256 DESC) = 1
+  UNION ALL SELECT 'symbol', path, t FROM (SELECT DISTINCT ON (path, qualified_name, start_line, end_line) path, t FROM txt WHERE path IS NOT NULL)),
+e AS (SELECT i.*, lower(regexp_extract(path, '\.([^./]+)$', 1)) AS x, list_filter(string_split(lower(path), '/')[2:-2], lambda f: list_contains(ds, f)) AS fs FROM i, dom),
+a AS (SELECT kind, split_part(path, '/', 1) AS source, CASE WHEN x IN ('kt', 'kts') THEN 'kotlin' ELSE x END AS language, coalesce(fs[-1], '') AS domain, coalesce({_T01.format('t')}, 0) AS n FROM e
+  UNION ALL SELECT 'document', coalesce(lower(trim(source)), ''), CASE WHEN coalesce(lower(trim(lang)), '') = '' THEN 'und' ELSE lower(trim(lang)) END, coalesce(lower(trim(domain)), ''), coalesce({_T01.format('text')}, 0) FROM documents)
+SELECT kind, source, language, domain, count(*) AS items, sum(n)::BIGINT AS tokens FROM a GROUP BY ALL""",
     "p1_documents": f"""SELECT coalesce(lower(trim(source)), '') AS source, CASE WHEN coalesce(lower(trim(lang)), '') = '' THEN 'und' ELSE lower(trim(lang)) END AS language,
   coalesce(lower(trim(domain)), '') AS domain, count(*) AS items, sum(coalesce({_T01.format('text')}, 0))::BIGINT AS tokens FROM documents GROUP BY ALL""",
     "p2_found": f"""{_SYMBOL_TEXT} SELECT DISTINCT path, qualified_name, start_line, end_line FROM txt

@@ -62,9 +62,28 @@ def test_budget_of_empty_tables_and_clashing_columns(spark):
     none = spark.createDataFrame([], FILES)
     model = budget.model_for(none)
     docs = spark.createDataFrame([(1, None, None, None, None, 7), (2, "a b", " EN", " Git ", "Auth", 8)], "doc_id bigint, text string, lang string, source string, domain string, tokens int")
-    rows = {r.source: (r.language, r.domain, r.tokens) for r in budget.token_budget(budget.document_items(docs), model).collect()}
+    rows = {r.source: (r.language, r.domain, r.tokens) for r in budget.token_budget(budget.counted(budget.document_items(docs), model)).collect()}
     assert rows == {"": ("und", "", 0), "git": ("en", "auth", 3)}
-    assert budget.token_budget(budget.file_items(none), model).collect() == []
+    assert budget.token_budget(budget.all_counted(none, symbol_rows(spark, [("a/b", None, "q", 1, 1, None, 1)]).limit(0), docs.limit(0), model)).collect() == []
+
+
+def test_areas_are_learnt_from_documents(spark):
+    docs = spark.createDataFrame([(i, "x", None, None, d) for i, d in enumerate(["Ledger ", "ledger", "LEDGER", "rare", None, "", "kiosk", "kiosk", "kiosk"])], "doc_id bigint, text string, lang string, source string, domain string")
+    files = file_rows(spark, [("r/src/Ledger/kiosk/a.py", 0, "a b"), ("r/rare/b.py", 0, "c"), ("ledger/c.py", 0, "d"), ("r/ledger.py", 0, "e"), ("r/LEDGER/x/d.kt", 0, None)])
+    counts = budget.all_counted(files, symbol_rows(spark, [("r/LEDGER/x/d.kt", "function", "q", 1, 1, None, 3)]), docs, budget.model_for(files))
+    got = {(r.kind, r.source, r.language, r.domain): (r["items"], r.tokens) for r in budget.token_budget(counts).filter("kind <> 'document'").collect()}
+    assert got == {("file", "r", "py", "kiosk"): (1, 3), ("file", "r", "py", ""): (2, 2), ("file", "ledger", "py", ""): (1, 1), ("file", "r", "kotlin", "ledger"): (1, 0), ("symbol", "r", "kotlin", "ledger"): (1, 0)}
+
+
+def test_pooled_model_has_all_languages_and_errors_are_reported(spark, monkeypatch):
+    monkeypatch.setattr(budget, "MODELS", 1)
+    rng = random.Random(8)
+    rows = [(f"k{i}", "main" if i % 3 else f"odd{i}", " ".join(rng.choice(["alpha", "x1", "(", "12"]) for _ in range(rng.randint(5, 200)))) for i in range(900)]
+    items = spark.createDataFrame(rows, "key string, language string, text string")
+    model = budget.fit_token_model(items)
+    assert set(model.coefficients) == {"main", budget.POOLED} and model.fitted[budget.POOLED] > model.fitted["main"]
+    errors = {r.language: r for r in budget.model_errors(items, model).collect()}
+    assert errors["main"].own_model and abs(errors["main"].total_error) < 0.05 and all(not r.own_model for n, r in errors.items() if n != "main") and len(errors) > 2
 
 
 # ---------------------------------------------------------------------------------------------------------------- 2

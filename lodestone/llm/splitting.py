@@ -2,7 +2,8 @@
 
 A text is a row of T01 atoms with boundaries between them, each of a strength (a blank line between blocks is strong, the inside of an
 expression weak). Pieces are cut greedily: of all boundaries at which the piece has half the limit to the limit, a sparse-table
-range-maximum query gives the strongest, the rightmost of equals; the next piece starts the stated overlap before that cut.
+range-maximum query gives the strongest, the rightmost of equals; the next piece starts the stated overlap before that cut. Where none of
+them ends a line, and the line that reaches beyond the limit fits whole into the next piece, the cut goes ahead of that line.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import types as T
 from lodestone.functions.tokens import ALNUM, BLANK, NEWLINE, PUNCT, atoms, codepoints, measure
 
 # Strengths of boundaries.
-LINE, AFTER_BLANK, AFTER_BLOCK, BEFORE_CLOSER, CONTINUED, PER_COLUMN = 1000, 400, 150, -350, -300, -12
+LINE, AFTER_BLANK, AFTER_BLOCK, BEFORE_CLOSER, CONTINUED = 1000, 400, 150, -350, -300
+#: A line's strength falls with its indent towards ``DEEPEST`` less, half of it at ``HALFWAY`` columns.
+DEEPEST, HALFWAY = -720, 40
 SENTENCE, STATEMENT, COMMA, GAP, PLAIN = 300, 250, 120, 60, 10
 
 
@@ -49,10 +52,10 @@ class RangeMax:
 
 
 def _divide(start: np.ndarray, end: np.ndarray, cost: np.ndarray, kind: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Cuts runs of letters and digits that cost more than ``most`` into equal stretches, whose costs add up to no less."""
+    """Cuts runs of letters and digits that cost more than ``most`` into stretches that cost ``most``, whose costs add up to no less."""
     if not len(cost) or cost.max() <= most:
         return start, end, cost, np.zeros(len(start), dtype=bool)
-    step = 64 if most >= 17 else 8
+    step = 4 * (most - 1)
     parts = np.where(cost > most, -(-(end - start) // step), 1)
     owner = np.repeat(np.arange(len(start)), parts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -84,7 +87,7 @@ def boundary_strengths(text: str, start: np.ndarray, end: np.ndarray, kind: np.n
         goes_on = np.array([x[-1:] in (",", "(", "[", "=", "+", "|", "&", "\\") for x in body])
         closer = np.array([x[:1] in ("}", ")", "]") for x in body])
         empty = np.array([not x for x in body])
-        strength = LINE + PER_COLUMN * np.minimum(indent[1:], 40) + AFTER_BLANK * empty[:-1] + AFTER_BLOCK * ends_block[:-1] + CONTINUED * goes_on[:-1] + BEFORE_CLOSER * closer[1:] - AFTER_BLANK * empty[1:]
+        strength = LINE + DEEPEST * indent[1:] // (indent[1:] + HALFWAY) + AFTER_BLANK * empty[:-1] + AFTER_BLOCK * ends_block[:-1] + CONTINUED * goes_on[:-1] + BEFORE_CLOSER * closer[1:] - AFTER_BLANK * empty[1:]
         at = np.searchsorted(start, newline + 1, side="left")
         here = at < n
         np.maximum.at(out, at[here], strength[here])
@@ -113,6 +116,7 @@ def split_text(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int,
     sums = np.concatenate([[0], np.cumsum(c)])
     n = len(s)
     table = RangeMax(strength, limit)
+    lines = np.flatnonzero(strength >= LINE // 4)  # boundaries at line ends, the deepest and least fit among them
     out: list[tuple[int, int, int]] = []
     i, done = 0, 0
     while True:
@@ -123,6 +127,12 @@ def split_text(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int,
         lo = int(np.searchsorted(sums, sums[i] + max(limit // 2, overlap + 1), side="left"))
         lo = min(max(lo, done + 1, i + 1), hi)
         j = table.best(lo, hi)
+        if strength[j] < LINE // 4:
+            least = max(done + 1, i + 1, int(np.searchsorted(sums, sums[i] + overlap + 1, side="left")))
+            k = int(np.searchsorted(lines, lo, side="left"))
+            if k and lines[k - 1] >= least:
+                ends = int(lines[k]) if k < len(lines) else n
+                j = int(lines[k - 1]) if sums[ends] - sums[lines[k - 1]] + overlap <= limit else j
         out.append((i, j, int(sums[j] - sums[i])))
         done = j
         back = int(np.searchsorted(sums, sums[j] - overlap, side="right")) - 1 if overlap else j

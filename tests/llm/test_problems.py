@@ -121,6 +121,22 @@ def test_code_is_cut_between_functions():
         assert text[a:].lstrip().startswith("func")
 
 
+def test_long_lines_that_fit_go_whole_into_the_next_piece():
+    text = "\n".join(["a b c d"] * 5 + ["x " * 45 + "y"] + ["a b c d"] * 5)
+    for overlap in (0, 10):
+        pieces = splitting.split_text(text, 110, overlap)
+        assert any(text[a:b].rstrip().endswith("y") or " ".join(["x"] * 45) in text[a:b] for a, b, _ in pieces)
+        assert sum("x" in text[a:b] for a, b, _ in pieces) == 1
+
+
+def test_deeper_lines_are_weaker_at_any_depth():
+    text = "".join(" " * n + "a = b\n" for n in (4, 8, 40, 60, 200))
+    start, end, _, kind = splitting.atoms(text)
+    strength = splitting.boundary_strengths(text, start, end, kind, np.zeros(len(start), dtype=bool))
+    at = strength[strength > splitting.LINE // 4]
+    assert len(at) >= 4 and (np.diff(at[:4]) < 0).all()
+
+
 def test_split_items_keeps_columns_and_skips_small(spark):
     items = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "a b\n" * 50, "x"), (3, "a b\n" * 50, "x"), (4, "short", None)], "id int, text string, other string")
     rows = splitting.split_items(items, 40, 4).collect()

@@ -62,6 +62,27 @@ def _patterns(query: str, regex: bool) -> list[str]:
     return out
 
 
+# What makes a pattern see where a line begins or ends, or give up a match for what follows: anchors, groups other than (?:...) and possessive
+# quantifiers. Escaped signs and character classes are taken out first.
+_INERT = re.compile(r"\\[^AzZGR]|\[\^?\]?(?:[^\]\\]|\\.)*\]")
+_LOOKS_AROUND = re.compile(r"[\^$]|\\[AzZGR]|\(\?(?!:)|[*+?}]\+|&&")
+
+
+def matches_across_lines(pattern: str) -> bool:
+    """Whether a text that holds a line which the pattern matches surely matches as a whole."""
+    return not _LOOKS_AROUND.search(_INERT.sub("x", pattern.removeprefix("(?i)")))
+
+
+def _may_hold(content: Column, patterns: list[str], strict: bool) -> Column:
+    """A test of a whole content that no content with a matching line fails; it spares most files the split into lines."""
+    sure = [p for p in patterns if matches_across_lines(p)]
+    if not patterns:
+        return F.lit(False)
+    if len(sure) < len(patterns) and not strict:
+        return content.isNotNull()
+    return content.isNotNull() & (_combine([content.rlike(p) for p in sure], strict) if sure else F.lit(True))
+
+
 def grep(files: DataFrame, query: str, regex: bool = False, strict: bool = False, limit: int | None = 100, column: str = "content") -> DataFrame:
     """the first line of each file that matches any (all) terms, with one line of context on either side.
 
@@ -77,8 +98,7 @@ def text_search(files: DataFrame, text: str, limit: int = 11, column: str = "con
 
 def _first_lines(files: DataFrame, patterns: list[str], strict: bool, limit: int | None, column: str) -> DataFrame:
     lines = F.col("_lines")
-    # Testing the whole content first, with line anchors, spares most files the split.
-    candidates = files.filter(_combine([F.col(column).rlike(f"(?m){p}") for p in patterns], strict)).withColumn("_lines", split_lines(column))
+    candidates = files.filter(_may_hold(F.col(column), patterns, strict)).withColumn("_lines", split_lines(column))
     hit = F.filter(F.transform(lines, lambda x, i: F.when(_combine([x.rlike(p) for p in patterns], strict), i)), lambda i: i.isNotNull())
     found = candidates.withColumn("_at", F.try_element_at(hit, F.lit(1))).filter("_at is not null")
 
@@ -93,7 +113,7 @@ def _first_lines(files: DataFrame, patterns: list[str], strict: bool, limit: int
 
 def may_match(files: DataFrame, query: str, regex: bool = False, strict: bool = False, column: str = "content") -> DataFrame:
     """Files whose content as a whole can hold a line that ``grep`` finds; a filter that needs no shuffle."""
-    return files.filter(_combine([F.col(column).rlike(f"(?m){p}") for p in _patterns(query, regex)], strict))
+    return files.filter(_may_hold(F.col(column), _patterns(query, regex), strict))
 
 
 def grep_all(files: DataFrame, patterns: list[str], most: int = 500, column: str = "content") -> DataFrame:
@@ -103,7 +123,7 @@ def grep_all(files: DataFrame, patterns: list[str], most: int = 500, column: str
     """
     valid = [p for p in patterns if _patterns(p, True)]
     lines = split_lines(column)
-    wanted = files.filter(_combine([F.col(column).rlike(f"(?m){p}") for p in valid], False))
+    wanted = files.filter(_may_hold(F.col(column), valid, False))
     each = wanted.select("path", F.posexplode(lines).alias("at", "content")).select("path", (F.col("at") + 1).alias("line"), "content")
     rows = each.select("*", F.explode(F.array_compact(F.array(*[F.when(F.col("content").rlike(p), F.lit(p)) for p in valid]))).alias("pattern"))
     top = rows.orderBy("path", "line", "pattern").limit(most + 1)

@@ -169,6 +169,20 @@ def test_grep_all_flags_what_it_leaves_out(spark):
     assert not any(r.truncated for r in search.grep_all(many, ["x"], most=30).collect())
 
 
+PATTERNS = [r"\Aclass", "^class", "end$", r"x(?!\s)", "a++b", "[^q]+z", r"foo\b", r"\w+\(", "(?:ab|cd)", r"[$^]", "a.b", r"\Bo", "(?<!y)x", r"z\Z"]
+
+
+def test_the_test_of_a_whole_content_loses_no_line(spark):
+    texts = ["x\nclass Foo", "a\x0bclass B", "end\nmore", "x\u0085y", "aab\nfoo\x0cz", "f(1)\r\nx", "cd", "$\n^", "a\nb", "a.b z", "foo\u2028bar x", "yx\nxz", ""]
+    files = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)] + [("n", None)], "path string, content string").cache()
+    for p in PATTERNS:
+        lines = files.select("path", F.explode(T.split_lines("content")).alias("l"))
+        every = {r.path for r in lines.filter(F.col("l").rlike(f"(?i){p}")).collect()}
+        assert {r.path for r in search.grep(files, p, regex=True).collect()} == every, p
+        assert {r.path for r in search.grep_all(files, [p]).collect()} == {r.path for r in lines.filter(F.col("l").rlike(p)).collect()}, p
+    assert [search.matches_across_lines(p) for p in PATTERNS] == [False, False, False, False, False, True, True, True, True, True, True, True, False, False]
+
+
 TERMS = ["user", "name", "class", "and", "error", "let"]
 
 

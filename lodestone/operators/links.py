@@ -3,75 +3,92 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import VECTOR_SIZE
+from lodestone.session import ensure_checkpoint_dir
 
-#: Queries that travel to the executors at once: 4096 x 128 floats, 2 MB.
-BLOCK = 4096
+#: Queries and items that meet in one task: 4096 x 128 floats are 2 MB, and their similarities 128 MB.
+BLOCK, CHUNK = 4096, 4096
+_MEETINGS = 1 << 22
 
 
-def proxy_vectors(texts: pd.Series) -> np.ndarray:
-    """One row of hashed word counts a text, of length 1 (or 0 for a text without words)."""
+def proxy_vectors(texts: pd.Series, form: type = np.float64) -> np.ndarray:
+    """One row of hashed word counts a text; as 64-bit numbers of length 1 (or 0 for a text without words), else as counts."""
     bucket: dict[str, int] = {}
-    out = np.zeros((len(texts), VECTOR_SIZE))
+    out = np.zeros((len(texts), VECTOR_SIZE), dtype=form)
     for i, t in enumerate(texts):
         for w in (t or "").lower().split():
             b = bucket.get(w)
             if b is None:
                 b = bucket[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % VECTOR_SIZE
             out[i, b] += 1
+    if form is not np.float64:
+        return out
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norm, out=out, where=norm > 0)
 
 
-def _blocks(queries: DataFrame, key: str) -> Iterator[DataFrame]:
-    """The queries in blocks by a hash of their key, each about four fifths of ``BLOCK`` rows; those without a key are left out."""
-    queries = queries.filter(F.col(key).isNotNull())
-    n = queries.count()
-    blocks = -(-5 * n // (4 * BLOCK))
-    for i in range(blocks):
-        yield queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == i)
+def _grid(items: DataFrame, queries: DataFrame, meet: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+    """Every block of queries meets every chunk of items (both ``id, vec``) in a task of its own, and what ``meet`` makes of them comes out.
+
+    Rows go to blocks and chunks by a hash of their id, so no side is collected or broadcast; only the two counts leave the
+    cluster. A vector travels once for each block, or chunk, of the other side.
+    """
+    n, m = queries.count(), items.count()
+    blocks, chunks = max(1, -(-5 * n // (4 * BLOCK))), max(1, -(-5 * m // (4 * CHUNK)))
+
+    def cells(df: DataFrame, own: str, k: int, other: str, others: int) -> DataFrame:
+        return df.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(k)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    left = cells(queries, "block", blocks, "chunk", chunks).groupBy("block", "chunk")
+    right = cells(items, "chunk", chunks, "block", blocks).select("id", "vec", "block", "chunk").groupBy("block", "chunk")
+
+    def cell(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({c.split()[0]: pd.Series(dtype="float64") for c in schema.split(", ")})
+        if not len(q) or not len(x):
+            return empty
+        unit = lambda v: (a := np.array(v.tolist(), dtype=np.float64)) / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+        q, x = q.sort_values("id"), x.sort_values("id")
+        ids, names, vectors, all_ = q["id"].to_numpy(), x["id"].to_numpy(), unit(q["vec"]), unit(x["vec"])
+        step = max(1, _MEETINGS // len(names))
+        parts = []
+        for i in range(0, len(ids), step):
+            s = np.round(vectors[i : i + step] @ all_.T, 6)
+            s[ids[i : i + step, None] == names[None, :]] = -2.0
+            parts.append(meet(ids[i : i + step], names, s))
+        return pd.concat(parts) if parts else empty
+
+    return left.cogroup(right).applyInPandas(cell, schema)
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def _vectors(texts: pd.Series) -> pd.Series:
+    return pd.Series(list(proxy_vectors(texts, np.float32)))
 
 
 def link_counts(items: DataFrame, queries: DataFrame, key: str, text: str, threshold: float = 0.3) -> DataFrame:
     """J10 as a search: for each query its number of links (similarity at the threshold or above) to other items and the closest one.
 
-    ``source, links, target, strength``. Queries are a stated set; they travel in blocks of at most ``BLOCK`` vectors, each block against
-    all items once, and only a count and a best item a query leave a task. Null texts have no links.
+    ``source, links, target, strength``. Queries are a stated set; every block of them meets every chunk of the items, and only a count
+    and a best item a query leave a task. Vectors are made once a row, of whole numbers, so that they lose nothing as floats. Null
+    texts have no links; rows without key are left out.
     """
-    out = None
-    for block in _blocks(queries, key):
-        rows = block.select(key, text).orderBy(key).collect()
-        names = np.array([r[0] for r in rows])
-        matrix = proxy_vectors(pd.Series([r[1] for r in rows]))
-
-        def search(batches: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
-            count = np.zeros(len(names), dtype=np.int64)
-            best = np.full(len(names), -1.0)
-            who = np.zeros(len(names), dtype=np.int64)
-            for b in batches:
-                ids_ = b[key].to_numpy()
-                s = np.round(matrix @ proxy_vectors(b[text]).T, 6)
-                s[names[:, None] == ids_[None, :]] = -1.0
-                count += (s >= threshold).sum(axis=1)
-                order = np.argsort(ids_, kind="stable")
-                top = order[s[:, order].argmax(axis=1)]
-                value = s[np.arange(len(names)), top]
-                better = (value > best) | ((value == best) & (ids_[top] < who))
-                who = np.where(better, ids_[top], who)
-                best = np.where(better, value, best)
-            yield pd.DataFrame({"source": names, "links": count, "target": who, "strength": best})
-
-        part = items.select(key, text).filter(F.col(key).isNotNull()).mapInPandas(search, "source bigint, links bigint, target bigint, strength double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return items.sparkSession.createDataFrame([], "source bigint, links bigint, target bigint, strength double")
+
+    def vectors(df: DataFrame) -> DataFrame:
+        return df.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), _vectors(text).alias("vec"))
+
+    def meet(ids: np.ndarray, names: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        top = s.argmax(axis=1)  # items are in order, so the first of equals has the lowest key
+        return pd.DataFrame({"source": ids, "links": (s >= threshold).sum(axis=1), "target": names[top], "strength": s[np.arange(len(ids)), top]})
+
+    out = _grid(vectors(items), vectors(queries), meet, "source bigint, links bigint, target bigint, strength double")
     rank = F.struct("strength", (-F.col("target")).alias("t"))
     merged = out.groupBy("source").agg(F.sum("links").alias("links"), F.max(F.when(F.col("strength") >= threshold, rank)).alias("r"))
     return merged.select("source", "links", (-F.col("r.t")).alias("target"), F.col("r.strength").alias("strength"))
@@ -80,46 +97,39 @@ def link_counts(items: DataFrame, queries: DataFrame, key: str, text: str, thres
 def nearest_vectors(items: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5) -> DataFrame:
     """K04 on stored vectors: the ``k`` items of greatest cosine to each query, itself excepted: ``query, rank, item, score``.
 
-    Exact. Queries travel in blocks; each task keeps k items a query; ties go to the lower id. Vectors that are null, empty or of another
-    length than a block's first are not compared.
+    Exact. Every block of queries meets every chunk of items, a task keeps k items a query, and ties go to the lower id. Vectors meet those
+    of their own length; null and empty ones meet none.
     """
     from pyspark.sql import Window
 
-    schema = "query bigint, item bigint, score double"
+    rows = lambda df: df.filter(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("id"), F.col(vector).alias("vec"))
+    items, queries = rows(items), rows(queries)
+
+    def meet(ids: np.ndarray, names: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k] if s.shape[1] <= 4 * k else _best(s, k)
+        score = np.take_along_axis(s, order, axis=1)
+        part = pd.DataFrame({"query": np.repeat(ids, order.shape[1]), "item": names[order].ravel(), "score": score.ravel()})
+        return part[part["score"] > -2.0]
+
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "item")
     out = None
-    for block in _blocks(queries, key):
-        rows = [r for r in block.select(key, vector).orderBy(key).collect() if r[1]]
-        if not rows:
-            continue
-        size = len(rows[0][1])
-        rows = [r for r in rows if len(r[1]) == size]
-        names = np.array([r[0] for r in rows])
-        matrix = np.array([r[1] for r in rows], dtype=np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-        def search(batches: Iterator[pd.DataFrame], names=names, matrix=matrix, size=size) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                b = b[[x is not None and len(x) == size for x in b[vector]]]
-                if not len(b):
-                    continue
-                ids_ = b[key].to_numpy()
-                v = np.array([np.asarray(x, dtype=np.float64) for x in b[vector]])
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = np.round(matrix @ v.T, 6)
-                s[names[:, None] == ids_[None, :]] = -2.0
-                order = np.lexsort((np.broadcast_to(ids_, s.shape), -s), axis=1)[:, :k]
-                score = np.take_along_axis(s, order, axis=1)
-                part = pd.DataFrame({"query": np.repeat(names, order.shape[1]), "item": ids_[order].ravel(), "score": score.ravel()})
-                yield part[part["score"] > -2.0]
-
-        part = items.select(key, vector).filter(F.col(key).isNotNull()).mapInPandas(search, schema)
+    for size in sorted(r[0] for r in queries.select(F.size("vec")).distinct().collect()):  # lengths of vectors, a few
+        part = _grid(items.filter(F.size("vec") == size), queries.filter(F.size("vec") == size), meet, "query bigint, item bigint, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return items.sparkSession.createDataFrame([], "query bigint, rank int, item bigint, score double")
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "item")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "rank", "item", "score")
 
 
+def _best(s: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest entries of each row, first ones first among equals."""
+    least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+    weight = np.where(s > least, 2, np.where(s == least, 1, 0))
+    near = np.argsort(-weight, axis=1, kind="stable")[:, :k]
+    near.sort(axis=1)
+    return np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, axis=1), axis=1, kind="stable"), axis=1)
+
+
 def folder_edges(paths: DataFrame) -> DataFrame:
     """Every folder and file with its parent, ``Project`` above all: ``child, parent, grp`` (folder or file), each edge once."""
     parts = F.split("path", "/")
@@ -143,8 +153,18 @@ def merged_graph(tree: DataFrame, links: DataFrame, topics: DataFrame) -> DataFr
 
 
 def tree_order(edges: DataFrame) -> DataFrame:
-    """Each child with its place among its siblings: folders first, then names: ``parent, place, child, grp``."""
+    """Each child with its place among its siblings: folders first, then names: ``parent, place, child, grp``.
+
+    Edges are laid out in order over ranges; a place is counted within its range and moved by what the parent has in earlier ones, so
+    the children of one parent need not fit a task. The ranges are written, so that both readings see the same ones.
+    """
     from pyspark.sql import Window
 
-    siblings = Window.partitionBy("parent").orderBy(F.when(F.col("grp") == "folder", 0).otherwise(1), "child")
-    return edges.select("parent", F.row_number().over(siblings).alias("place"), "child", "grp")
+    ensure_checkpoint_dir(edges.sparkSession)
+    order = F.when(F.col("grp") == "folder", 0).otherwise(1).alias("ord")
+    laid = edges.select("parent", "child", "grp", order).repartitionByRange("parent", "ord", "child").withColumn("part", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy("parent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = laid.groupBy("parent", "part").agg(F.count("*").alias("n"))
+    moved = sizes.select("parent", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    here = F.row_number().over(Window.partitionBy("parent", "part").orderBy("ord", "child"))
+    return laid.withColumn("here", here).join(moved, ["parent", "part"]).select("parent", (F.col("here") + F.col("before")).cast("int").alias("place"), "child", "grp")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,41 +81,79 @@ def symbols_under(symbols: DataFrame, files: DataFrame, prefix: str) -> DataFram
     return symbols.join(under, "path", "left_semi")
 
 
+def _sweep(inner: DataFrame, outer: DataFrame, answer: Callable[[list[tuple[int, int, str]], int, int, str], str | None], column: str) -> DataFrame:
+    """For each distinct range of ``inner`` (``path, start_line, end_line, qualified_name``) what ``answer`` says of the ranges of ``outer`` that
+    are open at its first line.
+
+    Both are sorted by place within their paths and pass by once; the ranges that are open at a line are all that is held, so neither the
+    length of a range nor the size of a file counts. Rows come distinct, so that a path has no more of them than its lines and symbols.
+    """
+    columns = ["path", "start_line", "end_line", "qualified_name"]
+    events = outer.select(*columns).distinct().withColumn("asks", F.lit(False)).unionByName(inner.select(*columns).distinct().withColumn("asks", F.lit(True)))
+
+    def pass_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, open_ = None, []
+        for b in batches:
+            rows = []
+            for p, first, last, name, asks in zip(b["path"], b["start_line"].tolist(), b["end_line"].tolist(), b["qualified_name"], b["asks"].tolist()):
+                if p != path:
+                    path, open_ = p, []
+                if not asks:
+                    open_.append((first, last, name))
+                    continue
+                if any(x[1] < first for x in open_):
+                    open_ = [x for x in open_ if x[1] >= first]
+                rows.append((p, first, last, name, answer(open_, first, last, name)))
+            yield pd.DataFrame(rows, columns=[*columns, column])
+
+    kept = events.filter("path is not null and start_line is not null and end_line is not null")
+    schema = f"path string, start_line int, end_line int, qualified_name string, {column} string"
+    return kept.repartition("path").sortWithinPartitions("path", "start_line", "asks", "end_line", "qualified_name").mapInPandas(pass_by, schema)
+
+
+def _innermost(open_: list[tuple[int, int, str]], first: int, last: int, name: str) -> str | None:
+    around = [x for x in open_ if x[1] >= last and x[2] is not None]
+    return min(around, key=lambda x: (x[1] - x[0], -len(x[2]), x[2]))[2] if around else None
+
+
+def _containers(open_: list[tuple[int, int, str]], first: int, last: int, name: str) -> str:
+    around = sorted((x[0], x[0] - x[1], x[2]) for x in open_ if x[1] >= last and x[2] is not None and (x[0] != first or x[2] != name))
+    return " > ".join(x[2] for x in around)
+
+
 def enclosing_symbol(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """For each reference the smallest symbol of its file whose lines hold it; ties by longest name, then first.
 
-    Symbols are laid out line by line, so that a reference meets only those around its first line, never all of its file.
-    Repeated references stay apart only by their count.
+    Only the distinct places of references are looked up, in one sweep over each file. Repeated references stay apart only by their
+    count. References without path are dropped; those without lines have no context.
     """
-    laid = symbols.filter("start_line <= end_line").select("path", "qualified_name", "start_line", "end_line", F.explode(F.sequence("start_line", "end_line")).alias("line"))
-    around = laid.select("path", "line", F.col("end_line").alias("until"), F.struct((F.col("end_line") - F.col("start_line")).alias("span"), (-F.length("qualified_name")).alias("size"), "qualified_name").alias("rank"))
+    place = ["path", "start_line", "end_line"]
     r = refs.filter("path is not null").groupBy("path", "name", "start_line", "end_line").agg(F.count("*").alias("references"))
-    joined = r.join(around.withColumnRenamed("line", "start_line"), ["path", "start_line"], "left")
-    best = F.min(F.when(F.col("until") >= F.col("end_line"), F.col("rank")))
-    return joined.groupBy("path", "name", "start_line", "end_line").agg(F.max("references").alias("references"), best["qualified_name"].alias("context"))
+    outer = symbols.filter("start_line <= end_line and qualified_name is not null")
+    found = _sweep(r.select(*place, F.lit(None).cast("string").alias("qualified_name")), outer, _innermost, "context")
+    return skew_join(r, found.select(*place, "context"), place).select("path", "name", "start_line", "end_line", "references", "context")
 
 
 def enclosing_types(symbols: DataFrame) -> DataFrame:
     """J09 for symbols: names of the types around each, outermost first."""
     types = symbols.filter(F.col("kind").isin("class", "struct", "actor", "enum", "protocol", "interface", "extension", "object", "companion", "dataClass", "sealedClass", "valueClass"))
-    laid = types.filter("start_line <= end_line").select(
-        "path", F.explode(F.sequence("start_line", "end_line")).alias("start_line"), F.col("end_line").alias("until"), F.struct(F.col("start_line").alias("from"), (F.col("start_line") - F.col("end_line")).alias("span"), "qualified_name").alias("outer")
-    )
-    inner = symbols.select(*KEY)
-    held = (F.col("until") >= F.col("end_line")) & ((F.col("outer.from") != F.col("start_line")) | (F.col("outer.qualified_name") != F.col("qualified_name")))
-    found = inner.join(laid, ["path", "start_line"], "left").groupBy(*KEY).agg(F.sort_array(F.collect_set(F.when(held, F.col("outer")))).alias("outers"))
-    return found.select(*KEY, F.array_join(F.transform("outers", lambda x: x["qualified_name"]), " > ").alias("containers"))
+    return _sweep(symbols, types.filter("start_line <= end_line"), _containers, "containers").select(*KEY, "containers")
 
 
 def dependency_crawl(staged: DataFrame, refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Files that define what a staged file names. ``staged`` has ``stage, path``; gives ``stage, path, reason``.
 
-    A reference resolves where its name is a definition's qualified name in another file. Names of a stage are made distinct
-    before they meet definitions; the reason is the least name.
+    A reference resolves where its name is a definition's qualified name in another file; the reason is the least name. Names that nothing
+    defines are dropped first. Of a stage and a name only one row is left, with the only file that names it or none if several do, since
+    a definition in any file is then in another one than some of them. Its definitions, which are results but for that one file,
+    are spread over tasks where a name has very many.
     """
-    named = staged.join(refs.select("path", "name").distinct(), "path").select("stage", F.col("path").alias("from_path"), "name").distinct()
-    defined = symbols.select(F.col("qualified_name").alias("name"), "path").distinct()
-    hits = named.join(defined, "name").filter("path != from_path")
+    defined = symbols.filter("qualified_name is not null").select(F.col("qualified_name").alias("name"), "path").distinct()
+    names = refs.filter("name is not null").select("path", "name").distinct().join(defined.select("name").distinct(), "name", "left_semi")
+    used = staged.filter("path is not null").select("stage", "path").distinct().join(names, "path")
+    once = F.when(F.min("path") == F.max("path"), F.min("path"))
+    named = used.groupBy("stage", "name").agg(once.alias("only_from"))
+    hits = skew_join(defined, named, ["name"], "inner").filter("only_from is null or only_from <> path")
     return hits.groupBy("stage", "path").agg(F.concat(F.lit("Defines "), F.min("name")).alias("reason"))
 
 

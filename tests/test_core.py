@@ -288,6 +288,7 @@ def test_links_in_blocks_are_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(i, f"w{i % 5} w{i % 3} common") for i in range(40)], "id bigint, text string")
     whole = sorted(map(tuple, links.link_counts(items, items, "id", "text").collect()))
     monkeypatch.setattr(links, "BLOCK", 7)
+    monkeypatch.setattr(links, "CHUNK", 9)
     assert sorted(map(tuple, links.link_counts(items.repartition(5), items, "id", "text").collect())) == whole
 
 
@@ -295,6 +296,7 @@ def test_nearest_vectors_against_brute_force(spark, monkeypatch):
     import numpy as np
 
     monkeypatch.setattr(links, "BLOCK", 3)
+    monkeypatch.setattr(links, "CHUNK", 20)
     v = np.random.default_rng(0).normal(size=(50, 8))
     rows = [(i, [float(x) for x in v[i]]) for i in range(50)] + [(50, None), (51, []), (52, [1.0])]
     items = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
@@ -307,6 +309,61 @@ def test_nearest_vectors_against_brute_force(spark, monkeypatch):
         assert [got[(q, k)] for k in (1, 2, 3)] == sorted(range(50), key=lambda i: (-s[i], i))[:3]
 
 
+def test_vectors_meet_those_of_their_length(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 1.0, 0.0]), (5, None)]
+    items = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    for parts in (1, 3):
+        got = {r["query"]: r["item"] for r in links.nearest_vectors(items.repartition(parts), items.filter("vec_id in (1, 3, 5)"), k=1).collect()}
+        assert got == {1: 2, 3: 4}
+
+
+def test_best_columns():
+    import numpy as np
+
+    s = np.random.default_rng(3).integers(0, 4, (40, 30)).astype(float)
+    for k in (1, 4, 9):
+        assert [list(r) for r in links._best(s, k)] == [sorted(range(30), key=lambda j: (-row[j], j))[:k] for row in s]
+
+
+def test_places_over_many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(f"c{i:03}", "Project" if i % 4 else f"p{i % 3}", "folder" if i % 5 else "file") for i in range(300)], "child string, parent string, grp string").repartition(7)
+        got = {}
+        for r in links.tree_order(edges).collect():
+            got.setdefault(r.parent, []).append((r.place, r.grp != "folder", r.child))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for rows in got.values():
+        rows.sort()
+        assert [r[0] for r in rows] == list(range(1, len(rows) + 1)) and [r[1:] for r in rows] == sorted(r[1:] for r in rows)
+    assert links.tree_order(edges.limit(0)).collect() == []
+
+
+def test_a_range_without_end_costs_nothing(spark):
+    s = spark.createDataFrame([sym("a", "class", "A", 1, 2_000_000_000), sym("a", "class", "A.B", 3, 9), sym("a", "function", "A.B.f", 4, 5), sym("a", "function", None or "g", 8, 2)], SYMBOL)
+    refs = spark.createDataFrame([("a", "x", 1_999_999_999, 2_000_000_000, None), ("a", "y", 5, 5, None), ("a", "z", 5, 6, None), ("a", "n", None, None, None), (None, "n", 1, 1, None)], "path string, name string, start_line int, end_line int, context string")
+    assert {r.name: r.context for r in symbols.enclosing_symbol(refs, s).collect()} == {"x": "A", "y": "A.B.f", "z": "A.B", "n": None}
+    assert {r.qualified_name: r.containers for r in symbols.enclosing_types(s).collect()} == {"A": "", "A.B": "A", "A.B.f": "A > A.B", "g": "A > A.B"}
+
+
+def test_crawl_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    staged = [(rng.choice("st"), f"f{rng.randint(0, 9)}") for _ in range(9)]
+    refs = [(f"f{rng.randint(0, 9)}", f"N{rng.randint(0, 7)}", 1, 1, None) for _ in range(60)]
+    defs = [sym(f"f{rng.randint(0, 12)}", "class", f"N{rng.randint(0, 9)}", 1, 2) for _ in range(40)]
+    want = {}
+    for stage, path in staged:
+        for p, n, *_ in refs:
+            for d in defs:
+                if p == path and d[3] == n and d[0] != path:
+                    want[stage, d[0]] = min(n, want.get((stage, d[0]), "Z"))
+    got = symbols.dependency_crawl(spark.createDataFrame(staged, "stage string, path string"), spark.createDataFrame(refs, "path string, name string, start_line int, end_line int, context string"), spark.createDataFrame(defs, SYMBOL))
+    assert {(r.stage, r.path): r.reason for r in got.collect()} == {k: f"Defines {v}" for k, v in want.items()}
+
+
 def test_graphs(spark):
     paths = spark.createDataFrame([("a/b/c.js",), ("a/d.js",), (None,)], "path string")
     edges = links.folder_edges(paths)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import extension, split_lines, trim_line
 from lodestone.functions.tokens import count_tokens, token_estimate
+from lodestone.session import ensure_checkpoint_dir
 
 # What a line must hold to declare a symbol, by language family; the name is the last group that takes part.
 _JS = {
@@ -119,16 +120,20 @@ def _pairs(code: str) -> dict[int, int]:
     return out | {s: len(code) for s in stack}
 
 
+_HEAD_SIGN = re.compile(r"[(\[)\]{};=\n]")
+_HEAD_GOES_ON = re.compile(r"\s*(?:where|throws|async|rethrows|->|:|,)")
+
+
 def _head_end(code: str, at: int) -> int:
     """Where a declaration's head ends: at a brace, ``=`` or line end outside parentheses, brackets and angles."""
     depth = 0
-    for i in range(at, len(code)):
-        c = code[i]
+    for m in _HEAD_SIGN.finditer(code, at):
+        c, i = m[0], m.start()
         if c in "([":
             depth += 1
         elif c in ")]":
             depth -= 1
-        elif depth <= 0 and (c in "{};" or (c == "=" and code[i + 1 : i + 2] not in ("=", ">")) or (c == "\n" and not re.match(r"\s*(?:where|throws|async|rethrows|->|:|,)", code[i:]) and not code[at:i].rstrip().endswith((",", ":", "->")))):
+        elif depth <= 0 and (c in "{};" or (c == "=" and code[i + 1 : i + 2] not in ("=", ">")) or (c == "\n" and not _HEAD_GOES_ON.match(code, i) and not code[at:i].rstrip().endswith((",", ":", "->")))):
             return i
     return len(code)
 
@@ -395,24 +400,95 @@ def kotlin_symbols(text: str, path: str) -> list[dict]:
     return out
 
 
-def references(text: str, symbols: list[dict]) -> list[dict]:
-    """Uses of names: identifiers that are neither keywords, labels nor declared there, with the innermost declaration around them."""
-    code = masked(text)
-    starts = _line_table(text)
-    declared = {(s["start_line"], s["name"]) for s in symbols}
-    spans = sorted(symbols, key=lambda s: (s["end_line"] - s["start_line"], -len(s["qualified_name"])))
-    by_line: dict[int, str] = {}
-    out = []
-    for m in re.finditer(r"[A-Za-z_]\w*", code):
-        name = m[0]
-        if name in _KEYWORDS or re.match(r"\s*:(?!:)", code[m.end() : m.end() + 3]):
+# Names that are no references where Kotlin asks for a type, and kinds of Kotlin symbols that can be a context.
+_KOTLIN_PRIMITIVES = frozenset(("String", "Int", "Long", "Boolean", "Double", "Float", "Unit", "Any", "Nothing", "List", "Map", "Set"))
+_KOTLIN_CONTEXTS = _KOTLIN_TYPES | {"function", "method", "test", "constructor"}
+# Words that a declared name follows.
+_DECLARES = frozenset("func fun class struct enum actor protocol interface object let var val case extension typealias associatedtype for catch package import precedencegroup operator".split())
+_NOT_CODE = re.compile(r"^[ \t]*(?:@\w+[ \t]+)?(?:import|package)\b[^\n]*", re.M)
+_NAME = re.compile(r"(\?\.|\.|::)?(?<!\w)(?:([A-Za-z_]\w*)|`([^`\n]+)`)(?=([ \t]*)([A-Za-z_]\w*|.)?)", re.S)
+_KOTLIN_TYPE_PLACE = re.compile(r"(?:(?<!:):|<|\b(?:is|as|in|out)\??|\b(?:is|as)\?)\s*$|<[^<>(){};=]*,\s*$|:[^(){}=;\n]*(?:\([^()]*\))?\s*,\s*$")
+_KOTLIN_HEADER = re.compile(r"\bfun\b[^(\n]*\(")
+_CLOSURE = re.compile(r"\{\s*(?:\[[^\]]*\]\s*)?\(?([\w\s,]+?)\)?\s+in\b")
+_PARAMETER = re.compile(r"(?<=[<,])\s*(\w+)")
+_GENERIC_CLAUSE = re.compile(r"\b(?:func|struct|class|enum|actor|typealias)\s+\w+\s*<([^<>(){}]*)>|\binit\s*<([^<>(){}]*)>")
+
+
+def _contexts(symbols: list[dict], lines: int) -> list[str | None]:
+    """Name of the innermost declaration around each line, from 1; of equal ones that of the longest name."""
+    out: list[str | None] = [None] * (lines + 2)
+    for s in sorted(symbols, key=lambda s: (s["start_line"] - s["end_line"], len(s["qualified_name"]))):
+        a, b = s["start_line"], min(s["end_line"], lines)
+        out[a : b + 1] = [s["qualified_name"]] * max(0, b - a + 1)
+    return out
+
+
+def swift_references(code: str) -> Iterator[tuple[int, str]]:
+    """Offset and name of what Swift code refers to: names in expressions, members (twice: as a member, and as the name it is made of) and
+    types. Declared names, labels, parameters of closures, generic parameters and keywords are no references."""
+    own = [m.span(1) for m in _CLOSURE.finditer(code)]
+    for clause in _GENERIC_CLAUSE.finditer(code):
+        own += [m.span(1) for m in _PARAMETER.finditer(code, *clause.span(1 if clause[1] is not None else 2))]
+    own.sort()
+    k, before, ended = 0, "", -1
+    for m in _NAME.finditer(code):
+        name = m[2] or m[3]
+        follows = before if ended >= 0 and code[ended : m.start()].isspace() else ""
+        before, ended = name, m.end()
+        if m[1] == "." or m[1] == "?.":
+            if name not in ("self", "Type"):
+                yield from ((m.start(), name),) * 2
             continue
-        line = bisect_right(starts, m.start())
-        if (line, name) in declared and re.search(r"\b(?:func|fun|class|struct|enum|actor|protocol|interface|object|let|var|val|case|extension|typealias)\s+(?:[\w<>?]+\.)?$", code[max(0, m.start() - 40) : m.start()]):
+        if m[2] in _KEYWORDS or follows in _DECLARES or m[5] == ":" and not m[4]:
+            continue
+        while k < len(own) and own[k][1] <= m.start():
+            k += 1
+        if k < len(own) and own[k][0] <= m.start():
+            continue
+        if m[4] and m[5] and (m[5][0].isalpha() or m[5][0] == "_") and m[5] not in _KEYWORDS:
+            continue  # a label ahead of the parameter's own name
+        yield m.start(), name
+
+
+def kotlin_references(code: str) -> Iterator[tuple[int, str]]:
+    """Offset and name of what Kotlin code refers to: calls, members, and types but for twelve plain ones. Names that a function's head
+    declares are no references, but the types of its receiver are."""
+    heads = [(m.start(), m.end() - 1) for m in _KOTLIN_HEADER.finditer(code)]
+    k, before, ended = 0, "", -1
+    for m in _NAME.finditer(code):
+        name = m[2] or m[3]
+        follows = before if ended >= 0 and code[ended : m.start()].isspace() else ""
+        before, ended = name, m.end()
+        while k < len(heads) and heads[k][1] < m.start():
+            k += 1
+        if k < len(heads) and heads[k][0] <= m.start() < heads[k][1]:
+            if m.end() < heads[k][1] and code[m.end() : heads[k][1]].strip() and name not in _KEYWORDS and name not in _KOTLIN_PRIMITIVES and len(name) > 1:
+                yield m.start(), name
+            continue
+        if m[1]:
+            if name not in ("class", "this"):
+                yield m.start(), name
+        elif m[2] in _KEYWORDS or follows in _DECLARES:
+            continue
+        elif m[5] == "(" and not m[4]:
+            yield m.start(), name
+        elif m[5] != ":" and name not in _KOTLIN_PRIMITIVES and _KOTLIN_TYPE_PLACE.search(code, code.rfind("\n", 0, m.start()) + 1, m.start()):
+            yield m.start(), name
+
+
+def references(text: str, symbols: list[dict], kotlin: bool = False) -> list[dict]:
+    """Uses of names by the rules of the language, with the innermost declaration around them as context. Kotlin counts a name once a line
+    and context; imports and packages refer to nothing."""
+    code = _NOT_CODE.sub(lambda m: " " * len(m[0]), masked(text))
+    starts = _line_table(text)
+    around = _contexts([s for s in symbols if s["kind"] in _KOTLIN_CONTEXTS] if kotlin else symbols, len(starts))
+    out, seen = [], set()
+    for at, name in kotlin_references(code) if kotlin else swift_references(code):
+        line = bisect_right(starts, at)
+        if kotlin and (name, line) in seen:
             continue
-        if line not in by_line:
-            by_line[line] = next((s["qualified_name"] for s in spans if s["start_line"] <= line <= s["end_line"]), "")
-        out.append({"name": name, "start_line": line, "end_line": line, "context": by_line[line] or None})
+        seen.add((name, line))
+        out.append({"name": name, "start_line": line, "end_line": line, "context": around[line]})
     return out
 
 
@@ -420,36 +496,44 @@ SCANNERS = {"swift": swift_symbols, "kt": kotlin_symbols, "kts": kotlin_symbols}
 _COLUMNS = "path string, kind string, name string, qualified_name string, signature string, enclosing_type string, access_level string, start_line int, end_line int, doc_comment string, estimated_tokens int"
 
 
-def scanned_symbols(files: DataFrame) -> DataFrame:
-    """X09/X10 over a table of files; keys are unique, so that equal declarations on one line don't lose a file its symbols."""
+_USES = "path string, name string, start_line int, end_line int, context string"
+
+
+def scanned(files: DataFrame, symbols: bool = True, uses: bool = True) -> DataFrame:
+    """X09/X10 over a table of files in one pass: rows of symbols and, with ``is_use``, of references. Symbol keys are unique, so that equal
+    declarations on one line don't lose a file its symbols. Null contents give nothing."""
+    fields = [*[c.split()[0] for c in _COLUMNS.split(", ")], "context", "is_use"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for p, t in zip(b["path"], b["content"]):
-                seen = set()
-                for s in SCANNERS[p.rsplit(".", 1)[-1].lower()]((t or "").replace("\r\n", "\n"), p):
-                    key = (s["qualified_name"], s["start_line"], s["end_line"])
-                    if key not in seen:
-                        seen.add(key)
-                        rows.append({"path": p} | s)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _COLUMNS.split(", ")])
+                text, ext = (t or "").replace("\r\n", "\n"), p.rsplit(".", 1)[-1].lower()
+                found = SCANNERS[ext](text, p)
+                if symbols:
+                    rows += [{"path": p, "is_use": False} | s for s in {(s["qualified_name"], s["start_line"], s["end_line"]): s for s in reversed(found)}.values()]
+                if uses:
+                    rows += [{"path": p, "is_use": True} | r for r in references(text, found, ext != "swift")]
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in fields})
 
-    return files.filter(extension("path").isin(*SCANNERS)).select("path", "content").mapInPandas(scan, _COLUMNS)
+    return files.filter(extension("path").isin(*SCANNERS)).select("path", "content").mapInPandas(scan, f"{_COLUMNS}, context string, is_use boolean")
 
 
-def scanned_references(files: DataFrame) -> DataFrame:
-    """References of Swift and Kotlin files, repeated uses kept."""
+def _symbols_of(found: DataFrame) -> DataFrame:
+    return found.filter("not is_use").select(*[c.split()[0] for c in _COLUMNS.split(", ")])
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for p, t in zip(b["path"], b["content"]):
-                text = (t or "").replace("\r\n", "\n")
-                rows += [{"path": p} | r for r in references(text, SCANNERS[p.rsplit(".", 1)[-1].lower()](text, p))]
-            yield pd.DataFrame(rows, columns=["path", "name", "start_line", "end_line", "context"])
 
-    return files.filter(extension("path").isin(*SCANNERS)).select("path", "content").mapInPandas(scan, "path string, name string, start_line int, end_line int, context string")
+def _uses_of(found: DataFrame) -> DataFrame:
+    return found.filter("is_use").select(*[c.split()[0] for c in _USES.split(", ")])
+
+
+def scanned_symbols(files: DataFrame) -> DataFrame:
+    return _symbols_of(scanned(files, uses=False))
+
+
+def scanned_references(files: DataFrame) -> DataFrame:
+    """References of Swift and Kotlin files."""
+    return _uses_of(scanned(files, symbols=False))
 
 
 def file_fallback(files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -469,5 +553,7 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         "path", "kind", "name", F.col("name").alias("qualified_name"), "signature", F.lit(None).cast("string").alias("enclosing_type"), F.lit(None).cast("string").alias("access_level"),
         F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.lit(None).cast("string").alias("doc_comment"), F.col("tokens").cast("int").alias("estimated_tokens"),
     )
-    found = lines.unionByName(scanned_symbols(files))
-    return found.unionByName(file_fallback(files, found)), scanned_references(files)
+    ensure_checkpoint_dir(files.sparkSession)
+    both = scanned(files).checkpoint()  # read for symbols, for the fallback and for references
+    found = lines.unionByName(_symbols_of(both))
+    return found.unionByName(file_fallback(files, found)), _uses_of(both)

@@ -230,6 +230,24 @@ def kotlin_line_symbols(s: SparkSession, d: str) -> DataFrame:
     return extract.kotlin_line_symbols(_files(s, d))
 
 
+_SCANNED = "WHERE lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('swift', 'kt', 'kts')"
+
+
+@query(f"SELECT DISTINCT path, qualified_name, start_line, end_line FROM symbols {_SCANNED} AND kind IS DISTINCT FROM 'file'")
+def recorded_declarations(s: SparkSession, d: str) -> DataFrame:
+    """X09, X10 against the recorded symbols: every recorded key is found in the text. Kinds are not compared, as the table misstates some
+    and calls functions of classes named ...TestsError tests; constants outside types, which it leaves out, are found besides."""
+    found = extract.scanned_symbols(_files(s, d)).select("path", "qualified_name", "start_line", "end_line")
+    return found.join(table(s, d, "symbols").select(*found.columns).distinct(), found.columns, "left_semi")
+
+
+@query(f"SELECT DISTINCT path, name, start_line FROM symbol_refs {_SCANNED} AND name IS NOT NULL")
+def recorded_calls(s: SparkSession, d: str) -> DataFrame:
+    """References of X09 and X10 against the recorded ones, which hold calls only: every one of these is found in the text."""
+    found = extract.scanned_references(_files(s, d)).select("path", "name", "start_line").distinct()
+    return found.join(_refs(s, d).select("path", "name", "start_line").distinct(), ["path", "name", "start_line"], "left_semi")
+
+
 @query()
 def scanned_references(s: SparkSession, d: str) -> DataFrame:
     """References of X09 and X10, counted by file, name and context."""

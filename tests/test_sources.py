@@ -40,6 +40,30 @@ def test_swift_basics():
     assert {r["context"] for r in refs if r["name"] == "unit"} == {"Meter.show"}
 
 
+def uses(text, kotlin=False):
+    found = (extract.kotlin_symbols if kotlin else extract.swift_symbols)(text, "a.kt" if kotlin else "a.swift")
+    return [(r["name"], r["start_line"], r["context"]) for r in extract.references(text, found, kotlin)]
+
+
+def test_swift_references():
+    text = "import Foundation\nstruct Meter {\n    let unit: Gauge\n    func show<T: Scale>(with x: T, _ n: Int) -> String {\n        let local = make(x, at: n)\n        return local.unit.name\n    }\n    func each() { list.map { a, b in a } }\n}\n"
+    got = uses(text)
+    assert [n for n, line, _ in got if line == 3] == ["Gauge"] and [n for n, line, _ in got if line == 4] == ["Scale", "T", "Int", "String"]
+    assert [n for n, line, _ in got if line == 5] == ["make", "x", "n"] and {c for _, line, c in got if line == 5} == {"Meter.show"}
+    assert [n for n, line, _ in got if line == 6] == ["local", "unit", "unit", "name", "name"]  # a member counts as a member and as a name
+    assert [n for n, line, _ in got if line == 8] == ["list", "map", "map", "a"] and not any(n == "Foundation" for n, _, _ in got)
+    assert uses("") == [] and uses("// f(x)\nlet s = \"g(y)\"\n") == []
+
+
+def test_kotlin_references():
+    text = "package com.app\nimport a.b.Other\nclass Repo(val id: String) : Base<Item>, Closeable {\n    val cache: MutableMap<String, User> = mutableMapOf()\n    fun fetch(id: String, n: Int): User {\n        val local = User(id)\n        if (local is Admin) store.queue.push(User(id), id)\n        return local\n    }\n    fun Item.slug(): Boolean = name.trim()\n}\ndata class User(val id: String)\n"
+    got = uses(text, True)
+    on = lambda line: [n for n, at, _ in got if at == line]
+    assert on(1) == on(2) == on(12) == [] and on(3) == ["Base", "Item", "Closeable"] and on(4) == ["MutableMap", "User", "mutableMapOf"]
+    assert on(5) == ["User"] and on(6) == ["User"] and on(7) == ["Admin", "queue", "push", "User"] and on(8) == []  # once a line and context
+    assert on(10) == ["Item", "trim"] and ("User", 6, "com.app.Repo.fetch") in got
+
+
 def test_swift_locals_overloads_tests_and_cases():
     text = "class CaseTests {\n  func testOne() { let local = 1 }\n  func go(a: Int) {}\n  func go(b: Int) {\n    func inner() {}\n  }\n}\nenum Mode: String {\n  case on = \"x\", off(Int)\n}\nextension Mode { var raw: Int { 1 } }\n/// Doc one.\n/// Doc two.\nprotocol P: Q { func need() }\nlet top = 1\n"
     rows = extract.swift_symbols(text, "a.swift")

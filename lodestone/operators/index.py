@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.current import current_files
 from lodestone.operators.extract import extract
+from lodestone.operators.store import BucketStore
+from lodestone.schema import FILES, SYMBOL_REFS, SYMBOLS
+from lodestone.session import ensure_checkpoint_dir
 
 
 def diff(previous: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -28,68 +33,51 @@ def stale(table: DataFrame, scanned: DataFrame) -> DataFrame:
     return table.join(scanned.select("path").distinct(), "path", "left_anti")
 
 
-def update_index(spark: SparkSession, store: str, scanned: DataFrame, clean: bool = False) -> DataFrame:
-    """One run: unchanged files keep their rows, changed and new ones are extracted again, others go. Gives the counters.
+def store_of(spark: SparkSession, root: str) -> BucketStore:
+    return BucketStore(spark, root, "path", {"files": FILES, "symbols": SYMBOLS, "symbol_refs": SYMBOL_REFS})
 
-    All three tables of a run are written under a new version and then named in one small file, so that a run that fails leaves
-    the index as it was.
-    """
-    version, before = _versions(store)
-    now = version + 1
-    scanned = scanned.dropDuplicates(["path"])
-    old = {t: spark.read.parquet(f"{store}/v{version}/{t}") for t in ("files", "symbols", "symbol_refs")} if before and not clean else None
-    if old is None:
-        changes = scanned.select("path", F.lit("added").alias("status"))
-        symbols, refs, files = *extract(scanned), scanned
-    else:
-        changes = diff(old["files"], scanned)
-        fresh = scanned.join(changes.filter("status in ('added', 'changed')").select("path"), "path", "left_semi")
-        same = changes.filter("status = 'unchanged'").select("path")
-        symbols, refs = extract(fresh)
-        files = old["files"].join(same, "path", "left_semi").unionByName(fresh)
-        symbols = old["symbols"].join(same, "path", "left_semi").unionByName(symbols)
-        refs = old["symbol_refs"].join(same, "path", "left_semi").unionByName(refs)
-    for name, df in (("files", files), ("symbols", symbols), ("symbol_refs", refs)):
-        df.write.mode("overwrite").parquet(f"{store}/v{now}/{name}")
-    counters = run_counters(changes)
-    rows = counters.collect()
-    _name_version(spark, store, now)
-    return spark.createDataFrame(rows, counters.schema)
-
-
-def _fs(store: str):
-    spark = SparkSession.getActiveSession()
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{store}/CURRENT")
-    return jvm, path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _versions(store: str) -> tuple[int, bool]:
-    _, path, fs = _fs(store)
-    if not fs.exists(path):
-        return 0, False
-    stream = fs.open(path)
-    try:
-        return int(bytes(stream.readAllBytes()).decode() or 0), True
-    finally:
-        stream.close()
 
+def update_index(spark: SparkSession, root: str, scanned: DataFrame, clean: bool = False, notify: Callable[[str, dict], None] | None = None) -> DataFrame:
+    """One run: unchanged files keep their rows, changed and new ones are extracted again, others go. Gives the counters.
 
-def _name_version(spark: SparkSession, store: str, version: int) -> None:
-    _, path, fs = _fs(store)
-    stream = fs.create(path, True)
+    Only buckets with a path that is new, changed or gone are read and written. All three tables of a run are named by one rename, so that
+    a run that fails leaves the index as it was. ``notify`` (ST2) hears of start, progress (paths by status), finish and error.
+    """
+    tell = notify or (lambda event, what: None)
+    tell("start", {})
     try:
-        stream.write(bytearray(str(version).encode()))
-    finally:
-        stream.close()
-
-
-def read_index(spark: SparkSession, store: str) -> dict[str, DataFrame]:
+        ensure_checkpoint_dir(spark)
+        store = store_of(spark, root)
+        if clean:
+            store.clear()
+        scanned = scanned.dropDuplicates(["path"])
+        changes = diff(store.read("files"), scanned).checkpoint()  # paths, read several times
+        counters = run_counters(changes)
+        rows = counters.collect()
+        tell("progress", rows[0].asDict())
+        touched = store.touched(changes.filter("status <> 'unchanged'"))
+        if touched or store.state() is None:
+            same = changes.filter("status = 'unchanged'").select("path")
+            fresh = scanned.join(changes.filter("status in ('added', 'changed')").select("path"), "path", "left_semi")
+            symbols, refs = extract(fresh)
+            kept = lambda t: store.read(t, touched).join(same, "path", "left_semi")
+            frames = {"files": fresh.select(*FILES.names), "symbols": symbols, "symbol_refs": refs}
+            version = store.replace({t: kept(t).unionByName(df.select(*kept(t).columns)) for t, df in frames.items()}, touched)
+            tell("finish", {"version": version, "buckets": len(touched)})
+        else:
+            tell("finish", {"version": store.state()["version"], "buckets": 0})
+        return spark.createDataFrame(rows, counters.schema)
+    except Exception as e:
+        tell("error", {"message": str(e)})
+        raise
+
+
+def read_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables of the current version."""
-    version, there = _versions(store)
-    if not there:
-        raise FileNotFoundError(f"no index at {store}")
-    return {t: spark.read.parquet(f"{store}/v{version}/{t}") for t in ("files", "symbols", "symbol_refs")}
+    store = store_of(spark, root)
+    if store.state() is None:
+        raise FileNotFoundError(f"no index at {root}")
+    return {t: store.read(t) for t in store.schemas}
 
 
 def snapshot(files: DataFrame, until: str) -> DataFrame:

@@ -14,7 +14,8 @@ from lodestone.operators import extract, index
 from lodestone.schema import ACTIONS, FILES
 from lodestone.sources.ignore import ScanOptions, Rule, gitignore_rules, is_build_script, kept
 from lodestone.sources.scan import Settings, detect_gradle, git_history, read_log, scan_repo, walk
-from lodestone.streaming.incremental import event_windows, stream_actions, stream_files
+from lodestone.streaming import incremental
+from lodestone.streaming.incremental import event_windows, read_state, stream_actions, stream_files
 
 
 def tree(root: Path, files: dict[str, str]) -> str:
@@ -192,6 +193,25 @@ def test_incremental_index(spark, tmp_path):
         Index(spark, str(tmp_path / "none")).files.count()
 
 
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    root = str(tmp_path / "s")
+    rows = lambda *pairs: spark.createDataFrame([(f"p{i}", "js", h, 1, None, None, 0, 0, f"class C{i} {{}}") for i, h in pairs], FILES)
+    index.update_index(spark, root, rows(*[(i, "a") for i in range(60)]))
+    heard = []
+    index.update_index(spark, root, rows(*[(i, "b" if i == 7 else "a") for i in range(60)]), notify=lambda e, w: heard.append((e, w)))
+    assert heard == [("start", {}), ("progress", {"updated": 1, "skipped": 59, "removed": 0}), ("finish", {"version": 2, "buckets": 1})]
+    assert len([x for x in (tmp_path / "s/v2/files").iterdir() if x.name.startswith("_b=")]) == 1
+    tables = index.read_index(spark, root)
+    assert tables["files"].count() == 60 and tables["symbols"].count() == 60 and tables["files"].filter("sha256 = 'b'").count() == 1
+    index.update_index(spark, root, rows((7, "c")), notify=lambda e, w: heard.append((e, w)))  # nearly all go
+    assert [r.path for r in index.read_index(spark, root)["files"].collect()] == ["p7"]
+    index.update_index(spark, root, rows((7, "c"), (8, "a")))
+    assert not (tmp_path / "s/v1").exists() and not list((tmp_path / "s").glob(".CURRENT-*"))
+    with pytest.raises(Exception):
+        index.update_index(spark, root, rows((1, "a")).drop("content"), notify=lambda e, w: heard.append((e, w)))
+    assert heard[-1][0] == "error" and index.read_index(spark, root)["files"].count() == 2
+
+
 def test_api(spark, tmp_path):
     root, store = tree(tmp_path / "r", SOURCES), str(tmp_path / "s")
     ix = Index(spark, store)
@@ -264,11 +284,17 @@ def test_streams(spark, tmp_path):
     assert run()
     spark.createDataFrame([row("a", 3, "three"), row("a", 2, "late")], FILES).write.mode("append").parquet(source)
     assert run()
-    assert {r.path: r.content for r in spark.read.parquet(f"{store}/state-1").collect()} == {"a": "three", "b": "b"}
-    assert seen == [("start", 0), ("finish", 0), ("start", 1), ("finish", 1)]
+    assert {r.path: r.content for r in read_state(spark, store, "files").collect()} == {"a": "three", "b": "b"}
+    assert seen == [(e, n) for n in (0, 1) for e in ("start", "progress", "finish")]
+    batch = spark.createDataFrame([row("a", 9, "nine")], FILES)
+    merge = incremental._merge(store, "files", lambda df: df, lambda e, n: seen.append((e, n)))
+    merge(batch, 1)  # repeated: nothing changes
+    with pytest.raises(RuntimeError):
+        merge(batch, 7)
+    assert seen[-4:] == [("start", 1), ("finish", 1), ("start", 7), ("error", 7)] and read_state(spark, store, "files").filter("content = 'nine'").count() == 0
     spark.createDataFrame([(1, "p", None, "cli", 0, 0, "completed", t(2), "r"), (1, "p", None, "cli", 0, 0, "pending", t(1), None)], ACTIONS).write.parquet(str(tmp_path / "a"))
     assert stream_actions(spark, str(tmp_path / "a"), str(tmp_path / "ao"), str(tmp_path / "acp")).awaitTermination(60)
-    assert [r.status for r in spark.read.parquet(f"{tmp_path}/ao/state-0").collect()] == ["completed"]
+    assert [r.status for r in read_state(spark, f"{tmp_path}/ao", "actions").collect()] == ["completed"]
 
 
 def test_event_windows(spark):

@@ -172,6 +172,20 @@ def test_settings_and_logs(spark, tmp_path):
     assert git_history(str(tmp_path)) == []
 
 
+def test_scan_from_many_folders_and_broken_files(spark, tmp_path, monkeypatch):
+    from lodestone.sources import scan
+
+    root = tree(tmp_path, {f"a{i}/b{i % 3}/f{i}.js": f"let x = {i}" for i in range(30)} | {"_under.ts": "", "top.swift": "x", ".hid/x.js": "", "a1/.git/y.js": ""})
+    (tmp_path / "bad.js").write_bytes(b"\xff\xfe\x00")
+    want = {f"a{i}/b{i % 3}/f{i}.js" for i in range(30)} | {"_under.ts", "top.swift"}
+    for folders in (1, 7, 1000):
+        monkeypatch.setattr(scan, "FOLDERS", folders)
+        assert {r.path for r in scan_repo(spark, root).collect()} == want
+    assert {r.status: (r.files, r.first_path) for r in scan.scan_report(spark, root).collect()} == {"read": (32, "_under.ts"), "not_utf8": (1, "bad.js")}
+    assert {p for p, *_ in walk(root, ScanOptions())} == want | {"bad.js"}
+    assert scan_repo(spark, str(tmp_path / "none")).collect() == []
+
+
 # ------------------------------------------------------------------------------------------------------------- index, API
 SOURCES = {"src/cart.js": "export class Cart {}\nfunction total(cart) {\n  return cart.sum\n}\n", "Auth/Login.swift": "/// Signs in.\nfinal class Login {\n    func run(cart: Cart) { total(cart) }\n}\n", "style.css": ".btn {\n}\n", "data.json": "{\n}\n", ".gitignore": "Ignored/\n", "Ignored/x.js": "let a = 1\n"}
 

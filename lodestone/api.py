@@ -8,16 +8,18 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import content_prefix
 from lodestone.functions.tokens import count_tokens, token_estimate
 from lodestone.operators import index, packets, search, stats, symbols
 from lodestone.operators.current import current_files, latest
 from lodestone.operators.extract import extract
 from lodestone.schema import ACTIONS
+from lodestone.session import ensure_checkpoint_dir
 from lodestone.sources.ignore import ScanOptions
-from lodestone.sources.scan import Settings, read_log, scan_repo
+from lodestone.sources.scan import Settings, commit_files, complete_options, git_history, read_log, scan_repo
 
 # What the explanations say.
 EXPLANATIONS = {
@@ -76,8 +78,10 @@ class Index:
         return row.outline if row else ""
 
     def symbol(self, qualified_name: str) -> DataFrame:
-        """``symbol``, ``get_symbol``: all symbols of a qualified name."""
-        return self.symbols.filter(F.col("qualified_name") == qualified_name)
+        """``symbol``, ``get_symbol``: all symbols of a qualified name, each with its ``body``."""
+        found = self.symbols.filter(F.col("qualified_name") == qualified_name)
+        bodies = symbols.symbol_bodies(found, self.files.join(found.select("path").distinct(), "path", "left_semi")).select(*symbols.KEY, "body")
+        return found.join(bodies, symbols.KEY)
 
     def file_symbols(self, path: str) -> DataFrame:
         return symbols.reference_counts(self.symbols.filter(F.col("path") == path), self.refs).orderBy("start_line", "qualified_name")
@@ -99,9 +103,13 @@ class Index:
         return search.grep_all(self.files, patterns)
 
     def stats(self, prefix: str = "") -> DataFrame:
-        """``get_stats``"""
+        """Counts and sums below a prefix."""
         return stats.repo_stats(self.files, self.symbols, prefix)
 
+    def paths(self) -> DataFrame:
+        """``get_map``: the indexed files."""
+        return self.files.select("path").orderBy("path")
+
     def report(self) -> str:
         """``summarize``: the project report as Markdown."""
         rows = stats.project_report(self.files, self.symbols, self.refs).collect()
@@ -133,16 +141,17 @@ class Index:
         staged = [r.path for r in hits.collect()]  # EXPANDED rows at most
         stage = self.spark.createDataFrame([("task", p, i) for i, p in enumerate(staged)], "stage string, path string, place int")
         more = symbols.auto_expand(stage.select("stage", "path"), refs, syms)
+        after = Window.orderBy("path")  # a packet's files
         items = stage.select(F.lit("task").alias("pack"), F.col("place").alias("pos"), "path", F.lit("file").alias("kind"), F.lit("Matches the task").alias("reason")).unionByName(
-            more.select(F.lit("task").alias("pack"), F.lit(len(staged)).alias("pos"), "path", F.lit("file").alias("kind"), "reason")
+            more.select(F.lit("task").alias("pack"), (F.row_number().over(after) + len(staged)).alias("pos"), "path", F.lit("file").alias("kind"), "reason")
         )
-        used = count_tokens("\n".join(parts))
+        ahead = "\n".join(parts)
         shown = scan_repo(self.spark, root) if root is not None else files
-        sections = packets.cart_sections(items, shown, packets.outlines(syms))
-        taken = packets.packed_carts(sections, max(1, budget - used)).filter("taken").select("pack", "path", "kind", "class", "pos", "used")
-        rows = taken.join(sections.select("pack", "path", "kind", "section"), ["pack", "path", "kind"]).orderBy("class", "pos", "path").collect()
-        total = used + max([0, *[r.used for r in rows]])
-        return "\n".join([f"# Context Packet (Tokens: {total}/{budget})", *parts, *[r.section for r in rows]])
+        sections = packets.cart_sections(items, shown, packets.headed_outlines(syms))
+        row = packets.rendered_carts(sections, max(1, budget - count_tokens(ahead))).first()
+        body = row.text.split("\n\n", 1)[1] if row else ""
+        whole = f"{ahead}\n{body}"
+        return f"# Context Packet (Tokens: {count_tokens(whole)}/{budget})\n{whole}"
 
     def estimate(self, text: str) -> int:
         """``estimate``, ``estimate_tokens``"""
@@ -151,12 +160,34 @@ class Index:
     def explain(self, topic: str) -> str:
         return EXPLANATIONS.get(topic, f"Unknown topic: {topic}")
 
-    def semantic_graph(self, threshold: float = 0.3, share: int = 1) -> DataFrame:
-        """``get_semantic_graph``: for every file (or every ``share``-th by hash) how many files are like it, and the closest."""
+    def _linked(self, items: DataFrame, threshold: float, share: int = 1) -> DataFrame:
+        """Items (``path, text``) with how many others are like them, the closest of these, and their topic."""
         from lodestone.operators.links import link_counts
 
-        items = self.files.select(F.xxhash64("path").alias("id"), F.substring("content", 1, 2000).alias("text"))
-        return link_counts(items, items.filter(F.pmod("id", F.lit(share)) == 0), "id", "text", threshold)
+        keyed = items.select(F.xxhash64("path").alias("id"), "path", "text")
+        found = link_counts(keyed, keyed.filter(F.pmod("id", F.lit(share)) == 0), "id", "text", threshold)
+        names = keyed.select("id", "path")
+        topics = stats.main_topics(items, "path", "text")
+        named = found.join(names, found["source"] == names["id"]).select("path", "links", "target", "strength")
+        closest = names.select(F.col("id").alias("target"), F.col("path").alias("closest"))
+        return named.join(closest, "target", "left").join(topics, "path").select("path", "links", "closest", "strength", "topic")
+
+    def semantic_graph(self, threshold: float = 0.3, share: int = 1, whole: bool = False) -> DataFrame:
+        """``get_semantic_graph``: for every file (or every ``share``-th by hash) how many files are like it, the closest, and its topic.
+
+        Files are compared by their first 2000 characters (T20), as the graph is defined, or with ``whole`` by all of their text."""
+        return self._linked(self.files.select("path", (F.col("content") if whole else content_prefix("content")).alias("text")), threshold, share)
+
+    def pack_links(self, items: list[tuple[str, str]], threshold: float = 0.4, whole: bool = False) -> DataFrame:
+        """``get_pack_semantic_links``: the same among a cart's items (path, kind): files by their text, symbols, written Symbol::path, by their body."""
+        cart = self.spark.createDataFrame([("cart", i, p, k) for i, (p, k) in enumerate(items)], "pack string, pos int, path string, kind string")
+        text = F.col("content") if whole else content_prefix("content")
+        of_files = cart.filter("kind = 'file'").select("path").distinct().join(self.files.select("path", text.alias("text")), "path")
+        held = packets.cart_symbols(cart.withColumn("kind", F.when(F.col("kind") == "file", "file").otherwise("symbol")), self.symbols)
+        keys = held.select(*symbols.KEY).distinct()
+        bodies = symbols.symbol_bodies(self.symbols.join(keys, symbols.KEY, "left_semi"), self.files.join(keys.select("path").distinct(), "path", "left_semi"))
+        of_symbols = bodies.groupBy(F.concat("qualified_name", F.lit("::"), "path").alias("path")).agg(F.min("body").alias("text"))
+        return self._linked(of_files.unionByName(of_symbols), threshold)
 
     # ------------------------------------------------------------------------------------------------------ user state
     def _append(self, name: str, row: tuple, schema: str) -> None:
@@ -211,8 +242,11 @@ class Index:
         try:
             match kind:
                 case "get_stats":
-                    return {"type": kind, **rows(self.stats(message.get("prefix", "")))[0]}
-                case "get_map" | "get_repo_map":
+                    favorites = rows(self.favorites().select("name", "file_path", "kind", "view_mode"))
+                    return {"type": kind, **rows(self.stats(message.get("prefix", "")))[0], "favorites": favorites, "packs": rows(self.packs().select("name", F.coalesce("description", F.lit("")).alias("description")))}
+                case "get_map":
+                    return {"type": kind, "results": rows(self.paths())}
+                case "get_repo_map":
                     return {"type": kind, "text": self.map(int(message.get("budget", 4096)), message.get("focus"))}
                 case "search":
                     return {"type": kind, "results": rows(self.search(message["query"], limit=10))}
@@ -242,6 +276,8 @@ class Index:
                     return {"type": kind, "results": rows(search.hybrid(self.files.select("path", "content"), message["query"], "path", "content", 15))}
                 case "get_semantic_graph":
                     return {"type": kind, "results": rows(self.semantic_graph(float(message.get("threshold", 0.3))))}
+                case "get_pack_semantic_links":
+                    return {"type": kind, "results": rows(self.pack_links([(x["path"], x.get("kind", "file")) for x in message["items"]]).orderBy("path"))}
                 case "get_action_history":
                     return {"type": kind, "results": rows(self.actions(int(message.get("limit", 20))))}
                 case "add_favorite" | "remove_favorite":
@@ -277,3 +313,12 @@ def history_benchmark(spark: SparkSession, snapshots: list[tuple[int, str, str,
         rows.append((cycle, commit, message, totals.n, totals.t, count_tokens(text), focus is None or focus.lower() in text.lower()))
     table = spark.createDataFrame(rows, "cycle int, hash string, message string, total_files long, naive_tokens long, map_tokens long, focus_preserved boolean")
     return stats.compression_history(table)
+
+
+def repository_benchmark(spark: SparkSession, root: str, focus: str | None = None, budget: int = 2000, limit: int = 20) -> DataFrame:
+    """``history-benchmark`` of a repository's last commits, each with the files that it holds."""
+    history = git_history(root, limit)
+    ensure_checkpoint_dir(spark)
+    files = commit_files(spark, root, history, complete_options(root, None)).checkpoint()  # read once a commit below
+    stamped = files.select("cycle", "path", "content", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), F.lit(None).cast("timestamp_ntz").alias("indexed_at"))
+    return history_benchmark(spark, [(cycle, commit, message, stamped.filter(F.col("cycle") == cycle).drop("cycle")) for cycle, commit, message in history], budget, focus)

@@ -7,7 +7,9 @@ import json
 import sys
 from pathlib import Path
 
-from lodestone.api import Index
+from pyspark.sql import Row
+
+from lodestone.api import Index, repository_benchmark
 from lodestone.session import local_session
 from lodestone.sources.ignore import ScanOptions
 
@@ -42,6 +44,12 @@ def parser() -> argparse.ArgumentParser:
     e = sub.add_parser("estimate")
     e.add_argument("input", nargs="?")
     e.add_argument("--text")
+    h = sub.add_parser("history-benchmark")
+    h.add_argument("path", nargs="?", default=".")
+    h.add_argument("--focus", default="")
+    h.add_argument("--budget", type=int, default=2000)
+    h.add_argument("--limit", type=int, default=20)
+    h.add_argument("--output")
     sub.add_parser("explain").add_argument("topic")
     sub.add_parser("summarize")
     for one in (s, q):
@@ -49,6 +57,12 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def symbol_text(r: Row) -> str:
+    """A symbol as the command shows it: its facts, then its body."""
+    doc = [f"Docs: {r.doc_comment}"] if r.doc_comment else []
+    return "\n".join([f"Symbol: {r.qualified_name}", f"Kind: {r.kind}", f"File: {r.path}:{r.start_line}-{r.end_line}", f"Signature: {r.signature}", *doc, f"Tokens (est): {r.estimated_tokens}", r.body, "-" * 20])
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     ix = Index(local_session(), str(Path(a.store).absolute()))
@@ -60,7 +74,11 @@ def main(argv: list[str] | None = None) -> int:
         elif a.command == "outline":
             print(ix.outline_file(a.file))
         elif a.command == "symbol":
-            show(ix.symbol(a.name), a.json)
+            found = ix.symbol(a.name)
+            show(found, True) if a.json else print("\n".join(symbol_text(r) for r in found.orderBy("path", "start_line").collect()) or f"No symbol found for '{a.name}'.")
+        elif a.command == "history-benchmark":
+            text = "[" + ",".join(repository_benchmark(ix.spark, a.path, a.focus, a.budget, a.limit).orderBy("cycle").toJSON().collect()) + "]"
+            Path(a.output).write_text(text, "utf-8") if a.output else print(text)
         elif a.command == "search":
             show(ix.search(a.query, a.regex, a.strict, a.limit), a.json)
         elif a.command == "map":

@@ -151,25 +151,46 @@ def cart_symbols(items: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def cart_sections(items: DataFrame, files: DataFrame, outlines: DataFrame) -> DataFrame:
-    """Each item's section. An item whose reason says that it was included or defines something comes as a skeleton (its outline,
-    if there is one), any other in full. Symbol items are kept. Items without a current file have an empty body."""
+    """Each item's section. An item whose reason says that it was included or defines something comes as a skeleton (its outline,
+    if there is one), any other in full. Where ``outlines`` have a ``heading`` (D07), it heads skeletons. Symbol items are kept. Items without a
+    current file have an empty body."""
     from lodestone.functions.text import fence_of
 
     reason = F.coalesce("reason", F.lit("Directly Added"))
     skeleton = reason.contains("Defines") | reason.contains("Included")
-    joined = items.join(files.select("path", "content"), "path", "left").join(outlines.select("path", "outline"), "path", "left")
+    heads = outlines.select("path", "outline", F.col("heading") if "heading" in outlines.columns else F.lit(None).cast("string").alias("heading"))
+    joined = items.join(files.select("path", "content"), "path", "left").join(heads, "path", "left")
     mode = F.when(skeleton & F.col("outline").isNotNull(), "SKELETON").otherwise("FULL")
     body = F.when(mode == "SKELETON", F.col("outline")).otherwise(F.coalesce("content", F.lit("")))
-    section = F.concat(F.lit("## "), F.col("path"), F.lit(" ("), mode, F.lit(", "), reason, F.lit(")\n```"), fence_of("path"), F.lit("\n"), body, F.lit("\n```\n"))
+    title = F.when(mode == "SKELETON", F.coalesce("heading", "path")).otherwise(F.col("path"))
+    section = F.concat(F.lit("## "), title, F.lit(" ("), mode, F.lit(", "), reason, F.lit(")\n```"), fence_of("path"), F.lit("\n"), body, F.lit("\n```\n"))
     return joined.select("pack", "pos", "path", "kind", mode.alias("mode"), section.alias("section"), token_estimate(section).alias("tokens"))
 
 
+def headed_outlines(symbols: DataFrame) -> DataFrame:
+    """Outlines with the heading that D07 gives a skeleton."""
+    one = symbols.groupBy("path").agg(F.count("*").alias("n"), F.min("name").alias("name"), F.min("signature").alias("signature"))
+    names = F.when(F.col("n") == 1, F.array("name")).otherwise(F.array(F.lit(""), F.lit("")))
+    return outlines(symbols).join(one.select("path", skeleton_heading(F.col("path"), names, F.array("signature")).alias("heading")), "path")
+
+
 def packed_carts(sections: DataFrame, budget: int) -> DataFrame:
     """D06 over carts: which sections of each pack fit: full files first, then skeletons, each in order."""
     rows = sections.select("pack", F.when(F.col("mode") == "FULL", 0).otherwise(1).alias("class"), "pos", "path", "kind", "mode", "tokens")
     return fold_to_budget(rows, "pack", ["class", "pos", "path", "kind"], "tokens", budget)
 
 
+def rendered_carts(sections: DataFrame, budget: int) -> DataFrame:
+    """Each cart as one packet: ``pack, sections, tokens, text``. Tokens are those of all sections that fit; the header that states them
+    goes ahead and is not counted. A packet's sections are within the budget, so they fit a task; a cart of which nothing fits has a
+    header alone."""
+    taken = packed_carts(sections, budget).select("pack", "pos", "class", "taken").join(sections.select("pack", "pos", "section"), ["pack", "pos"])
+    parts = F.sort_array(F.collect_list(F.when(F.col("taken"), F.struct("class", "pos", "section"))))
+    body = F.array_join(F.transform("parts", lambda x: x["section"]), "")
+    rows = taken.groupBy("pack").agg(parts.alias("parts")).select("pack", F.size("parts").alias("sections"), body.alias("body")).withColumn("tokens", token_estimate("body"))
+    return rows.select("pack", "sections", "tokens", F.concat(packet_header(F.col("tokens"), budget), F.lit("\n\n"), "body").alias("text"))
+
+
 def packet_header(used: Column, budget: int) -> Column:
     """First line of a packet."""
     return F.concat(F.lit("# Context Packet (Tokens: "), used.cast("string"), F.lit(f"/{budget})"))

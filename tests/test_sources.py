@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.api import Index, history_benchmark
+from lodestone.api import Index, history_benchmark, repository_benchmark
 from lodestone.cli import main as cli
 from lodestone.functions.tokens import count_tokens
 from lodestone.operators import extract, index
@@ -241,12 +241,15 @@ def test_api(spark, tmp_path):
     assert ask(type="get_file_content", path="style.css")["content"] == ".btn {\n}\n" and ask(type="estimate_tokens", text="a")["tokens"] == 1 and ask(type="get_skeleton", path="style.css")["text"] == ".btn { [L1-L1]"
     assert [r["path"] for r in ask(type="get_associated_context", paths=["Auth/Login.swift"])["results"]] == ["src/cart.js"]
     assert "## style.css (FULL, Directly Added)" in ask(type="pack_cart", items=[{"path": "style.css"}])["text"] and ask(type="grep", patterns=["class"])["results"]
-    assert ask(type="get_file_symbols", path="src/cart.js")["results"][0]["name"] == "Cart" and ask(type="get_map")["text"] and ask(type="generate_summary")["text"] and ask(type="search_for_pack", query="cart")["results"]
-    assert ix.semantic_graph().count() == 4
+    assert ask(type="get_file_symbols", path="src/cart.js")["results"][0]["name"] == "Cart" and [r["path"] for r in ask(type="get_map")["results"]] == ["Auth/Login.swift", "data.json", "src/cart.js", "style.css"] and ask(type="get_repo_map")["text"] and ask(type="generate_summary")["text"] and ask(type="search_for_pack", query="cart")["results"]
+    assert ix.semantic_graph().count() == 4 and {r.topic for r in ix.semantic_graph(0.0, whole=True).filter("path = 'data.json'").collect()} == {"General"}
+    linked = ask(type="get_pack_semantic_links", items=[{"path": "src/cart.js"}, {"path": "total::src/cart.js", "kind": "symbol"}, {"path": "style.css"}, {"path": "gone.js"}])["results"]
+    assert [(r["path"], r["links"], r.get("closest")) for r in linked] == [("src/cart.js", 1, "total::src/cart.js"), ("style.css", 0, None), ("total::src/cart.js", 1, "src/cart.js")]
     assert ix.favorites().collect() == [] and ix.packs().collect() == [] and ix.actions().collect() == []
     ask(type="add_favorite", name="A", path="p")
     assert [r["name"] for r in ask(type="add_favorite", name="B", path="p")["results"]] == ["B", "A"] and [r["name"] for r in ask(type="remove_favorite", name="A", path="p")["results"]] == ["B"]
     ask(type="save_context_pack", name="one", items=[{"path": "x"}])
+    assert [r["name"] for r in ask(type="get_stats")["favorites"]] == ["B"] and ask(type="get_stats")["packs"] == [{"name": "one", "description": ""}]
     ask(type="save_context_pack", name="one", description="again", items=[{"path": "style.css"}, {"path": "y"}])
     assert [r["path"] for r in ask(type="get_pack_details", name="one")["results"]] == ["style.css", "y"] and ask(type="delete_context_pack", name="one")["results"] == []
     ix.record_action(1, "p", "map", "cli", "pending")
@@ -262,11 +265,37 @@ def test_api(spark, tmp_path):
     assert [(r.cycle, r.total_files, r.focus_preserved) for r in h.orderBy("cycle").collect()] == [(1, 1, False), (2, 4, True)]
 
 
+def test_history_of_a_repository(spark, tmp_path, capsys):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.email=a@b", "-c", "user.name=n", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for n, files in enumerate([{"a.swift": "class A {\n  func cartTotal() {}\n}\n"}, {"b.swift": "struct B {}\n", ".hid.swift": "x"}]):
+        tree(tmp_path, files)
+        git("add", "-A")
+        git("commit", "-qm", f"commit {n}")
+    rows = repository_benchmark(spark, str(tmp_path), "carttotal").orderBy("cycle").collect()
+    assert [(r.cycle, r.message, r.total_files, r.focus_preserved) for r in rows] == [(1, "commit 0", 1, True), (2, "commit 1", 2, True)] and rows[1].naive_tokens > rows[0].naive_tokens
+    assert cli(["history-benchmark", str(tmp_path), "--limit", "1", "--output", str(tmp_path / "o.json")]) == 0
+    assert [r["total_files"] for r in json.loads((tmp_path / "o.json").read_text())] == [2]
+
+
+def test_tools(tmp_path):
+    from lodestone import tools
+
+    assert tools.run(["explain", "index"], str(tmp_path / "none"))["error"] == "bad_repo" and tools.run(["explain", "x"], str(tmp_path), python=str(tmp_path / "nope"))["error"] == "not_found"
+    assert tools.run(["explain", "x"], str(tmp_path), timeout=0.01)["error"] == "timeout" and tools.run(["nonsense"], str(tmp_path))["error"] == "failed"
+    assert tools._options(clean=True, include=["a", "b"], focus=None, strict=False, limit=3) == ["--clean", "--include", "a", "--include", "b", "--limit", "3"]
+    assert tools.summarize(str(tmp_path))["error"] == "no_index" and len(tools.TOOLS) == 9
+
+
 def test_command_line(spark, tmp_path, capsys):
     root, store = tree(tmp_path / "r", SOURCES), str(tmp_path / "s")
     assert cli(["--store", store, "report" if False else "summarize"]) == 1
     assert cli(["--store", store, "index", root]) == 0 and cli(["--store", store, "symbol", "Login", "--json"]) == 0
+    assert cli(["--store", store, "symbol", "Login"]) == 0 and cli(["--store", store, "symbol", "Nobody"]) == 0
     out = capsys.readouterr().out.strip().splitlines()
+    assert "Symbol: Login" in out and "    func run(cart: Cart) { total(cart) }" in out and "No symbol found for 'Nobody'." in out and "func run" in json.loads(out[1])[0]["body"]
     assert json.loads(out[0])["updated"] == 4 and json.loads(out[1])[0]["name"] == "Login"
     assert cli(["--store", store, "pack", "cart", "--output", str(tmp_path / "o.md")]) == 0 and "Context Packet" in (tmp_path / "o.md").read_text()
     for argv in (["search", "cart"], ["map", "--budget", "300"], ["estimate", "--text", "a b"], ["explain", "pack"], ["outline", f"{root}/Auth/Login.swift"]):

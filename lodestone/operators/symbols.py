@@ -62,9 +62,9 @@ def definitions_referenced(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     return r.join(s, "name").withColumn("joined", F.col("references") * F.col("definitions"))
 
 
-def top_referenced(symbols: DataFrame, refs: DataFrame, limit: int = 20) -> DataFrame:
-    """Names of types by joined reference count, without primitives; ties by name."""
-    types = symbols.filter(F.col("kind").isin(*RANKED_KINDS))
+def top_referenced(symbols: DataFrame, refs: DataFrame, limit: int = 20, kinds: tuple[str, ...] = RANKED_KINDS) -> DataFrame:
+    """Names of types, or of other ``kinds``, by joined reference count, without primitives; ties by name."""
+    types = symbols.filter(F.col("kind").isin(*kinds))
     counted = definitions_referenced(types, refs.filter(~F.col("name").isin(*PRIMITIVES)))
     return counted.select("name", F.col("joined").alias("count")).orderBy(F.desc("count"), "name").limit(limit)
 

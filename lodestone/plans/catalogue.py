@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.functions.tokens import token_estimate
+from lodestone.functions.tokens import counter_udf, token_estimate
 from lodestone.operators import extract, index, links, packets, search, stats, symbols
 from lodestone.operators.current import among_current, current_files
-from lodestone.schema import KINDS, table
-from lodestone.sources.ignore import ScanOptions, is_build_script, kept
-from lodestone.streaming.incremental import event_windows
+from lodestone.schema import FILES, KINDS, table
+from lodestone.session import ensure_checkpoint_dir
+from lodestone.sources.ignore import ScanOptions, gitignore_rules, is_build_script, kept
+from lodestone.streaming.incremental import event_windows, read_state, stream_actions, stream_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,6 +81,12 @@ def token_estimate_documents(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", token_estimate("text").alias("tokens"))
 
 
+@query("SELECT doc_id, length(text) AS counted FROM documents")
+def own_counter(s: SparkSession, d: str) -> DataFrame:
+    """Another counter, here of characters, in place of the estimate."""
+    return table(s, d, "documents").select("doc_id", counter_udf(len)("text").alias("counted"))
+
+
 @query(f"WITH {_CUR} SELECT path, {_t01('content')} AS tokens FROM cur")
 def token_estimate_files(s: SparkSession, d: str) -> DataFrame:
     """T01 of every current file."""
@@ -255,13 +263,24 @@ def scanned_references(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_CUR}, b AS (SELECT path, coalesce(content, '') AS content FROM cur ANTI JOIN symbols USING (path))
+    f"""WITH x AS ({SQL['regex_symbols']}), {_CUR}, b AS (SELECT path, coalesce(content, '') AS content FROM cur ANTI JOIN x USING (path) WHERE {_EXT} NOT IN ('swift', 'kt', 'kts'))
 SELECT path, 'file' AS kind, path AS name, path AS qualified_name, 'File: ' || path AS signature, NULL::VARCHAR AS enclosing_type, NULL::VARCHAR AS access_level, 1 AS start_line,
   len(regexp_split_to_array(content, {_LINES}))::INT AS end_line, NULL::VARCHAR AS doc_comment, {_t01('content')}::INT AS estimated_tokens FROM b"""
 )
 def file_fallback(s: SparkSession, d: str) -> DataFrame:
-    """X08."""
-    return extract.file_fallback(_files(s, d), table(s, d, "symbols"))
+    """Files of languages without a scanner of which no line declares anything."""
+    files = _files(s, d).filter(~T.extension("path").isin("swift", "kt", "kts"))
+    return extract.file_fallback(files, extract.regex_symbols(files))
+
+
+@query(
+    f"""WITH x AS ({SQL['regex_symbols']}), f AS ({SQL['file_fallback']}) SELECT path, kind, name, name AS qualified_name, signature, line AS start_line, line AS end_line, tokens::INT AS estimated_tokens FROM x
+UNION ALL SELECT path, kind, name, qualified_name, signature, start_line, end_line, estimated_tokens FROM f"""
+)
+def extracted_symbols(s: SparkSession, d: str) -> DataFrame:
+    """Symbols of all files that are routed to line patterns or to the fallback."""
+    found, _ = extract.extract(_files(s, d).filter(~T.extension("path").isin("swift", "kt", "kts")))
+    return found.select("path", "kind", "name", "qualified_name", "signature", "start_line", "end_line", "estimated_tokens")
 
 
 # ------------------------------------------------------------------------------------------------------------------ search
@@ -433,6 +452,24 @@ def top_referenced(s: SparkSession, d: str) -> DataFrame:
     return symbols.top_referenced(_symbols(s, d), _refs(s, d))
 
 
+_CALLABLE = ("function", "method", "initializer", "constructor", "test")
+
+
+@query(
+    f"""WITH {_SYM} SELECT r.name, count(*) AS count FROM symbol_refs r JOIN sym s ON s.name = r.name WHERE s.kind IN ({_in(_CALLABLE)}) AND r.name NOT IN ({_in(symbols.PRIMITIVES)})
+GROUP BY r.name ORDER BY count DESC, r.name LIMIT 20"""
+)
+def top_referenced_callables(s: SparkSession, d: str) -> DataFrame:
+    """A03, F13 for functions, to which the recorded references point."""
+    return symbols.top_referenced(_symbols(s, d), _refs(s, d), kinds=_CALLABLE)
+
+
+@query("SELECT path, start_line, end_line, context FROM symbol_refs WHERE name = 'trace'")
+def references_of_name(s: SparkSession, d: str) -> DataFrame:
+    """All references to the most used name."""
+    return symbols.references_of(_refs(s, d), "trace").select("path", "start_line", "end_line", "context")
+
+
 @query(f"WITH {_SYM} SELECT path, qualified_name, start_line, end_line, kind FROM sym WHERE kind NOT IN ('file', 'test') AND (name IS NULL OR name NOT IN (SELECT name FROM symbol_refs WHERE name IS NOT NULL))")
 def unused_symbols(s: SparkSession, d: str) -> DataFrame:
     """A12."""
@@ -711,6 +748,25 @@ def cart_symbols(s: SparkSession, d: str) -> DataFrame:
     return packets.cart_symbols(packets.pack_items(table(s, d, "packs")), _symbols(s, d))
 
 
+@query(
+    f"""WITH {_SYM}, {_ITEMS}, n AS (SELECT path, min(qualified_name) AS q FROM sym GROUP BY path), k AS (SELECT pack, pos, path, q FROM pi JOIN n USING (path) WHERE kind = 'symbol')
+SELECT q AS qualified_name, k.path, pack, pos, start_line, end_line, s.kind FROM k JOIN sym s ON s.qualified_name = q AND s.path = k.path"""
+)
+def cart_symbol_keys(s: SparkSession, d: str) -> DataFrame:
+    """Symbol items under their full keys, each the first symbol of its path."""
+    sym = _symbols(s, d)
+    first = sym.groupBy("path").agg(F.min("qualified_name").alias("q"))
+    items = packets.pack_items(table(s, d, "packs")).join(first, "path").select("pack", "pos", "kind", F.concat("q", F.lit("::"), "path").alias("path"))
+    return packets.cart_symbols(items, sym)
+
+
+@query("SELECT name FROM packs WHERE description IS NOT NULL")
+def delete_packs(s: SparkSession, d: str) -> DataFrame:
+    """Packs without those that have no description."""
+    packs = table(s, d, "packs")
+    return packets.delete_packs(packs, packs.filter("description is null")).select("name")
+
+
 @query(f"WITH {_ITEMS} SELECT pack, coalesce(kind, 'file') AS kind, count(*) AS items, count(DISTINCT path) AS paths, min(path) AS first_path FROM pi GROUP BY 1, 2")
 def cart_by_kind(s: SparkSession, d: str) -> DataFrame:
     """A09."""
@@ -757,6 +813,15 @@ def greedy_pack(s: SparkSession, d: str) -> DataFrame:
     return packets.packed_carts(_cart_sections(s, d), 6000)
 
 
+@query(
+    f"""WITH p AS ({SQL['greedy_pack']}), {_SECTIONS}, g AS (SELECT p.pack, count(*) FILTER (taken) AS sections, coalesce(string_agg(section, '' ORDER BY p.class, p.pos, section) FILTER (taken), '') AS body FROM p JOIN se ON se.pack = p.pack AND se.pos = p.pos GROUP BY p.pack),
+t AS (SELECT pack, sections::INT AS sections, {_t01('body')} AS tokens, body FROM g) SELECT pack, sections, tokens, '# Context Packet (Tokens: ' || tokens || '/6000)' || chr(10) || chr(10) || body AS text FROM t"""
+)
+def packet_texts(s: SparkSession, d: str) -> DataFrame:
+    """Every pack as one text, headed by its tokens."""
+    return packets.rendered_carts(_cart_sections(s, d), 6000)
+
+
 @query(
     f"""WITH {_SYM}, g AS (SELECT path, count(*) AS n, min(name) AS name, min(signature) AS signature FROM sym GROUP BY path) SELECT path, CASE WHEN n = 1 AND lower(name) = lower({_base('path')}) THEN signature ELSE path END AS heading FROM g"""
 )
@@ -816,6 +881,59 @@ def scan_filter(s: SparkSession, d: str) -> DataFrame:
     return p.select("path", kept("path", options).alias("kept"))
 
 
+@query("SELECT DISTINCT path, (contains(path, 'Store') OR contains(path, '-cache')) AND NOT regexp_matches(path, '(^|/)(node_modules|DerivedData|[.][^/]*)(/|$)') AS kept FROM files WHERE path IS NOT NULL")
+def scan_include(s: SparkSession, d: str) -> DataFrame:
+    """Parts of names to include take the place of the extensions."""
+    p = table(s, d, "files").filter("path is not null").select("path").distinct()
+    return p.select("path", kept("path", ScanOptions(include=["Store", "-cache"])).alias("kept"))
+
+
+_IGNORE_FILE = "# what tools write\n\n  dist/ \n!dist/keep.js\n/lantern-core/unit-*/web\r\n*.min.js\nSources/**/Sync\n"
+
+
+@query(
+    r"""WITH p AS (SELECT DISTINCT path, lower(regexp_extract(path, '\.([^./]+)$', 1)) AS e FROM files WHERE path IS NOT NULL)
+SELECT path, NOT regexp_matches(path, '(^|/)(node_modules|DerivedData)/|(^|/)\.[^/]') AND e IN ('swift', 'h', 'm', 'mm', 'c', 'cpp', 'hpp', 'js', 'ts', 'json', 'md', 'yaml', 'yml', 'skill', 'html', 'css')
+  AND (regexp_matches(path, '^lantern-core/unit-00001/web(/|$)') OR NOT (regexp_matches(path, '(^|/)dist/') OR regexp_matches(path, '^lantern-core/unit-[^/]*/web(/|$)') OR regexp_matches(path, '(^|/)[^/]*\.min\.js(/|$)') OR regexp_matches(path, '^Sources/.*/Sync(/|$)'))) AS kept FROM p"""
+)
+def scan_ignore_file(s: SparkSession, d: str) -> DataFrame:
+    """The text of an ignore file, with a folder below an ignored one taken in again."""
+    p = table(s, d, "files").filter("path is not null").select("path").distinct()
+    options = ScanOptions(gitignore=gitignore_rules(_IGNORE_FILE), include_folders=["/lantern-core/unit-00001/web/"])
+    return p.select("path", kept("path", options).alias("kept"))
+
+
+def _own_folder(s: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(s).rstrip('/')}/{name}-{uuid4().hex}"
+
+
+@query(f"WITH {_CUR} SELECT path, sha256, indexed_at FROM cur")
+def stored_index(s: SparkSession, d: str) -> DataFrame:
+    """The index of half time is built and then brought up to date; only buckets with changes are written again."""
+    files = table(s, d, "files")
+    mid = files.selectExpr("percentile_disc(0.5) within group (order by unix_micros(cast(indexed_at as timestamp))) as t").first()[0]
+    store = _own_folder(s, "index")
+    for rows in (files.filter(F.col("indexed_at") <= F.timestamp_micros(F.lit(int(mid))).cast("timestamp_ntz")), files):
+        index.update_index(s, store, current_files(rows, FILES.names).select(*FILES.names))
+    return index.read_index(s, store)["files"].select("path", "sha256", "indexed_at")
+
+
+@query(f"WITH {_CUR} SELECT path, sha256, indexed_at FROM cur")
+def streamed_files(s: SparkSession, d: str) -> DataFrame:
+    """ST1, ST2: the files table as a stream; its state is the current rows. The place is written as a pattern, as a table can be one file."""
+    store = _own_folder(s, "stream")
+    stream_files(s, f"{d}/files.parque[t]", f"{store}/state", f"{store}/log").awaitTermination()
+    return read_state(s, f"{store}/state", "files").select("path", "sha256", "indexed_at")
+
+
+@query(SQL["latest_actions"])
+def streamed_actions(s: SparkSession, d: str) -> DataFrame:
+    """ST4: the actions table as a stream."""
+    store = _own_folder(s, "stream")
+    stream_actions(s, f"{d}/actions.parque[t]", f"{store}/state", f"{store}/log").awaitTermination()
+    return read_state(s, f"{store}/state", "actions").select("id", "status", "tool_name", "tokens_used", "duration_ms", "ts")
+
+
 @query(rf"WITH {_CUR} SELECT path, ({_EXT} = 'kts' AND (regexp_extract(path, '([^/]+)$', 1) IN ('build.gradle.kts', 'settings.gradle.kts') OR contains(path, 'buildSrc/') OR regexp_matches(substr(content, 1, 4096), '(plugins|dependencies|kotlin) \{{'))) AS build_script FROM cur")
 def build_scripts(s: SparkSession, d: str) -> DataFrame:
     """S12."""

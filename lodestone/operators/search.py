@@ -6,7 +6,9 @@ row and nothing is shuffled but the final, limited order.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
@@ -14,8 +16,10 @@ from operator import and_, or_
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from lodestone.functions.text import split_lines
+from lodestone.functions.text import VECTOR_SIZE, split_lines
+from lodestone.session import ensure_checkpoint_dir
 
 # White space between the words of a vector, as in ``\\s`` of the SQL engine.
 _BLANK = re.compile("[ \\t\\n\\x0b\\f\\r]+")
@@ -145,47 +149,48 @@ def _term_counts(documents: DataFrame, key: str, text: str, terms: list[str]) ->
     return documents.select(key, words.alias("_w")).select(key, F.size("_w").alias("_n"), *[F.size(F.filter("_w", _equals(t))).alias(f"_t{i}") for i, t in enumerate(terms)])
 
 
-def bm25(documents: DataFrame, query: str, key: str = "doc_id", text: str = "text", k: int | None = 10) -> DataFrame:
-    """K04, lexical arm: ``key, score`` of documents with a query word, best first, ties by key.
+def _query_words(query: str) -> list[str]:
+    return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
 
-    Term counts are taken in the row; only one row of corpus statistics travels. Null texts count as empty documents.
-    """
-    terms = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
-    if not terms:
-        return documents.select(key, F.lit(0.0).alias("score")).limit(0)
-    counted = _term_counts(documents, key, text, terms)
-    stats = counted.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *[F.sum((F.col(f"_t{i}") > 0).cast("bigint")).alias(f"_d{i}") for i in range(len(terms))])
-    # Only documents that hold a term as a part are counted again for their score.
-    near = counted if len(terms) > 20 else _term_counts(documents.filter(reduce(or_, [F.lower(text).contains(t) for t in terms])), key, text, terms)
-    joined = near.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")
+
+def _bm25_scores(rows: DataFrame, counted: DataFrame, key: str, n: int) -> DataFrame:
+    """``key, score`` of those ``rows`` that hold one of n terms, by the statistics of all that are ``counted``; only one row of these travels."""
+    stats = counted.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *[F.sum((F.col(f"_t{i}") > 0).cast("bigint")).alias(f"_d{i}") for i in range(n)])
+    joined = rows.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")
 
     def part(i: int) -> Column:
         idf = F.log(1 + (F.col("_docs") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5))
         return idf * F.col(f"_t{i}") * (K1 + 1) / (F.col(f"_t{i}") + K1 * (1 - B + B * F.col("_n") / F.col("_mean")))
 
-    scored = joined.filter(reduce(or_, [F.col(f"_t{i}") > 0 for i in range(len(terms))])).select(key, F.round(reduce(lambda a, b: a + b, [part(i) for i in range(len(terms))]), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), key).limit(k) if k is not None else scored
+    return joined.filter(reduce(or_, [F.col(f"_t{i}") > 0 for i in range(n)])).select(key, F.round(reduce(lambda a, b: a + b, [part(i) for i in range(n)]), 6).alias("score"))
 
 
-def proxy_similarity(documents: DataFrame, query: str, key: str = "doc_id", text: str = "text", k: int | None = 10) -> DataFrame:
-    """K04, vector arm: cosine of hashed word counts (T16, T17) between each document and the query.
+def bm25(documents: DataFrame, query: str, key: str = "doc_id", text: str = "text", k: int | None = 10) -> DataFrame:
+    """K04, lexical arm: ``key, score`` of documents with a query word, best first, ties by key.
 
-    A word's bucket is looked up once a batch; a vector exists only as the counts of the document at hand.
+    Term counts are taken in the row. Null texts count as empty documents.
     """
-    import hashlib
-    from collections import Counter
+    terms = _query_words(query)
+    if not terms:
+        return documents.select(key, F.lit(0.0).alias("score")).limit(0)
+    # Only documents that hold a term as a part are counted again for their score.
+    near = documents.filter(reduce(or_, [F.lower(text).contains(t) for t in terms]))
+    scored = _bm25_scores(_term_counts(near, key, text, terms), _term_counts(documents, key, text, terms), key, len(terms))
+    return scored.orderBy(F.desc("score"), key).limit(k) if k is not None else scored
 
-    from pyspark.sql import types as T
 
-    from lodestone.functions.text import VECTOR_SIZE
+def _similarity_to(query: str) -> Callable[[Column | str], Column] | None:
+    """Cosine of a text's hashed word counts to those of the query, rounded; None for a query without words.
 
+    A word's bucket is looked up once a batch; a vector exists only as the counts of the document at hand.
+    """
     bucket = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % VECTOR_SIZE
     wanted = Counter(bucket(w) for w in query.lower().split())
     length = sum(n * n for n in wanted.values()) ** 0.5
     if not wanted:
-        return documents.select(key, F.lit(0.0).alias("score")).limit(0)
+        return None
 
-    @F.pandas_udf(T.DoubleType())
+    @F.pandas_udf(DoubleType())
     def similarity(texts: pd.Series) -> pd.Series:
         seen: dict[str, int] = {}
         out = []
@@ -201,18 +206,41 @@ def proxy_similarity(documents: DataFrame, query: str, key: str = "doc_id", text
             out.append(product / (sum(n * n for n in counts.values()) ** 0.5 * length) if product else 0.0)
         return pd.Series(out, dtype="float64")
 
-    scored = documents.select(key, F.round(similarity(text), 6).alias("score")).filter("score > 0")
+    return lambda text: F.round(similarity(text), 6)
+
+
+def proxy_similarity(documents: DataFrame, query: str, key: str = "doc_id", text: str = "text", k: int | None = 10) -> DataFrame:
+    """K04, vector arm: cosine of hashed word counts between each document and the query, best first, ties by key."""
+    similarity = _similarity_to(query)
+    if similarity is None:
+        return documents.select(key, F.lit(0.0).alias("score")).limit(0)
+    scored = documents.select(key, similarity(text).alias("score")).filter("score > 0")
     return scored.orderBy(F.desc("score"), key).limit(k) if k is not None else scored
 
 
 def hybrid(documents: DataFrame, query: str, key: str = "doc_id", text: str = "text", k: int = 10, depth: int = 100) -> DataFrame:
-    """Both arms fused by reciprocal rank over their first ``depth`` hits; ``key, score``, ties by key."""
+    """Both arms fused by reciprocal rank over their first ``depth`` hits, which is what the fusion is defined on; ``key, score``, ties by key.
+
+    Each text is read once: its length, its counts of the query's words and its similarity are kept as a narrow row, from which the
+    statistics and both arms follow.
+    """
     from pyspark.sql import Window
 
+    terms, similarity = _query_words(query), _similarity_to(query)
+    if similarity is None:
+        return documents.select(key, F.lit(0.0).alias("score")).limit(0)
+    ensure_checkpoint_dir(documents.sparkSession)
+    counts = [F.size(F.filter("_w", _equals(t))).alias(f"_t{i}") for i, t in enumerate(terms)]
+    words = documents.select(key, words_of(F.coalesce(F.col(text), F.lit(""))).alias("_w"), similarity(text).alias("_sim"))
+    counted = words.select(key, F.size("_w").alias("_n"), "_sim", *counts).checkpoint()
+
     def arm(hits: DataFrame) -> DataFrame:  # depth rows at most, so one task orders them
-        return hits.select(key, (1.0 / (FUSION + F.row_number().over(Window.orderBy(F.desc("score"), key)))).alias("part"))
+        top = hits.orderBy(F.desc("score"), key).limit(depth)
+        return top.select(key, (1.0 / (FUSION + F.row_number().over(Window.orderBy(F.desc("score"), key)))).alias("part"))
 
-    both = arm(bm25(documents, query, key, text, depth)).unionByName(arm(proxy_similarity(documents, query, key, text, depth)))
+    both = arm(counted.filter("_sim > 0").select(key, F.col("_sim").alias("score")))
+    if terms:
+        both = both.unionByName(arm(_bm25_scores(counted, counted, key, len(terms))))
     return both.groupBy(key).agg(F.round(F.sum("part"), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 

@@ -244,7 +244,8 @@ def corpus_statistics(passed: DataFrame) -> DataFrame:
     """(kind, key, a, b) over all distinct texts, from what the pass over them gave; stretches also by their first token alone."""
     counted = passed.filter("kind <> 'end'").select("kind", "key", "a", "b")
     first = counted.filter("kind = 'head'").select(F.lit("first").alias("kind"), F.split_part("key", F.lit(" "), F.lit(1)).alias("key"), "a", "b")
-    return counted.unionByName(first).groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    both = counted.unionByName(first).groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return both.filter((F.col("kind") != "word") | (F.col("a") >= KNOWN_TEXTS))  # rarer words are unknown ones
 
 
 def prefix_nodes(statistics: DataFrame, asked: DataFrame) -> DataFrame:
@@ -253,7 +254,7 @@ def prefix_nodes(statistics: DataFrame, asked: DataFrame) -> DataFrame:
     Only nodes at depths that the words of ``asked`` have are made; n different depths take words of n (n + 1) / 2 letters at least.
     """
     depths = asked.agg(F.collect_set(F.length("word")).alias("depths"))  # one row
-    known = statistics.filter((F.col("kind") == "word") & (F.col("a") >= KNOWN_TEXTS)).crossJoin(F.broadcast(depths))
+    known = statistics.filter(F.col("kind") == "word").crossJoin(F.broadcast(depths))
     node = F.explode(F.transform(F.filter("depths", lambda n: n < F.length("key")), lambda n: F.substring("key", F.lit(1), n)))
     return known.select(node.alias("key")).groupBy("key").agg(F.count("*").alias("a")).select(F.lit("node").alias("kind"), "key", "a", F.lit(0).cast("bigint").alias("b"))
 
@@ -293,7 +294,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     pairs = pairs.select("source", *ID, (F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))).alias("at_limit")).checkpoint()
 
     open_ends = ends.filter(~F.col("certain") & (~F.col("stopped") | F.col("ellipsis") | F.col("fence")))
-    statistics = corpus_statistics(passed)
+    statistics = corpus_statistics(passed).checkpoint()  # read for the trie and by all lookups
     facts = statistics.unionByName(prefix_nodes(statistics, open_ends)).unionByName(closing_lines(ends, pairs.filter("at_limit").select(*ID).distinct()))
     asked = open_ends.select(
         *ID, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in (("word", "word"), ("node", "word"), ("head", "head"), ("first", "first"), ("line", "line"), ("row", "row"))])).alias("q")

@@ -202,7 +202,7 @@ def provenance(files: DataFrame, upstream: DataFrame) -> DataFrame:
     )
     judged = current.unionByName(known).mapInPandas(_judge, _EVIDENCE).checkpoint()
     own = judged.filter("not known")
-    recurring = recurring_prints(judged.select("repo", "since", F.explode("prints").alias("print")))
+    recurring = recurring_prints(judged.select("repo", "since", F.explode("prints").alias("print"))).checkpoint()  # a small share of all, read twice
     maybe = _among(own.select("pid", "repo", F.explode("prints").alias("print")), recurring)
     met = skew_join(maybe, recurring, ["print"], "inner").filter("first is null or first <> repo")
     shared = met.groupBy("pid").agg(F.count("*").alias("shared"))

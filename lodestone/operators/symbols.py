@@ -12,6 +12,7 @@ from lodestone.functions.text import body_of_lines, split_lines
 from lodestone.operators.current import current_files
 from lodestone.operators.skew import skew_join
 from lodestone.schema import KINDS
+from lodestone.session import ensure_checkpoint_dir
 
 KEY = ["path", "qualified_name", "start_line", "end_line"]
 # Kinds that count as types for the reference ranking, and as important for maps.
@@ -148,7 +149,8 @@ def dependency_crawl(staged: DataFrame, refs: DataFrame, symbols: DataFrame) ->
     a definition in any file is then in another one than some of them. Its definitions, which are results but for that one file,
     are spread over tasks where a name has very many.
     """
-    defined = symbols.filter("qualified_name is not null").select(F.col("qualified_name").alias("name"), "path").distinct()
+    ensure_checkpoint_dir(symbols.sparkSession)
+    defined = symbols.filter("qualified_name is not null").select(F.col("qualified_name").alias("name"), "path").distinct().checkpoint()  # narrow, read three times
     names = refs.filter("name is not null").select("path", "name").distinct().join(defined.select("name").distinct(), "name", "left_semi")
     used = staged.filter("path is not null").select("stage", "path").distinct().join(names, "path")
     once = F.when(F.min("path") == F.max("path"), F.min("path"))

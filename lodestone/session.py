@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -15,6 +17,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -53,7 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
     A cluster names a shared folder in ``spark.checkpoint.dir`` and that one is used. Only where nothing is set, as in
-    a local test, a temporary folder is made; a cluster must never rely on that branch.
+    a local test, a temporary folder is made, which goes with the process; a cluster must never rely on that branch. Checkpoints that nothing
+    refers to any more are removed where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on, which a cluster should set.
     """
     context = spark.sparkContext
     jvm_dir = context._jsc.sc().getCheckpointDir()
@@ -63,6 +67,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not named:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = os.environ.get("LODESTONE_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="lodestone-")
+        named = os.environ.get("LODESTONE_CHECKPOINT_DIR")
+        if not named:
+            named = tempfile.mkdtemp(prefix="lodestone-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return named

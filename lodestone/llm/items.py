@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.functions.text import source_lines, symbol_text
+from lodestone.functions.tokens import ALNUM, BLANK, MEASURES, NEWLINE, PUNCT, atoms, codepoints, count_tokens, is_ideograph, measure
 from lodestone.operators.current import current_files
+from lodestone.operators.skew import salted
 
 KEY = ["path", "qualified_name", "start_line", "end_line"]
 
@@ -17,13 +23,111 @@ def symbol_keys(symbols: DataFrame, *aggregates: Column) -> DataFrame:
     return keyed.groupBy(*KEY).agg(*aggregates) if aggregates else keyed.select(*KEY).distinct()
 
 
-def with_text(keys: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds ``text``: the symbol's lines in the current content of its path, '' where there are none.
+class FileText:
+    """A content with its lines and atoms, of which the texts of all its symbols are measured at once by differences of running sums."""
+
+    def __init__(self, content: str | None):
+        self.text = (content or "").replace("\r\n", "\n")
+        cp = codepoints(self.text)
+        breaks = np.flatnonzero(cp == 10)
+        self.line_start = np.concatenate([[0], breaks + 1])
+        self.line_end = np.concatenate([breaks, [len(cp)]])
+        self.shown = np.flatnonzero((cp != 32) & (cp != 9) & (cp != 13) & (cp != 10))
+        self.start, self.end, self.cost, kind = atoms(self.text)
+        self.cp, self.kind = cp, kind
+
+    def spans(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First character and end of lines first..last, without blanks and line ends around; equal where there is nothing."""
+        lo, hi = np.maximum(1, first), np.minimum(len(self.line_start), last)
+        there = lo <= hi
+        a = self.line_start[np.where(there, lo, 1) - 1]
+        b = self.line_end[np.where(there, hi, 1) - 1]
+        i, j = np.searchsorted(self.shown, a), np.searchsorted(self.shown, b)
+        there &= i < j
+        if not len(self.shown):
+            return np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.int64)
+        return np.where(there, self.shown[np.minimum(i, len(self.shown) - 1)], 0), np.where(there, self.shown[np.maximum(j, 1) - 1] + 1, 0)
+
+    def _between(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Atoms from a to b, and where a or b lies inside an atom (among rarer blanks only), so that the text is counted by itself."""
+        i, j = np.searchsorted(self.start, a), np.searchsorted(self.start, b)
+        if not len(self.start):
+            return i, j, np.zeros(len(a), dtype=bool)
+        inside = ((i > 0) & (self.end[np.maximum(i, 1) - 1] > a)) | ((j > 0) & (self.end[np.maximum(j, 1) - 1] > b))
+        return i, j, inside & (a < b)
+
+    def tokens(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """T01 of the characters a..b."""
+        i, j, inside = self._between(a, b)
+        sums = np.concatenate([[0], np.cumsum(self.cost, dtype=np.int64)])
+        out = np.maximum(sums[j] - sums[i], a < b)
+        for n in np.flatnonzero(inside):
+            out[n] = count_tokens(self.text[a[n] : b[n]])
+        return out
+
+    def measures(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``MEASURES`` of the characters a..b, a row each."""
+        i, j, inside = self._between(a, b)
 
-    A content is cut into lines once, before the join; its symbols then take slices of the same array.
+        def over(mask: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+            return sums[hi] - sums[lo]
+
+        out = np.zeros((len(a), len(MEASURES)), dtype=np.int64)
+        out[:, 0] = self.tokens(a, b)
+        out[:, 1] = b - a
+        out[:, 2], out[:, 4], out[:, 5] = (over(m, i, j) for m in (self.kind == ALNUM, self.kind == PUNCT, (self.kind == NEWLINE) | (self.kind == BLANK)))
+        out[:, 3] = over((self.cp >= 48) & (self.cp <= 57), a, b)
+        if not self.text.isascii():
+            beyond = over(self.cp > 0x7F, a, b)
+            out[:, 1] += beyond + over(self.cp > 0x7FF, a, b) + over(self.cp > 0xFFFF, a, b)
+            out[:, 6] = over(is_ideograph(self.cp), a, b)
+            out[:, 7] = beyond - out[:, 6]
+        for n in np.flatnonzero(inside):
+            out[n] = measure([self.text[a[n] : b[n]]])[0]
+        return out
+
+
+def over_symbols(keys: DataFrame, files: DataFrame, work: Callable[[FileText, pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame | None], added: str) -> DataFrame:
+    """What ``work`` makes of symbol keys (with ``path, start_line, end_line`` and other columns) and the current content of their path.
+
+    Contents and keys are laid out by path, each content ahead of its keys, and pass by once: a content is cut into atoms once for
+    all of its symbols, no text is copied for them, and only one content is held. A path with very many keys is spread, with its content.
+    ``work`` gets the content, the keys as they come and the spans of their texts; a key without file or lines has the empty text.
     """
-    lines = current_files(files, ["path", "content"]).select("path", source_lines("content").alias("_lines"))
-    return keys.join(lines, "path", "left").withColumn("text", symbol_text("_lines", "start_line", "end_line")).drop("_lines")
+    rest = [c for c in keys.columns if c != "path"]
+    contents = current_files(files, ["path", "content"])
+    one, copies = salted(keys, contents, ["path"])
+    fields = [keys.schema[c] for c in keys.columns]
+    blank = [F.lit(None).cast(keys.schema[c].dataType).alias(c) for c in rest]
+    rows = one.select("path", "_salt", *rest, F.lit(True).alias("_key"), F.lit(None).cast("string").alias("_content")).unionByName(copies.select("path", "_salt", *blank, F.lit(False).alias("_key"), F.col("content").alias("_content")))
+    schema = T.StructType([*fields, *T.StructType.fromDDL(added).fields])
+    columns, names = keys.columns, [f.name for f in schema.fields]
+
+    def pass_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[str | None, FileText] = (None, FileText(None))
+        for b in batches:
+            path, is_key = b["path"].to_numpy(), b["_key"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]) | ~is_key)
+            parts = []
+            for lo, hi in zip(starts, [*starts[1:], len(b)]):
+                if not is_key[lo]:
+                    held = (path[lo], FileText(b["_content"].iloc[lo]))
+                    lo += 1
+                elif held[0] != path[lo]:
+                    held = (path[lo], FileText(None))
+                if lo < hi:
+                    part = b.iloc[lo:hi]
+                    line = lambda c, part=part: pd.to_numeric(part[c]).fillna(-1).to_numpy(dtype=np.int64)
+                    first, last = line("start_line"), line("end_line")
+                    known = (part["start_line"].notna() & part["end_line"].notna()).to_numpy()
+                    done = work(held[1], part[columns], *held[1].spans(np.where(known, first, 1), np.where(known, last, 0)))
+                    if done is not None and len(done):
+                        parts.append(done)
+            if parts:
+                yield pd.concat(parts)[names]
+
+    return rows.repartition("path", "_salt").sortWithinPartitions("path", "_salt", "_key").mapInPandas(pass_by, schema)
 
 
 def limit_of(size_limits: DataFrame, name: str) -> tuple[int, int]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import budget, documentation, mixing, packing, provenance, splitting, truncation
-from lodestone.llm.items import KEY, limit_of, symbol_keys, with_text
+from lodestone.llm.items import KEY, limit_of, symbol_keys
 from lodestone.operators.current import current_files
 from lodestone.schema import table
 
@@ -44,7 +44,7 @@ def p1_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     limit, overlap = limit_of(table(spark, d, "size_limits"), "symbol_piece")
-    return splitting.split_items(with_text(symbol_keys(table(spark, d, "symbols")), table(spark, d, "files")), limit, overlap)
+    return splitting.split_symbols(symbol_keys(table(spark, d, "symbols")), table(spark, d, "files"), limit, overlap)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

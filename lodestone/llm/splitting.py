@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.items import FileText, over_symbols
 from lodestone.functions.tokens import ALNUM, BLANK, NEWLINE, PUNCT, atoms, codepoints, measure
 
 # Strengths of boundaries.
@@ -171,3 +172,25 @@ def split_items(items: DataFrame, limit: int, overlap: int) -> DataFrame:
             yield pd.concat([out, pd.DataFrame(rows, columns=[f.split()[0] for f in added.split(", ")], dtype="int32")], axis=1)
 
     return sent.mapInPandas(cut, schema).withColumns({c: F.col(c).cast(kind) for c, kind in longs.items()})
+
+
+def split_symbols(keys: DataFrame, files: DataFrame, limit: int, overlap: int) -> DataFrame:
+    """Pieces of every symbol whose text has more than ``limit`` tokens, as ``split_items`` gives them; ``keys`` are ``path, qualified_name,
+    start_line, end_line``. All symbols of a file are counted from one pass over it, and only the oversized ones are cut."""
+    added = "piece int, pieces int, char_start int, char_end int, line_start int, line_end int, tokens int"
+    names = [c.split()[0] for c in added.split(", ")]
+
+    def work(file: FileText, rows: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> pd.DataFrame | None:
+        out, at = [], []
+        for i in np.flatnonzero(file.tokens(a, b) > limit):
+            text = file.text[a[i] : b[i]]
+            pieces = split_text(text, limit, overlap)
+            breaks = np.flatnonzero(file.cp[a[i] : b[i]] == 10)
+            for p, (x, y, t) in enumerate(pieces):
+                at.append(i)
+                out.append((p, len(pieces), x, y, int(np.searchsorted(breaks, x)), int(np.searchsorted(breaks, max(x, y - 1))), t))
+        if not out:
+            return None
+        return pd.concat([rows.iloc[at].reset_index(drop=True), pd.DataFrame(out, columns=names, dtype="int32")], axis=1)
+
+    return over_symbols(keys, files, work, added)

@@ -125,6 +125,11 @@ MEASURES = ("tokens", "bytes", "words", "digits", "punctuation", "gaps", "ideogr
 CHUNK = 1 << 18
 
 
+def is_ideograph(cp: np.ndarray) -> np.ndarray:
+    """Which code points are ideographs, kana or hangul syllables."""
+    return ((cp >= 0x3040) & (cp <= 0x30FF)) | ((cp >= 0x3400) & (cp <= 0x9FFF)) | ((cp >= 0xAC00) & (cp <= 0xD7AF)) | ((cp >= 0x20000) & (cp <= 0x3FFFF))
+
+
 def _measure_chunk(texts: list[str]) -> np.ndarray:
     joined = "\0".join(texts)  # the separator matches nothing and ends every run
     start, end, cost, kind = atoms(joined)
@@ -152,7 +157,7 @@ def _measure_chunk(texts: list[str]) -> np.ndarray:
         out[:, 5] = by_text((kind == NEWLINE) | (kind == BLANK))
     out[:, 3] = chars((cp >= 48) & (cp <= 57))
     if beyond.any():
-        out[:, 6] = chars(((cp >= 0x3040) & (cp <= 0x30FF)) | ((cp >= 0x3400) & (cp <= 0x9FFF)) | ((cp >= 0xAC00) & (cp <= 0xD7AF)) | ((cp >= 0x20000) & (cp <= 0x3FFFF)))
+        out[:, 6] = chars(is_ideograph(cp))
         out[:, 7] = beyond - out[:, 6]
     return out
 

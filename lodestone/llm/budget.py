@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import language_of
 from lodestone.functions.tokens import MEASURES, measures
-from lodestone.llm.items import KEY, FileText, over_symbols, symbol_keys
+from lodestone.llm.items import KEY, FileTexts, over_symbols, symbol_keys
 from lodestone.operators.current import current_files, repository_of
 from lodestone.operators.skew import skew_join
 from lodestone.session import ensure_checkpoint_dir
@@ -162,7 +162,7 @@ def document_items(documents: DataFrame) -> DataFrame:
 def measured_symbols(keys: DataFrame, files: DataFrame) -> DataFrame:
     """Symbol keys, with whatever else their rows hold, and ``_m``: ``MEASURES`` of their text; all symbols of a file from one pass over it."""
 
-    def work(file: FileText, rows: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    def work(file: FileTexts, rows: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
         return rows.assign(_m=list(file.measures(a, b)))
 
     return over_symbols(keys, files, work, "_m array<bigint>")

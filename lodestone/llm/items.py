@@ -23,29 +23,39 @@ def symbol_keys(symbols: DataFrame, *aggregates: Column) -> DataFrame:
     return keyed.groupBy(*KEY).agg(*aggregates) if aggregates else keyed.select(*KEY).distinct()
 
 
-class FileText:
-    """A content with its lines and atoms, of which the texts of all its symbols are measured at once by differences of running sums."""
+#: Characters of contents that are cut into atoms at once.
+CHUNK = 1 << 22
 
-    def __init__(self, content: str | None):
-        self.text = (content or "").replace("\r\n", "\n")
-        cp = codepoints(self.text)
+
+class FileTexts:
+    """Contents with their lines and atoms, of which the texts of all symbols are measured at once by differences of running sums.
+
+    The contents stand behind each other, a line end between them, so that small files cost no more than large ones.
+    """
+
+    def __init__(self, contents: list[str | None]):
+        parts = [(c or "").replace("\r\n", "\n") for c in contents]
+        self.text = "\n".join(parts)
+        self.cp = cp = codepoints(self.text)
         breaks = np.flatnonzero(cp == 10)
         self.line_start = np.concatenate([[0], breaks + 1])
         self.line_end = np.concatenate([breaks, [len(cp)]])
+        begins = np.concatenate([[0], np.cumsum([len(x) + 1 for x in parts])])
+        self.first_line = np.searchsorted(self.line_start, begins[:-1])  # of each content
+        self.lines = np.diff(np.concatenate([self.first_line, [len(self.line_start)]]))
         self.shown = np.flatnonzero((cp != 32) & (cp != 9) & (cp != 13) & (cp != 10))
-        self.start, self.end, self.cost, kind = atoms(self.text)
-        self.cp, self.kind = cp, kind
+        self.start, self.end, self.cost, self.kind = atoms(self.text)
 
-    def spans(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First character and end of lines first..last, without blanks and line ends around; equal where there is nothing."""
-        lo, hi = np.maximum(1, first), np.minimum(len(self.line_start), last)
+    def spans(self, which: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First character and end of lines first..last of contents, without blanks and line ends around; equal where there is nothing."""
+        lo, hi = np.maximum(1, first), np.minimum(self.lines[which], last)
         there = lo <= hi
-        a = self.line_start[np.where(there, lo, 1) - 1]
-        b = self.line_end[np.where(there, hi, 1) - 1]
-        i, j = np.searchsorted(self.shown, a), np.searchsorted(self.shown, b)
-        there &= i < j
+        a = self.line_start[self.first_line[which] + np.where(there, lo, 1) - 1]
+        b = self.line_end[self.first_line[which] + np.where(there, hi, 1) - 1]
         if not len(self.shown):
             return np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.int64)
+        i, j = np.searchsorted(self.shown, a), np.searchsorted(self.shown, b)
+        there &= i < j
         return np.where(there, self.shown[np.minimum(i, len(self.shown) - 1)], 0), np.where(there, self.shown[np.maximum(j, 1) - 1] + 1, 0)
 
     def _between(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,12 +98,12 @@ class FileText:
         return out
 
 
-def over_symbols(keys: DataFrame, files: DataFrame, work: Callable[[FileText, pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame | None], added: str) -> DataFrame:
+def over_symbols(keys: DataFrame, files: DataFrame, work: Callable[[FileTexts, pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame | None], added: str) -> DataFrame:
     """What ``work`` makes of symbol keys (with ``path, start_line, end_line`` and other columns) and the current content of their path.
 
     Contents and keys are laid out by path, each content ahead of its keys, and pass by once: a content is cut into atoms once for
-    all of its symbols, no text is copied for them, and only one content is held. A path with very many keys is spread, with its content.
-    ``work`` gets the content, the keys as they come and the spans of their texts; a key without file or lines has the empty text.
+    all of its symbols, no text is copied for them, and about ``CHUNK`` characters are held. A path with very many keys is spread, with
+    its content. ``work`` gets contents, keys as they come and the spans of their texts; a key without file or lines has the empty text.
     """
     rest = [c for c in keys.columns if c != "path"]
     contents = current_files(files, ["path", "content"])
@@ -104,24 +114,31 @@ def over_symbols(keys: DataFrame, files: DataFrame, work: Callable[[FileText, pd
     schema = T.StructType([*fields, *T.StructType.fromDDL(added).fields])
     columns, names = keys.columns, [f.name for f in schema.fields]
 
+    def chunks(begins: np.ndarray, contents: list[str | None]) -> Iterator[tuple[int, int]]:
+        lo, size = 0, 0
+        for i, c in enumerate(contents):
+            size += len(c or "")
+            if size >= CHUNK or i + 1 == len(contents):
+                yield lo, i + 1
+                lo, size = i + 1, 0
+
     def pass_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[str | None, FileText] = (None, FileText(None))
+        held: tuple[str | None, str | None] = (None, None)
         for b in batches:
-            path, is_key = b["path"].to_numpy(), b["_key"].to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]) | ~is_key)
+            path, is_key, content = b["path"].to_numpy(), b["_key"].to_numpy(), b["_content"].tolist()
+            begins = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]) | ~is_key)
+            contents = [content[i] if not is_key[i] else held[1] if held[0] == path[i] else None for i in begins]
+            held = (path[-1], contents[-1])
+            group = np.searchsorted(begins, np.arange(len(b)), side="right") - 1
+            lines = b[["start_line", "end_line"]].apply(pd.to_numeric)
+            known = lines.notna().all(axis=1).to_numpy()
+            first, last = (lines[c].fillna(0).to_numpy(dtype=np.int64) for c in ("start_line", "end_line"))
             parts = []
-            for lo, hi in zip(starts, [*starts[1:], len(b)]):
-                if not is_key[lo]:
-                    held = (path[lo], FileText(b["_content"].iloc[lo]))
-                    lo += 1
-                elif held[0] != path[lo]:
-                    held = (path[lo], FileText(None))
-                if lo < hi:
-                    part = b.iloc[lo:hi]
-                    line = lambda c, part=part: pd.to_numeric(part[c]).fillna(-1).to_numpy(dtype=np.int64)
-                    first, last = line("start_line"), line("end_line")
-                    known = (part["start_line"].notna() & part["end_line"].notna()).to_numpy()
-                    done = work(held[1], part[columns], *held[1].spans(np.where(known, first, 1), np.where(known, last, 0)))
+            for lo, hi in chunks(begins, contents):
+                at = np.flatnonzero((group >= lo) & (group < hi) & is_key)
+                if len(at):
+                    texts = FileTexts(contents[lo:hi])
+                    done = work(texts, b[columns].iloc[at], *texts.spans(group[at] - lo, np.where(known[at], first[at], 1), np.where(known[at], last[at], 0)))
                     if done is not None and len(done):
                         parts.append(done)
             if parts:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.items import FileText, over_symbols
+from lodestone.llm.items import FileTexts, over_symbols
 from lodestone.functions.tokens import ALNUM, BLANK, NEWLINE, PUNCT, atoms, codepoints, measure
 
 # Strengths of boundaries.
@@ -180,7 +180,7 @@ def split_symbols(keys: DataFrame, files: DataFrame, limit: int, overlap: int) -
     added = "piece int, pieces int, char_start int, char_end int, line_start int, line_end int, tokens int"
     names = [c.split()[0] for c in added.split(", ")]
 
-    def work(file: FileText, rows: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> pd.DataFrame | None:
+    def work(file: FileTexts, rows: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> pd.DataFrame | None:
         out, at = [], []
         for i in np.flatnonzero(file.tokens(a, b) > limit):
             text = file.text[a[i] : b[i]]

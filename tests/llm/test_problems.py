@@ -50,20 +50,22 @@ def test_audit_finds_missing_and_wrong_estimates(spark):
 
 def test_texts_of_symbols_are_measured_from_their_file(spark, monkeypatch):
     from lodestone.functions.tokens import measure
-    from lodestone.llm.items import FileText
+    from lodestone.llm import items
+    from lodestone.llm.items import FileTexts
     from lodestone.operators import skew
 
     rng = random.Random(12)
     parts = ["a", "foo ", "\n", "\n\n", "  ", "\t", "\r\n", "\r", "\x0c", "\u00a0", "{", "};\n", "barbazquux", "é", "語", "😀", "12", ", "]
     for _ in range(60):
-        content = "".join(rng.choice(parts) for _ in range(rng.randint(0, 120)))
-        lines = content.replace("\r\n", "\n").split("\n")
-        spans = np.array([(rng.randint(-1, len(lines) + 2), rng.randint(-1, len(lines) + 2)) for _ in range(40)])
-        want = ["\n".join(lines[max(1, x) - 1 : y]).strip(" \t\r\n") if max(1, x) <= min(len(lines), y) else "" for x, y in spans]
-        f = FileText(content)
-        a, b = f.spans(spans[:, 0], spans[:, 1])
+        contents = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(3)]
+        lines = [c.replace("\r\n", "\n").split("\n") for c in contents]
+        spans = np.array([(w, rng.randint(-1, len(lines[w]) + 2), rng.randint(-1, len(lines[w]) + 2)) for w in (rng.randrange(3) for _ in range(40))])
+        want = ["\n".join(lines[w][max(1, x) - 1 : y]).strip(" \t\r\n") if max(1, x) <= min(len(lines[w]), y) else "" for w, x, y in spans]
+        f = FileTexts(contents)
+        a, b = f.spans(*spans.T)
         assert [f.text[x:y] for x, y in zip(a, b)] == want
         assert (f.measures(a, b) == measure(want)).all() and (f.tokens(a, b) == measure(want)[:, 0]).all()
+    monkeypatch.setattr(items, "CHUNK", 9)
     monkeypatch.setattr(skew, "ROWS", 7)  # one path is spread over several tasks
     files = file_rows(spark, [("r/a.swift", 0, "let a = 1\nlet bb = 2\nlet ccc = 3\n"), ("r/b.swift", 0, None)])
     rows = [("r/a.swift", None, f"q{i}", i % 4, i % 5, None, 1) for i in range(60)] + [("r/b.swift", None, "x", 1, 1, None, 0), ("r/c.swift", None, "y", 1, 1, None, 0), ("r/a.swift", None, "z", None, 2, None, 0)]

@@ -11,13 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import language_of
 from lodestone.functions.tokens import MEASURES, measures
-from lodestone.llm.items import KEY, FileTexts, over_symbols, symbol_keys
+from lodestone.llm.items import KEY, symbol_keys, with_text
 from lodestone.operators.current import current_files, repository_of
 from lodestone.operators.skew import skew_join
 from lodestone.session import ensure_checkpoint_dir
@@ -159,13 +158,9 @@ def document_items(documents: DataFrame) -> DataFrame:
     )
 
 
-def measured_symbols(keys: DataFrame, files: DataFrame) -> DataFrame:
-    """Symbol keys, with whatever else their rows hold, and ``_m``: ``MEASURES`` of their text; all symbols of a file from one pass over it."""
-
-    def work(file: FileTexts, rows: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-        return rows.assign(_m=list(file.measures(a, b)))
-
-    return over_symbols(keys, files, work, "_m array<bigint>")
+def symbol_items(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Symbol keys as items, without a key column of their own."""
+    return with_text(symbol_keys(symbols), files).select(F.lit("symbol").alias("kind"), "path", repository_of("path").alias("source"), language_of("path").alias("language"), "text")
 
 
 def model_items(files: DataFrame, documents: DataFrame | None = None) -> DataFrame:
@@ -188,9 +183,7 @@ def all_counted(files: DataFrame, symbols: DataFrame, documents: DataFrame, mode
     """Every current file, symbol and document: ``kind, source, language, domain, predicted, tokens``. Texts are counted before anything
     travels; only a path goes with the counts to find its area."""
     columns = ["kind", "source", "language", "domain", "predicted", "tokens"]
-    of_symbols = measured_symbols(symbol_keys(symbols), files).select(F.lit("symbol").alias("kind"), "path", repository_of("path").alias("source"), language_of("path").alias("language"), "_m")
-    of_symbols = of_symbols.select("kind", "path", "source", "language", model.predict(F.col("_m"), F.col("language")).alias("predicted"), F.element_at("_m", 1).alias("tokens"))
-    of_paths = counted(file_items(files), model).drop("key").unionByName(of_symbols)
+    of_paths = counted(file_items(files).drop("key"), model).unionByName(counted(symbol_items(symbols, files), model))
     return with_area(of_paths, documents).select(*columns).unionByName(counted(document_items(documents), model).select(*columns))
 
 
@@ -211,7 +204,8 @@ def audited_symbols(symbols: DataFrame, files: DataFrame, model: TokenModel) ->
         F.max(F.col("estimated_tokens").isNull()).alias("missing"),
     )
     known = [*KEY, "low", "high", "missing"]
-    c = measured_symbols(keys, files).select(*known, model.predict(F.col("_m"), language_of("path")).alias("predicted"), F.element_at("_m", 1).alias("tokens"))
+    measured = with_text(keys, files).select(*known, measures("text").alias("_m"))
+    c = measured.select(*known, model.predict(F.col("_m"), language_of("path")).alias("predicted"), F.element_at("_m", 1).alias("tokens"))
     far = F.greatest(F.abs(F.col("low") - F.col("predicted")), F.abs(F.col("high") - F.col("predicted"))) > FAR_SHARE * F.col("predicted") + FAR_TOKENS
     differs = (F.col("low") != F.col("tokens")) | (F.col("high") != F.col("tokens"))
     verdict = F.when(F.col("missing"), "missing").when(far & differs, "implausible").when(differs, "wrong").otherwise("right")

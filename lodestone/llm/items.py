@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.tokens import ALNUM, BLANK, MEASURES, NEWLINE, PUNCT, atoms, codepoints, count_tokens, is_ideograph, measure
+from lodestone.functions.text import source_lines, symbol_text
+from lodestone.functions.tokens import atoms, codepoints, count_tokens
 from lodestone.operators.current import current_files
 from lodestone.operators.skew import salted
 
@@ -75,27 +76,14 @@ class FileTexts:
             out[n] = count_tokens(self.text[a[n] : b[n]])
         return out
 
-    def measures(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """``MEASURES`` of the characters a..b, a row each."""
-        i, j, inside = self._between(a, b)
 
-        def over(mask: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-            sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-            return sums[hi] - sums[lo]
-
-        out = np.zeros((len(a), len(MEASURES)), dtype=np.int64)
-        out[:, 0] = self.tokens(a, b)
-        out[:, 1] = b - a
-        out[:, 2], out[:, 4], out[:, 5] = (over(m, i, j) for m in (self.kind == ALNUM, self.kind == PUNCT, (self.kind == NEWLINE) | (self.kind == BLANK)))
-        out[:, 3] = over((self.cp >= 48) & (self.cp <= 57), a, b)
-        if not self.text.isascii():
-            beyond = over(self.cp > 0x7F, a, b)
-            out[:, 1] += beyond + over(self.cp > 0x7FF, a, b) + over(self.cp > 0xFFFF, a, b)
-            out[:, 6] = over(is_ideograph(self.cp), a, b)
-            out[:, 7] = beyond - out[:, 6]
-        for n in np.flatnonzero(inside):
-            out[n] = measure([self.text[a[n] : b[n]]])[0]
-        return out
+def with_text(keys: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds ``text``: the symbol's lines in the current content of its path, '' where there are none.
+
+    A content is cut into lines once, before the join; its symbols then take slices of the same array.
+    """
+    lines = current_files(files, ["path", "content"]).select("path", source_lines("content").alias("_lines"))
+    return keys.join(lines, "path", "left").withColumn("text", symbol_text("_lines", "start_line", "end_line")).drop("_lines")
 
 
 def over_symbols(keys: DataFrame, files: DataFrame, work: Callable[[FileTexts, pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame | None], added: str) -> DataFrame:

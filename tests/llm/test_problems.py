@@ -64,15 +64,15 @@ def test_texts_of_symbols_are_measured_from_their_file(spark, monkeypatch):
         f = FileTexts(contents)
         a, b = f.spans(*spans.T)
         assert [f.text[x:y] for x, y in zip(a, b)] == want
-        assert (f.measures(a, b) == measure(want)).all() and (f.tokens(a, b) == measure(want)[:, 0]).all()
+        assert (f.tokens(a, b) == measure(want)[:, 0]).all()
     monkeypatch.setattr(items, "CHUNK", 9)
     monkeypatch.setattr(skew, "ROWS", 7)  # one path is spread over several tasks
     files = file_rows(spark, [("r/a.swift", 0, "let a = 1\nlet bb = 2\nlet ccc = 3\n"), ("r/b.swift", 0, None)])
     rows = [("r/a.swift", None, f"q{i}", i % 4, i % 5, None, 1) for i in range(60)] + [("r/b.swift", None, "x", 1, 1, None, 0), ("r/c.swift", None, "y", 1, 1, None, 0), ("r/a.swift", None, "z", None, 2, None, 0)]
     keys = symbol_rows(spark, rows).select("path", "qualified_name", "start_line", "end_line")
-    got = {r.qualified_name: r["_m"][0] for r in budget.measured_symbols(keys, files).collect()}
+    counted = items.over_symbols(keys, files, lambda f, rows, a, b: rows.assign(n=f.tokens(a, b)), "n bigint")
     text = ["let a = 1", "let bb = 2", "let ccc = 3", ""]
-    assert got == {f"q{i}": count_tokens("\n".join(text[max(1, i % 4) - 1 : i % 5]).strip()) or 0 for i in range(60)} | {"x": 0, "y": 0, "z": 0}
+    assert {r.qualified_name: r.n for r in counted.collect()} == {f"q{i}": count_tokens("\n".join(text[max(1, i % 4) - 1 : i % 5]).strip()) or 0 for i in range(60)} | {"x": 0, "y": 0, "z": 0}
 
 
 def test_model_predicts_held_out_texts(spark):

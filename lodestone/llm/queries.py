@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import budget, documentation, mixing, packing, provenance, splitting, truncation
@@ -47,6 +47,15 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_symbols(symbol_keys(table(spark, d, "symbols")), table(spark, d, "files"), limit, overlap)
 
 
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of the pieces of every oversized symbol: where they begin and end, how many are over the limit, and how many leave a gap."""
+    limit, _ = limit_of(table(spark, d, "size_limits"), "symbol_piece")
+    before = Window.partitionBy(*KEY).orderBy("piece")  # the pieces of one symbol
+    laid = p2_pieces(spark, d).withColumn("gap", F.col("char_start") > F.lag("char_end").over(before))
+    n = lambda test: F.count(F.when(test, 1))
+    return laid.groupBy(*KEY).agg(F.min("char_start").alias("begins"), F.max("char_end").cast("bigint").alias("ends"), n(F.col("tokens") > limit).alias("over_limit"), n(F.col("gap")).alias("gaps"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).filter("piece = 0").select(*KEY)
 
@@ -136,7 +145,7 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_budget, p1_estimates, p1_models, p1_documents, p2_found, p2_pieces, p3_found, p3_provenance, p3_handwritten, p4_found, p4_pairs, p4_extracted, p5_found, p5_containers, p5_items, p5_fill, p6_found, p6_mixture, p6_shares, p6_checks, p7_found, p7_verdicts, p7_rates)
+    for f in (p1_found, p1_budget, p1_estimates, p1_models, p1_documents, p2_found, p2_pieces, p2_checks, p3_found, p3_provenance, p3_handwritten, p4_found, p4_pairs, p4_extracted, p5_found, p5_containers, p5_items, p5_fill, p6_found, p6_mixture, p6_shares, p6_checks, p7_found, p7_verdicts, p7_rates)
 }
 
 _T01 = r"""(CASE WHEN {0} = '' THEN 0 WHEN {0} IS NOT NULL THEN greatest(1, len(regexp_extract_all({0}, '[a-zA-Z0-9]+|[\p{{P}}\p{{S}}]|\n|[\t\n\f\r\p{{Z}}]+'))
@@ -160,6 +169,8 @@ SELECT kind, source, language, domain, count(*) AS items, sum(n)::BIGINT AS toke
     "p1_documents": f"""SELECT coalesce(lower(trim(source)), '') AS source, CASE WHEN coalesce(lower(trim(lang)), '') = '' THEN 'und' ELSE lower(trim(lang)) END AS language,
   coalesce(lower(trim(domain)), '') AS domain, count(*) AS items, sum(coalesce({_T01.format('text')}, 0))::BIGINT AS tokens FROM documents GROUP BY ALL""",
     "p2_found": f"""{_SYMBOL_TEXT} SELECT DISTINCT path, qualified_name, start_line, end_line FROM txt
+  WHERE {_T01.format('t')} > (SELECT max_tokens FROM size_limits WHERE limit_name = 'symbol_piece')""",
+    "p2_checks": f"""{_SYMBOL_TEXT} SELECT DISTINCT path, qualified_name, start_line, end_line, 0 AS begins, length(t) AS ends, 0::BIGINT AS over_limit, 0::BIGINT AS gaps FROM txt
   WHERE {_T01.format('t')} > (SELECT max_tokens FROM size_limits WHERE limit_name = 'symbol_piece')""",
     "p5_found": f"SELECT doc_id FROM documents WHERE {_T01.format('text')} > (SELECT max_tokens FROM size_limits WHERE limit_name = 'container')",
     "p5_items": f"""WITH d AS (SELECT doc_id, coalesce({_T01.format('text')}, 0) AS n FROM documents), l AS (SELECT max_tokens AS m FROM size_limits WHERE limit_name = 'container')
